@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to Python: bounds a worker's memory.
 BATCH_ROWS = 512
@@ -104,10 +105,8 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     kept = df.columns
     ranged = df.withColumns({f"__v{i}": sums[c].cast("long") for i, c in enumerate(names)})
     ranged = ranged.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = ranged.schema
-    for i in range(len(names)):
-        schema = schema.add(f"__before{i}", "long")
-    schema = schema.add("__pid", "int")
+    extra = [T.StructField(f"__before{i}", T.LongType()) for i in range(len(names))]
+    schema = T.StructType([*ranged.schema.fields, *extra, T.StructField("__pid", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

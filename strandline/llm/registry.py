@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op5_mixing
+from .packing import op9_packing
+from .quality_rules import OP8_SQL, op8_quality_rules
+from .sharding import op2_sharding
 from .simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_sharding": op2_sharding,
+        "op5_mixing": op5_mixing,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": OP8_SQL}
