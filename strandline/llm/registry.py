@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op5_mixing
 from .packing import op9_packing
+from .quality_model import op10_quality_model
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op2_sharding
 from .simhash import op1_simhash
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_sharding": op2_sharding,
+        "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
+        "op10_quality_model": op10_quality_model,
     }
 
 

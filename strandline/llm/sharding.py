@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import materialize, positions, table
 
 SHARDS = 8
-ROUNDS = 5
+ROUNDS = 6
 #: Share above the even load that a shard may reach between rounds.
-SLACK = 0.02
-#: Larger gains count as this one, so that the table of moves stays small.
-TOP_GAIN = 64
+SLACK = 0.05
+#: A hub's links weigh as much in all as UNIT times its weight, so that a huge hub doesn't outweigh equal texts.
+UNIT = 10_000
+#: Gains are told apart in so many steps, so that the table of moves stays small.
+STEPS = 50
 
 
 def case(values: list[int], of: Column) -> Column:
@@ -55,9 +57,9 @@ def quotas(moves: list[tuple[int, int, int, int]], loads: list[int], cap: int) -
 
 
 def propagate(nodes: DataFrame, hubs: dict[str, int], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """nodes (with a long `seed` column) plus `label` and `linked` (it has a neighbour); hubs maps hub columns to the weight of their links."""
+    """nodes (with a long `seed` column) plus `label` and `support` (how much links it to its best shard); hubs maps hub columns to the weight of their links."""
     spark = nodes.sparkSession
-    now = materialize(nodes.withColumn("label", F.pmod(F.xxhash64(F.lit(7), "seed"), F.lit(shards)).cast("int")).withColumn("linked", F.lit(False)))
+    now = materialize(nodes.withColumn("label", F.pmod(F.xxhash64(F.lit(7), "seed"), F.lit(shards)).cast("int")).withColumn("support", F.lit(0).cast("long")))
     total = now.count()
     cap = -(-total // shards) + int(SLACK * total / shards)
     for turn in range(rounds):
@@ -68,22 +70,23 @@ def propagate(nodes: DataFrame, hubs: dict[str, int], shards: int = SHARDS, roun
                 .groupBy(h)
                 .agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == s).alias(f"c{s}") for s in range(shards)])
                 .where("n > 1")
-                .select(h, F.array(*[F.col(f"c{s}") * weight for s in range(shards)]).alias(f"__{h}"))
+                .select(h, F.array(*[F.floor(F.col(f"c{s}") * (weight * UNIT) / F.col("n")) for s in range(shards)]).alias(f"__{h}"), F.floor(weight * UNIT / F.col("n")).alias(f"__one_{h}"))
             )
             scored = scored.join(counts, h, "left")
         near = [sum(F.coalesce(F.get(F.col(f"__{h}"), F.lit(s)), F.lit(0)) for h in hubs) for s in range(shards)]
-        own = sum(F.when(F.col(f"__{h}").isNull(), 0).otherwise(w) for h, w in hubs.items())
+        own = sum(F.coalesce(F.col(f"__one_{h}"), F.lit(0)) for h in hubs)
+        linked = F.greatest(*[F.col(f"__{h}").isNotNull() for h in hubs], F.lit(False))
         # ties fall to a shard that the hub's value picks, the same for all its rows: else pairs swap for ever
         turned = F.coalesce(*[F.when(F.col(f"__{h}").isNotNull(), F.col(h)) for h in hubs], F.lit(0))
         liked = F.array(*[near[s] * shards + F.pmod(turned + s, F.lit(shards)).cast("int") for s in range(shards)])
-        scored = scored.withColumn("__near", F.array(*near)).withColumn("__own", own).withColumn("__liked", liked)
+        scored = scored.withColumns({"__near": F.array(*near), "__own": own, "linked": linked, "__liked": liked})
         best = (F.array_position("__liked", F.array_max("__liked")) - 1).cast("int")
-        best = F.when(F.col("__own") > 0, best).otherwise(F.col("label"))
+        best = F.when(F.col("linked"), best).otherwise(F.col("label"))
         gain = F.get("__near", F.col("best")) - F.get("__near", F.col("label")) + F.col("__own")
         moved = materialize(
             scored.withColumn("best", best)
-            .withColumn("gain", F.when(F.col("best") == F.col("label"), 0).otherwise(F.least(gain, F.lit(TOP_GAIN))).cast("int"))
-            .select(*nodes.columns, "label", (F.col("__own") > 0).alias("linked"), "gain", "best")
+            .withColumn("gain", F.when(F.col("best") == F.col("label"), 0).otherwise(F.least(F.ceil(F.lit(STEPS) * gain / (sum(hubs.values()) * UNIT)), F.lit(STEPS))).cast("int"))
+            .select(*nodes.columns, "label", F.get("__near", F.col("best")).cast("long").alias("support"), "gain", "best")
         )
         table_of_moves = moved.groupBy("label", "best", "gain").count().collect()  # shards x shards x gains rows
         loads = [sum(r["count"] for r in table_of_moves if r["label"] == s) for s in range(shards)]
@@ -147,8 +150,8 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Every row's shard and slot."""
-    labelled = propagate(nodes(docs), {"same_text": 2, "low_line": 1}, shards, rounds)
-    order = [~F.col("linked"), F.col("same_text"), F.col("doc_id"), F.col("size")]
+    labelled = propagate(nodes(docs), {"same_text": 3, "low_line": 1}, shards, rounds)
+    order = [F.col("support").desc(), F.col("same_text"), F.col("doc_id"), F.col("size")]
     return settle(labelled, order, shards)
 
 
