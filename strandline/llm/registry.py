@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import op6_audio
+from .licenses import op3_licenses
 from .mixing import op5_mixing
 from .packing import op9_packing
 from .quality_model import op10_quality_model
@@ -13,14 +15,18 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op2_sharding
 from .simhash import op1_simhash
 from .toxicity import op4_toxicity
+from .url_rules import op7_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_sharding": op2_sharding,
+        "op3_licenses": op3_licenses,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
+        "op6_audio": op6_audio,
+        "op7_url_rules": op7_url_rules,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_quality_model": op10_quality_model,
