@@ -19,10 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
 
-#: Rows on which costs are measured; they only order the rules.
-SAMPLE_ROWS = 2000
+#: Rows on which costs are measured, and their longest text; they only order the rules.
+SAMPLE_ROWS = 500
+SAMPLE_CHARS = 50_000
 #: What separates words, the symbols, and the window in words.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -134,6 +135,13 @@ def ordered(sample: DataFrame, rules: list[Rule], columns: Callable[[], dict[str
     return [rules[k] for _, k in sorted(worth)]
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Some texts, fetched from as few partitions as hold them."""
+    short = docs.select("text").where(F.length("text") <= SAMPLE_CHARS).limit(rows).collect()
+    sample = docs.sparkSession.createDataFrame(short, "text string")
+    return sample.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("__text")))
+
+
 def first_failure(rules: list[Rule], columns: dict[str, Column]) -> Column:
     """The name of the first rule that fails, null if none does."""
     out = F.lit(None).cast("string")
@@ -146,9 +154,7 @@ def cascade(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPL
     """docs with __failed: the first rule that rejects the row, or null."""
     text, parts = F.col("__text"), F.col("__words")
     framed = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("__text")))
-    sample = materialize(docs.select("text").limit(sample_rows))
-    sample = sample.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("__text")))
-    order = ordered(sample, rules, lambda: text_columns(text, parts))
+    order = ordered(sampled(docs, sample_rows), rules, lambda: text_columns(text, parts))
     return framed.withColumn("__failed", first_failure(order, text_columns(text, parts))).drop("__text", "__words")
 
 
@@ -165,8 +171,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = text_columns(F.col("text"), F.col("__words"))
     counted = split.select("doc_id", "text", *[made[n].alias(n) for n in names])
     late = {n: F.col(n) for n in names} | {"n_lines": lines(F.col("text")), "n_upper": uppers(F.col("text"))}
-    sample = materialize(counted.limit(SAMPLE_ROWS))
-    order = ordered(sample, RULES, lambda: late)
+    order = ordered(sampled(docs), RULES, lambda: text_columns(F.col("__text"), F.col("__words")))
     base = BASE[0].fails(late) | BASE[1].fails(late)
     judged = counted.withColumn("failed_rule", first_failure(order, late))
     return judged.select("doc_id", *names, base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
