@@ -13,7 +13,6 @@ columns are not read. Only the last sequence can need padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,18 +26,28 @@ from .common import map_batches, materialize, process_cache, quiet_threads, tabl
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; beyond, ids are worked out batch by batch.
-CACHED_WORDS = 250_000
-#: A blank beside other white space: there the tokenizer's splits look beyond the blank.
-UNEVEN = re.compile(r"\s | \s")
+#: Words whose ids a Python worker remembers; beyond, it starts to remember anew.
+CACHED_WORDS = 500_000
+#: New words that are encoded as one text.
+WORDS_A_TEXT = 1000
+#: Fixed value: white space other than the blank and the line feed.
+OTHER_BLANKS = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def uneven(text: str) -> bool:
+    """White space beside white space, or of an unusual kind: there splits may look beyond it."""
+    return (
+        "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in OTHER_BLANKS)
+    )
 
 
 class Encoder:
     """Token ids of whole texts as little-endian uint16, with an end id.
 
-    Where no two white-space characters adjoin a blank, a byte-level BPE never merges over
-    a blank: each blank and what follows, up to the next, has ids of its own. Those are
-    remembered. Any other text goes to the tokenizer whole.
+    Where white space stands alone, a byte-level BPE never merges over it: a word has ids of
+    its own, with the blank before it or, at the start of a line, without. Those are
+    remembered, and new words are encoded many at once, a line each. Any other text goes to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -50,52 +59,54 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.end = array("H", [end_id]).tobytes()
-        self.leading: dict[str, bytes] = {}  # a text's first word
+        (self.line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = array("H", [self.line_id]).tobytes()
+        self.leading: dict[str, bytes] = {"": b""}  # a line's first word
         self.spaced: dict[str, bytes] = {}  # a word with the blank before it
 
+    def ids(self, texts: list[str]) -> list[array]:
+        return [array("H", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, known: dict[str, bytes], words: list[str], before: str) -> None:
+        """Ids of words that hold no white space, WORDS_A_TEXT to a text, cut at its line feeds."""
+        parts = [words[k : k + WORDS_A_TEXT] for k in range(0, len(words), WORDS_A_TEXT)]
+        for part, ids in zip(parts, self.ids([before + ("\n" + before).join(p) for p in parts])):
+            ids.append(self.line_id)
+            cuts = np.flatnonzero(np.frombuffer(ids, np.uint16) == self.line_id).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer merges over line feeds")
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(part, cuts):
+                known[word] = raw[2 * start : 2 * stop]
+                start = stop + 1
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [None if not t or UNEVEN.search(t) else t.split(" ") for t in texts]
-        whole = [t for t, p in zip(texts, parts) if t and p is None]
-        lead = list({p[0] for p in parts if p}.difference(self.leading))
+        plan = [None if not t or uneven(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        whole = iter(self.ids([t for t, p in zip(texts, plan) if t and p is None]))
+        lead: set[str] = set()
         words: set[str] = set()
-        for p in parts:
-            if p:
-                words.update(p[1:])
-        words.difference_update(self.spaced)
-        spaced = list(words)
-        raw = [*whole, *lead, *[" " + w for w in spaced]]
-        ids = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
-        rest = iter(ids[: len(whole)])
-        first = self.remember(self.leading, lead, ids[len(whole) :])
-        later = self.remember(self.spaced, spaced, ids[len(whole) + len(lead) :])
+        for lines in plan:
+            for line in lines or ():
+                lead.add(line[0])
+                words.update(line[1:])
+        # a trailing blank leaves an empty word, which can't have a line of its own
+        if "" in words:
+            words.discard("")
+            self.spaced[""] = self.ids([" "])[0].tobytes()
+        first, later = self.leading, self.spaced
+        self.learn(first, list(lead.difference(first)), "")
+        self.learn(later, list(words.difference(later)), " ")
         out = []
-        for t, p in zip(texts, parts):
-            if p:
-                out.append(b"".join([first[p[0]], *map(later.__getitem__, p[1:]), self.end]))
+        for t, lines in zip(texts, plan):
+            if lines:
+                rows = [b"".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in lines]
+                out.append(self.line.join(rows) + self.end)
             else:
-                out.append((next(rest) if t else b"") + self.end)
+                out.append((next(whole).tobytes() if t else b"") + self.end)
+        if len(first) + len(later) > CACHED_WORDS:
+            self.leading, self.spaced = {"": b""}, {}
         return out
 
-    @staticmethod
-    def remember(known: dict[str, bytes], new: list[str], ids: list[bytes]) -> dict[str, bytes]:
-        """All words of a batch; those of usual length stay, as long as there is room."""
-        made = dict(zip(new, ids))
-        if len(known) + len(made) > CACHED_WORDS:
-            return _Both(made, known)
-        known.update((w, x) for w, x in made.items() if len(w) < 64)
-        return known if all(len(w) < 64 for w in made) else _Both(made, known)
-
-
-class _Both(dict):
-    """A dict that falls back to another one."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key: str) -> bytes:
-        return self.other[key]
-
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (uint16 bytes), n, and start: the tokens before it in its partition __pid."""
