@@ -150,7 +150,7 @@ def printability(nozzle: Column, bed: Column, chamber: Column, drying: Column, b
 def radar(norm: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean normalised value of each group and axis as columns, and how many axes a group lacks."""
     joined = norm.join(groups, "material_id")
-    axes = [F.round(F.avg(F.when(F.col("property_key") == k, F.col("norm"))), 6).alias(k) for k in keys]
+    axes = [F.avg(F.when(F.col("property_key") == k, F.col("norm"))).alias(k) for k in keys]
     wide = joined.groupBy("group_value").agg(*axes)
     return wide.withColumn("missing_axes", sum(F.col(k).isNull().cast("int") for k in keys).cast("long"))
 

@@ -70,14 +70,18 @@ STAT = """stat AS (
   FROM obs WHERE value IS NOT NULL GROUP BY 1, 2)"""
 
 
+#: Added before rounding, here and in the SQL: engines sum in other orders, and a tie must not fall both ways.
+NUDGE = 0.000000013
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, places) for c in columns})
 
 
 @query(f"""WITH {OBS}, props AS (SELECT unnest(['quantity', 'extendedprice', 'discount', 'tax', 'hardness']) AS property_key)
 SELECT p.property_key, count(DISTINCT o.material_id) AS materials, count(o.property_key) AS observations, count(o.value) AS numeric_observations,
-       round(min(o.value) + 0.0, 6) AS min_value, round(max(o.value) + 0.0, 6) AS max_value,
-       round(avg(o.value), 6) AS mean_value, round(quantile_cont(o.value, 0.5), 6) AS median_value
+       round(min(o.value) + 0.0 + 0.000000013, 6) AS min_value, round(max(o.value) + 0.0 + 0.000000013, 6) AS max_value,
+       round(avg(o.value) + 0.000000013, 6) AS mean_value, round(quantile_cont(o.value, 0.5) + 0.000000013, 6) AS median_value
 FROM props p LEFT JOIN obs o ON o.property_key = p.property_key GROUP BY p.property_key""")
 def coverage_summary(spark, sf):
     props = spark.createDataFrame([(k,) for k in [*KEYS, "hardness"]], "property_key string")
@@ -109,7 +113,7 @@ def run_status_histogram(spark, sf):
     return table(spark, sf, "events").groupBy(status.alias("action_status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {OBS}, {STAT} SELECT material_id, property_key, round(mean_value, 6) AS mean_value, min_value, max_value, n FROM stat""")
+@query(f"""WITH {OBS}, {STAT} SELECT material_id, property_key, round(mean_value + 0.000000013, 6) AS mean_value, min_value, max_value, n FROM stat""")
 def material_stat(spark, sf):
     return rounded(S.material_stat(observations(spark, sf)), "mean_value")
 
@@ -118,11 +122,11 @@ def material_stat(spark, sf):
   SELECT base_material, property_key, count(value) AS n, quantile_cont(value, 0.25) + 0.0 AS q1, quantile_cont(value, 0.5) + 0.0 AS median_value,
          quantile_cont(value, 0.75) + 0.0 AS q3, min(value) + 0.0 AS min_value, max(value) + 0.0 AS max_value, avg(value) AS mean_value
   FROM obs JOIN mat USING (material_id) WHERE value IS NOT NULL GROUP BY 1, 2)
-SELECT base_material, property_key, n, round(q1, 6) AS q1, round(median_value, 6) AS median_value, round(q3, 6) AS q3, min_value, max_value,
-       round(mean_value, 4) AS mean_value,
-       CASE WHEN max_value > min_value THEN round((q1 - min_value) / (max_value - min_value), 6) ELSE 0.0 END AS q1_at,
-       CASE WHEN max_value > min_value THEN round((median_value - min_value) / (max_value - min_value), 6) ELSE 0.0 END AS median_value_at,
-       CASE WHEN max_value > min_value THEN round((q3 - min_value) / (max_value - min_value), 6) ELSE 0.0 END AS q3_at
+SELECT base_material, property_key, n, round(q1 + 0.000000013, 6) AS q1, round(median_value + 0.000000013, 6) AS median_value, round(q3 + 0.000000013, 6) AS q3, min_value, max_value,
+       round(mean_value + 0.000000013, 4) AS mean_value,
+       CASE WHEN max_value > min_value THEN round((q1 - min_value) / (max_value - min_value) + 0.000000013, 6) ELSE 0.0 END AS q1_at,
+       CASE WHEN max_value > min_value THEN round((median_value - min_value) / (max_value - min_value) + 0.000000013, 6) ELSE 0.0 END AS median_value_at,
+       CASE WHEN max_value > min_value THEN round((q3 - min_value) / (max_value - min_value) + 0.000000013, 6) ELSE 0.0 END AS q3_at
 FROM b""")
 def family_boxplot(spark, sf):
     joined = observations(spark, sf).join(materials(spark, sf).select("material_id", "base_material"), "material_id")
@@ -146,8 +150,8 @@ def best_property(spark, sf):
 
 @query(f"""WITH {OBS}, d AS (
   SELECT property_key, CASE WHEN orientation = 'F' THEN 'xy' WHEN orientation = 'O' THEN 'z' ELSE '' END AS bucket, value FROM obs)
-SELECT property_key AS option_key, count(value) AS n, round(avg(value), 4) AS mean_value FROM d GROUP BY 1
-UNION ALL SELECT property_key || '::' || bucket, count(value), round(avg(value), 4) FROM d WHERE bucket <> '' GROUP BY 1""")
+SELECT property_key AS option_key, count(value) AS n, round(avg(value) + 0.000000013, 4) AS mean_value FROM d GROUP BY 1
+UNION ALL SELECT property_key || '::' || bucket, count(value), round(avg(value) + 0.000000013, 4) FROM d WHERE bucket <> '' GROUP BY 1""")
 def directional_stat(spark, sf):
     named = F.when(F.col("orientation") == "F", "flat").when(F.col("orientation") == "O", "vertical")
     bucket = Q.orientation_bucket(named)
@@ -157,7 +161,7 @@ def directional_stat(spark, sf):
 
 
 @query(f"""WITH {OBS}, {STAT}, r AS (SELECT property_key, min(value) + 0.0 AS lo, max(value) + 0.0 AS hi FROM obs GROUP BY 1)
-SELECT material_id, property_key, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (mean_value - lo) / (hi - lo))) ELSE 0.0 END, 6) AS norm
+SELECT material_id, property_key, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (mean_value - lo) / (hi - lo))) ELSE 0.0 END + 0.000000013, 6) AS norm
 FROM stat JOIN r USING (property_key)""")
 def db_range_normalised(spark, sf):
     obs = observations(spark, sf)
@@ -169,10 +173,10 @@ norm AS (SELECT material_id, property_key, CASE WHEN hi > lo THEN greatest(0.0,
 FROM stat JOIN r USING (property_key))"""
 
 
-@query(f"""WITH {NORM} SELECT material_id, round(coalesce(max(CASE WHEN property_key = 'quantity' THEN norm END), 0.5), 6) AS strength,
- round(coalesce(max(CASE WHEN property_key = 'extendedprice' THEN norm END), 0.5), 6) AS stiffness,
- round(coalesce(max(CASE WHEN property_key = 'discount' THEN norm END), 0.42), 6) AS toughness,
- round(coalesce(max(CASE WHEN property_key = 'hardness' THEN norm END), 0.45), 6) AS heat FROM norm GROUP BY 1""")
+@query(f"""WITH {NORM} SELECT material_id, round(coalesce(max(CASE WHEN property_key = 'quantity' THEN norm END), 0.5) + 0.000000013, 6) AS strength,
+ round(coalesce(max(CASE WHEN property_key = 'extendedprice' THEN norm END), 0.5) + 0.000000013, 6) AS stiffness,
+ round(coalesce(max(CASE WHEN property_key = 'discount' THEN norm END), 0.42) + 0.000000013, 6) AS toughness,
+ round(coalesce(max(CASE WHEN property_key = 'hardness' THEN norm END), 0.45) + 0.000000013, 6) AS heat FROM norm GROUP BY 1""")
 def fingerprint(spark, sf):
     obs = observations(spark, sf)
     wide = S.pivoted(S.normalised(S.material_stat(obs), S.ranges(obs)), ["quantity", "extendedprice", "discount", "hardness"])
@@ -185,7 +189,7 @@ def fingerprint(spark, sf):
   max(CASE WHEN property_key = 'tax' THEN max_value END) * 1000 AS drying FROM stat GROUP BY 1)
 SELECT material_id, round(greatest(0.08, least(0.98, 0.82 + CASE WHEN base IN ('PLA', 'PETG', 'PVB') THEN 0.08 WHEN base IN ('PEEK', 'PEI', 'PEKK', 'PPS', 'PPSU', 'PSU') THEN -0.22 WHEN base LIKE 'PA%' THEN -0.14 ELSE 0 END
  - 0.22 * coalesce(greatest(0, least(1, (nozzle - 180) / 265)), 0) - 0.12 * coalesce(greatest(0, least(1, bed / 140)), 0)
- - CASE WHEN chamber > 40 THEN 0.12 ELSE 0 END - CASE WHEN drying > 65 THEN 0.08 ELSE 0 END)), 6) AS score
+ - CASE WHEN chamber > 40 THEN 0.12 ELSE 0 END - CASE WHEN drying > 65 THEN 0.08 ELSE 0 END)) + 0.000000013, 6) AS score
 FROM w JOIN (SELECT p_partkey, ['PLA', 'PA12', 'PEEK', 'TPU', 'PETG'][p_partkey % 5 + 1] AS base FROM part) ON p_partkey = material_id""")
 def printability(spark, sf):
     stat = S.material_stat(observations(spark, sf))
@@ -197,25 +201,26 @@ def printability(spark, sf):
     named = F.element_at(F.array(*[F.lit(x) for x in ("PLA", "PA12", "PEEK", "TPU", "PETG")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("material_id"), named.alias("base"))
     score = S.printability(*[F.col(c) for c in ("nozzle", "bed", "chamber", "drying", "base")])
-    return wide.join(parts, "material_id").select("material_id", F.round(score, 6).alias("score"))
+    return wide.join(parts, "material_id").select("material_id", F.round(score + NUDGE, 6).alias("score"))
 
 
-@query(f"""WITH {NORM} SELECT p_type AS group_value, round(avg(CASE WHEN property_key = 'quantity' THEN norm END), 6) AS quantity,
- round(avg(CASE WHEN property_key = 'extendedprice' THEN norm END), 6) AS extendedprice,
- round(avg(CASE WHEN property_key = 'hardness' THEN norm END), 6) AS hardness, 1::BIGINT AS missing_axes
+@query(f"""WITH {NORM} SELECT p_type AS group_value, round(avg(CASE WHEN property_key = 'quantity' THEN norm END) + 0.000000013, 6) AS quantity,
+ round(avg(CASE WHEN property_key = 'extendedprice' THEN norm END) + 0.000000013, 6) AS extendedprice,
+ round(avg(CASE WHEN property_key = 'hardness' THEN norm END) + 0.000000013, 6) AS hardness, 1::BIGINT AS missing_axes
 FROM norm JOIN part ON p_partkey = material_id GROUP BY 1""")
 def radar_groups(spark, sf):
     obs = observations(spark, sf)
     groups = materials(spark, sf).select("material_id", F.col("base_material").alias("group_value"))
-    return S.radar(S.normalised(S.material_stat(obs), S.ranges(obs)), groups, ["quantity", "extendedprice", "hardness"])
+    axes = ["quantity", "extendedprice", "hardness"]
+    return rounded(S.radar(S.normalised(S.material_stat(obs), S.ranges(obs)), groups, axes), *axes)
 
 
 @query(f"""WITH {OBS}, {STAT}, t AS (SELECT *, row_number() OVER (PARTITION BY property_key ORDER BY mean_value DESC, material_id) AS k FROM stat)
-SELECT property_key, material_id, round(mean_value, 6) AS mean_value FROM t WHERE k = 1""")
+SELECT property_key, material_id, round(mean_value + 0.000000013, 6) AS mean_value FROM t WHERE k = 1""")
 def radar_max(spark, sf):
     stat = S.material_stat(observations(spark, sf))
     best = stat.groupBy("property_key").agg(F.max(F.struct("mean_value", (-F.col("material_id")).alias("m"))).alias("b"))
-    return best.select("property_key", (-F.col("b.m")).alias("material_id"), F.round("b.mean_value", 6).alias("mean_value"))
+    return best.select("property_key", (-F.col("b.m")).alias("material_id"), F.round(F.col("b.mean_value") + NUDGE, 6).alias("mean_value"))
 
 
 @query(f"""WITH {OBS}, {STAT}, k AS (SELECT unnest(['quantity', 'discount', 'hardness']) AS property_key)
@@ -229,8 +234,8 @@ def compare_matrix(spark, sf):
 
 
 @query(f"""WITH {OBS}, {MAT}, sel AS (SELECT coalesce(nullif(base_material, ''), 'Unknown') AS b FROM mat WHERE material_id = 1)
-SELECT property_key, count(value) AS n, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median_value,
-  round(quantile_cont(value, 0.75), 6) AS q3 FROM obs JOIN mat USING (material_id) JOIN sel ON b = coalesce(nullif(base_material, ''), 'Unknown')
+SELECT property_key, count(value) AS n, round(quantile_cont(value, 0.25) + 0.000000013, 6) AS q1, round(quantile_cont(value, 0.5) + 0.000000013, 6) AS median_value,
+  round(quantile_cont(value, 0.75) + 0.000000013, 6) AS q3 FROM obs JOIN mat USING (material_id) JOIN sel ON b = coalesce(nullif(base_material, ''), 'Unknown')
 GROUP BY 1 ORDER BY n DESC, property_key LIMIT 12""")
 def peer_spread(spark, sf):
     mats = materials(spark, sf).withColumn("b", S.unknown(F.col("base_material")))
@@ -243,7 +248,7 @@ def peer_spread(spark, sf):
   max(CASE WHEN property_key = 'tax' THEN mean_value END) AS y, max(CASE WHEN property_key = 'extendedprice' THEN mean_value END) AS s FROM stat GROUP BY 1),
 c AS (SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL ORDER BY material_id LIMIT 320),
 sp AS (SELECT min(mean_value) AS lo, max(mean_value) AS hi FROM stat WHERE property_key = 'extendedprice')
-SELECT material_id, round(x, 6) AS x, round(y, 6) AS y, round(5 + 10 * CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (s - lo) / (hi - lo))) ELSE 0.0 END, 6) AS radius
+SELECT material_id, round(x + 0.000000013, 6) AS x, round(y + 0.000000013, 6) AS y, round(5 + 10 * CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (s - lo) / (hi - lo))) ELSE 0.0 END + 0.000000013, 6) AS radius
 FROM c, sp WHERE x BETWEEN 20 AND 30""")
 def material_map(spark, sf):
     made = S.material_map(S.material_stat(observations(spark, sf)), "quantity", "tax", "extendedprice", 320, [F.col("material_id")])
