@@ -16,6 +16,8 @@ rows are placed each; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +60,10 @@ def quotas(moves: list[tuple[int, int, int, int]], loads: list[int], cap: int) -
 
 def propagate(nodes: DataFrame, hubs: dict[str, int], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """nodes (with a long `seed` column) plus `label` and `support` (how much links it to its best shard); hubs maps hub columns to the weight of their links."""
-    spark = nodes.sparkSession
     now = materialize(nodes.withColumn("label", F.pmod(F.xxhash64(F.lit(7), "seed"), F.lit(shards)).cast("int")).withColumn("support", F.lit(0).cast("long")))
     total = now.count()
-    cap = -(-total // shards) + int(SLACK * total / shards)
+    even = total / shards
+    cap = math.ceil(even + max(SLACK * even, 3 * math.sqrt(even)))  # chance alone makes loads uneven by its root
     for turn in range(rounds):
         scored = now
         for h, weight in hubs.items():
