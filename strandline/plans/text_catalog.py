@@ -32,7 +32,7 @@ def context_windows(spark, sf):
     return framed.select("doc_id", F.posexplode(frames).alias("i", "window_md5")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "window_md5")
 
 
-@query("""SELECT doc_id, count(*) AS cells, max(octet_length(cell::BLOB)) AS longest FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, '|')), '^ +| +$', '', 'g') AS cell FROM documents) WHERE cell <> '' GROUP BY 1""")
+@query("""SELECT doc_id, count(*) AS cells, max(strlen(cell)) AS longest FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, '|')), '^ +| +$', '', 'g') AS cell FROM documents) WHERE cell <> '' GROUP BY 1""")
 def cell_explode(spark, sf):
     cells = F.filter(F.transform(F.split("text", r"\|"), F.trim), lambda x: x != "")
     rows = table(spark, sf, "documents").select("doc_id", F.explode(cells).alias("cell"))
