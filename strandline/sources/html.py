@@ -260,7 +260,8 @@ def page_offers(pages: DataFrame, visible_for: Column) -> DataFrame:
     seen = F.regexp_extract_all("page_text", F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:USD|EUR|GBP)\b|[$€£]\s*\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?\s*[€£$]"), F.lit(0))
     symbol = lambda x: F.when(F.contains(x, F.lit("$")), "USD").when(F.contains(x, F.lit("€")), "EUR").when(F.contains(x, F.lit("£")), "GBP").otherwise(F.upper(F.regexp_extract(x, r"[A-Za-z]{3}", 0)))
     visible = F.slice(F.transform(seen, lambda x: one(x, symbol(x), "visible_text_price")), 1, 3)
-    told = F.concat("offers", F.coalesce(metas, F.array().cast(OFFER_SQL)))
+    priced = F.filter("offers", lambda o: U.number_or_none(o["price"]).isNotNull())
+    told = F.concat(priced, F.coalesce(metas, F.array().cast(OFFER_SQL)))
     every = F.when((F.size(told) == 0) & visible_for, visible).otherwise(told)
     return pages.select("url", F.posexplode(every).alias("ord", "o")).select("url", "ord", "o.*")
 
