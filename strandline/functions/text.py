@@ -13,8 +13,8 @@ FOLDS = [
 ]
 #: Unit symbols for display.
 UNIT_SYMBOLS = {
-    "degC": "°C", "degF": "°F", "g/cm3": "g/cm³", "kg/m3": "kg/m³", "mm3/s": "mm³/s", "cm3/10min": "cm³/10 min", "g/10min": "g/10 min",
-    "kJ/m2": "kJ/m²", "J/m2": "J/m²", "ohm": "Ω", "ohm/sq": "Ω/sq", "um": "µm",
+    "degC": "°C", "degF": "°F", "g/cm3": "g/cm³", "kg/m3": "kg/m³", "g/cc": "g/cc", "g/10min": "g/10 min", "cm3/10min": "cm³/10 min", "mm3/s": "mm³/s",
+    "kJ/m2": "kJ/m²", "J/m2": "J/m²", "ft-lb/in": "ft-lb/in", "ohm": "Ω", "ohm/sq": "Ω/sq",
 }
 
 
@@ -170,8 +170,9 @@ def is_pdf(url: Column) -> Column:
 
 
 def significant(c: Column) -> Column:
-    """Three significant digits, as %.3g writes them."""
-    return F.when(c.isNotNull(), F.regexp_replace(F.printf(F.lit("%.3g"), c), r"(\.\d*?)0+(?=$|e)|\.(?=$|e)", "$1"))
+    """Three significant digits without trailing zeros."""
+    digits = F.regexp_replace(F.printf(F.lit("%.3g"), c), r"(\.\d*?)0+(?=$|e)", "$1")
+    return F.when(c.isNotNull(), F.regexp_replace(digits, r"\.(?=$|e)", ""))
 
 
 def unit_symbol(c: Column) -> Column:

@@ -17,7 +17,8 @@ STRICT = {
     "tensile_modulus": (1.0, 30000.0), "flexural_modulus": (1.0, 30000.0),
 }
 DENSE_LIMIT = 8.5
-DENSE = r"(?i)bronze|copper|steel|iron|brass|tungsten|metal|stonefill"
+#: Fillings that make a material dense.
+DENSE = r"(?i)bronze|copper|iron|magnetic|magnetite|metal|steel|tungsten"
 
 
 def issue(obs: DataFrame, kind: str, message: str | Column) -> DataFrame:
@@ -51,7 +52,7 @@ def exponent_captures(obs: DataFrame) -> DataFrame:
 def outside_ranges(obs: DataFrame) -> DataFrame:
     span = F.create_map(*[x for k, v in STRICT.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
     r = F.try_element_at(span, F.col("property_key"))
-    dense = F.concat_ws(" ", "product", "base_material", "material_family").rlike(DENSE)
+    dense = F.concat_ws(" ", "supplier", "product", "base_material", "material_family", "source_file").rlike(DENSE)
     high = F.when((F.col("property_key") == "density") & dense, F.lit(DENSE_LIMIT)).otherwise(r[1])
     bad = obs.where(r.isNotNull() & F.col("value_nominal").isNotNull() & ~F.col("value_nominal").between(r[0], high))
     return issue(bad, "outside_strict_range", F.concat("property_key", F.lit("="), X.significant(F.col("value_nominal")), F.lit(" is outside its strict range.")))

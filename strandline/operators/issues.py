@@ -93,9 +93,17 @@ def hint_of(cell: Column) -> Column:
 
 
 def source_orientation(cell: Column) -> Column:
-    """The orientation a label names, in the terms observations use."""
+    """The orientation a label names: Z, YZ or X-Y, in this order."""
     up = F.upper(F.coalesce(cell, F.lit("")))
-    return F.when(up.rlike(r"X\s*-\s*Y"), "X-Y").when(up.rlike(r"\bXY\b"), "XY").when(up.rlike(r"\bZ\b"), "Z")
+    return F.when(up.rlike(r"\bZ\b"), "Z").when(up.rlike(r"\(Y[- ]?Z\)|\bYZ\b"), "YZ").when(up.rlike(r"\bX[- ]?Y\b"), "X-Y")
+
+
+def method_near(parts: Column, at: Column) -> Column:
+    """The last standard named in the value's cell or the four before it."""
+    start = F.greatest(at - 4, F.lit(0))
+    text = F.array_join(F.slice(parts, start + 1, at - start + 1), " | ")
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:ISO|ASTM|GB/T|IEC|DIN|UL)\s*[-/]?\s*[A-Z]?\s*\d+(?:[-/]\d+)?"), F.lit(0))
+    return F.when(at.isNotNull() & (F.size(found) > 0), F.upper(X.squeeze(F.element_at(found, -1))))
 
 
 def context_features(obs: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def rules() -> list[tuple[str, str, Column]]:
         | (F.contains(near, F.lit("mpa")) & (key == "elongation"))
     )
     loads = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("0.45 mpa load")) | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("1.8 mpa load"))
-    flexible = F.concat_ws(" ", "product", "base_material", "material_family").rlike(r"(?i)\b(TPU|TPE|PEBA|flex|varioshore|shore\s*a)\b")
+    flexible = F.concat_ws(" ", "supplier", "product", "base_material", "material_family").rlike(r"(?i)\b(TPU|TPE|PEBA|flex|varioshore|shore\s*a)\b")
     oriented = source_orientation(F.col("label_cell"))
     impact = key.isin(*IMPACTS)
     table = [

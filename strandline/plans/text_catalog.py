@@ -32,9 +32,9 @@ def context_windows(spark, sf):
     return framed.select("doc_id", F.posexplode(frames).alias("i", "window_md5")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "window_md5")
 
 
-@query("""SELECT doc_id, count(*) AS cells, max(strlen(cell)) AS longest FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, '|')), '^ +| +$', '', 'g') AS cell FROM documents) WHERE cell <> '' GROUP BY 1""")
+@query("""SELECT doc_id, count(*) AS cells, max(strlen(cell)) AS longest FROM (SELECT doc_id, replace(unnest(string_split(text, '|')), ' ', '') AS cell FROM documents) WHERE cell <> '' GROUP BY 1""")
 def cell_explode(spark, sf):
-    cells = F.filter(F.transform(F.split("text", r"\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.split(F.replace("text", F.lit(" "), F.lit("")), r"\|"), lambda x: x != "")
     rows = table(spark, sf, "documents").select("doc_id", F.explode(cells).alias("cell"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.max(F.octet_length("cell")).cast("long").alias("longest"))
 
@@ -311,14 +311,14 @@ FAULTS = """CASE p_partkey % 5 WHEN 0 THEN 'infill_density_captured_as_material_
   ELSE 'high_elongation_outlier_for_rigid_material' END"""
 
 
-@query(f"""SELECT * FROM (SELECT p_partkey AS material_id, {FAULTS} AS issue_type FROM part WHERE NOT regexp_matches(p_name || ' ' || p_type, '(?i)\\b(TPU|TPE|PEBA|flex)')) WHERE issue_type IS NOT NULL""")
+@query(f"""SELECT * FROM (SELECT p_partkey AS material_id, {FAULTS} AS issue_type FROM part WHERE NOT regexp_matches(p_brand || ' ' || p_name || ' ' || p_type, '(?i)\\b(TPU|TPE|PEBA|flex)')) WHERE issue_type IS NOT NULL""")
 def issue_detection(spark, sf):
     from ..operators.issues import detect
 
     return detect(detection_rows(spark, sf)).select("material_id", "issue_type")
 
 
-@query("""SELECT p_partkey AS material_id, 'outside_strict_range' AS kind FROM part WHERE p_partkey % 5 = 0 AND NOT regexp_matches(p_name || ' ' || p_type, '(?i)bronze|copper|steel|iron|brass|tungsten|metal|stonefill')""")
+@query("""SELECT p_partkey AS material_id, 'outside_strict_range' AS kind FROM part WHERE p_partkey % 5 = 0 AND NOT regexp_matches(p_brand || ' ' || p_name || ' ' || p_type, '(?i)bronze|copper|iron|magnetic|magnetite|metal|steel|tungsten')""")
 def strict_audit(spark, sf):
     from ..operators.audit import outside_ranges
 
@@ -341,3 +341,29 @@ def windowed_counts(spark, sf):
     from ..streaming.ingest import windowed_counts as counts
 
     return counts(table(spark, sf, "events"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice >= 1000 THEN printf('%.0f', l_extendedprice) WHEN l_extendedprice >= 100 THEN printf('%.1f', l_extendedprice) ELSE printf('%.2f', l_extendedprice) END AS shown,
+ CASE WHEN l_discount > 0.05 THEN 'over' ELSE 'under' END AS side FROM lineitem WHERE l_extendedprice * 10 <> floor(l_extendedprice * 10) AND l_extendedprice * 2 <> floor(l_extendedprice * 2) AND round(l_extendedprice * 100)::BIGINT % 10 <> 5""")
+def value_display(spark, sf):
+    from ..functions.display import value_text
+
+    p = F.col("l_extendedprice")
+    rows = table(spark, sf, "lineitem").where((p * 10 != F.floor(p * 10)) & (p * 2 != F.floor(p * 2)) & (F.round(p * 100).cast("long") % 10 != 5))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
+
+
+@query("""SELECT c_mktsegment, list_transform(range(5), lambda i: lo + (hi - lo) * i / 4) AS ticks FROM (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) WHERE hi > lo""")
+def axis_ticks(spark, sf):
+    from ..functions.display import ticks
+
+    span = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).where("hi > lo")
+    return span.select("c_mktsegment", ticks(F.col("lo"), F.col("hi"), 400, 100).alias("ticks"))
+
+
+@query("""SELECT p_partkey, floor(((23 + h * 137.508::DOUBLE) % 360) + 0.5)::INT AS hue, (52 + h % 24)::INT AS sat FROM (
+ SELECT p_partkey, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(p_type, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 4294967296)::BIGINT AS h FROM part)""")
+def name_colors(spark, sf):
+    from ..functions.display import hue
+
+    return table(spark, sf, "part").withColumn("c", hue(F.col("p_type"))).select("p_partkey", "c.hue", "c.sat")

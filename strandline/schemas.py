@@ -89,3 +89,10 @@ OBSERVATION_COLUMNS = [
     "material_id", "ordinal", "property_key", "property_label", "category", "raw_label", "raw_value", "unit_raw", "unit_canonical",
     "value_min", "value_max", "value_nominal", "test_method", "orientation", "condition", "source_context", "quality_flag",
 ]
+
+#: The properties that summaries, thermal views, radars and the basic scope show, and the order of categories.
+HERO = ["hdt", "tensile_strength", "tensile_modulus", "elongation", "density", "nozzle_temperature"]
+THERMAL = ["nozzle_temperature", "bed_temperature", "chamber_temperature", "drying_temperature", "annealing_temperature"]
+RADAR = ["tensile_strength", "tensile_modulus", "elongation", "flexural_strength", "flexural_modulus", "impact_strength", "impact_charpy", "hdt", "glass_transition", "density"]
+BASIC = ["density", "nozzle_temperature", "bed_temperature", "chamber_temperature", "hdt", "impact_best", "tensile_strength::xy", "tensile_strength::z", "tensile_modulus::xy", "tensile_modulus::z", "flexural_modulus::xy", "flexural_modulus::z"]
+CATEGORIES = [SPECS, PRINT, MECH, HEAT, PHYS, "Electrical", SAFE, "Other"]

@@ -103,3 +103,32 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     extract_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.value_nominal for r in spark.read.parquet(str(tmp_path / "out/observations")).collect()] == [1.27]
+
+
+def test_display(spark):
+    from strandline.functions import display as D
+
+    v = spark.createDataFrame([(1234.56,), (123.45678,), (12.3,), (1.5,), (0.1200,), (None,)], "v double")
+    assert [r[0] for r in v.select(D.value_text(F.col("v"))).collect()] == ["1235", "123.5", "12.30", "1.5", "0.12", ""]
+    assert [r[0] for r in v.select(D.axis_text(F.col("v"))).collect()] == ["1235", "123.5", "12.3", "1.5", "0.12", ""]
+    assert [r[0] for r in v.select(D.util_color(F.col("v") / 10)).collect()][2:4] == ["rgb(185 70 84)" if 1.23 > 1.35 else "rgb(204 89 97)", "rgb(151 211 139)"]
+    assert one(spark, D.short_metric, "Bed / build plate temperature") == "Bed/build plate" and one(spark, lambda c: D.clipped(c), "x" * 20) == "x" * 17 + "..."
+    row = v.limit(1).select(D.ticks(F.lit(0.0), F.lit(10.0), 400, 100), D.radar_point(F.lit(1), 4, F.lit(0.5), 10.0), D.quality_notes(F.lit("unit_converted:psi->MPa;unit_not_converted"), F.lit("5"), F.lit("psi"))).first()
+    assert row[0] == [0.0, 2.5, 5.0, 7.5, 10.0] and abs(row[1].x - 5) < 1e-9 and abs(row[1].y) < 1e-9
+    assert row[2] == ["Converted from source value 5 psi (psi to MPa) for metric comparison.", "The source's unit could not be converted safely."]
+
+
+def test_collecting(spark):
+    from strandline.sources import collect as L
+
+    df = spark.createDataFrame([("ColorFabb", "https://c/filaments/materials/pla", ""), ("ColorFabb", "https://c/filaments/effects/pla", ""), ("SUNLU", "https://s/products/pla", ""), ("SUNLU", "https://s/products/pla-dryer", ""), ("MatterHackers", "https://m/store/l/abs", ""), ("SUNLU", "https://s/store/l/abs", "")], "v string, u string, t string")
+    assert [r[0] for r in df.select(L.is_product_page(F.col("v"), F.col("u"), F.col("t"))).collect()] == [True, False, True, False, True, False]
+    links = spark.createDataFrame([("TDS", "https://a/x.pdf"), ("SDS tds", "https://a/x.pdf"), ("TDS", "https://a/x.html"), ("", "https://a/f?filename=tds_pla")], "t string, u string")
+    assert [r[0] for r in links.select(L.is_datasheet_link(F.col("t"), F.col("u"))).collect()] == [True, False, False, True]
+    assert one(spark, L.ascii_filename, "Caf%C3%A9 / PLA*.pdf") == "Cafe PLA .pdf" and one(spark, L.ascii_filename, "///") == "document"
+    assert links.limit(1).select(L.datasheet_label(F.lit("PLA"), F.lit("Download PLA"), F.lit("https://a/PLA_x.pdf"))).first()[0] == "PLA PLA PLA x technical_datasheet"
+    names = spark.createDataFrame([("a.pdf", 1), ("a.pdf", 2), ("b", 3)], "name string, ord int")
+    assert sorted(r.unique_name for r in L.unique_names(names).collect()) == ["a (2).pdf", "a.pdf", "b"]
+    page = spark.createDataFrame([("u", '<li data-label="PLA CF"><input name="amshopby[material][]"></li><li data-label="pla cf"><input name="amshopby[material][]"></li>')], "url string, html string")
+    assert [(r.label, r.facet_url) for r in L.material_facets(page).collect()] == [("PLA CF", "https://colorfabb.us/filaments/pla_cf")]
+    assert L.worklist(spark.createDataFrame([("SUNLU", "open"), ("X", "open"), ("Y", "done")], "vendor string, status string"), ["open"]).select("product_limit").collect() == [(30,), (25,)]
