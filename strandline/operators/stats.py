@@ -2,7 +2,7 @@
 
 An observation frame has material_id, property_key, value (nullable double), orientation
 and an `ordinal` that orders rows totally; where first-wins matters it decides.
-Exact quantiles use percentile(), whose state is a value-to-count map merged map-side.
+Exact quantiles count equal values first and rank the distinct ones in sorts that spill.
 """
 
 from __future__ import annotations
@@ -14,6 +14,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles, linear between ranks, as columns named by `probs`.
+
+    Equal values are counted first, map-side too; ranks are running sums over the sorted distinct
+    values. Sorts spill, where an aggregate would hold a group's values in memory.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    whole = W.partitionBy(*by)
+    upto = F.sum("__n").over(whole.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(whole))
+    parts = []
+    for name, p in probs.items():
+        at = (F.col("__all") - 1) * F.lit(p)
+        parts += [
+            F.min(F.when(F.col("__upto") > F.floor(at), F.col(value))).alias(f"__lo_{name}"),
+            F.min(F.when(F.col("__upto") > F.ceil(at), F.col(value))).alias(f"__hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"__part_{name}"),
+        ]
+    made = ranked.groupBy(*by).agg(*parts)
+    between = [
+        (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__part_{n}") + 0.0).alias(n) for n in probs
+    ]
+    return made.select(*by, *between)
+
+
 def coverage(obs: DataFrame, properties: DataFrame) -> DataFrame:
     """One row a property, also for those never observed: materials, observations and figures of the numbers."""
     made = obs.groupBy("property_key").agg(
@@ -23,10 +48,10 @@ def coverage(obs: DataFrame, properties: DataFrame) -> DataFrame:
         (F.min("value") + 0.0).alias("min_value"),
         (F.max("value") + 0.0).alias("max_value"),
         F.avg("value").alias("mean_value"),
-        F.median("value").alias("median_value"),
     )
+    middle = quantiles(obs, ["property_key"], "value", {"median_value": 0.5})
     zero = ["materials", "observations", "numeric_observations"]
-    return properties.join(made, "property_key", "left").na.fill(0, zero)
+    return properties.join(made.join(middle, "property_key", "left"), "property_key", "left").na.fill(0, zero)
 
 
 def totals(materials: DataFrame, obs: DataFrame) -> DataFrame:
@@ -68,23 +93,13 @@ def material_stat(obs: DataFrame, keys: Sequence[str] | None = None) -> DataFram
 
 def box(obs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, quartiles (linear between ranks), extremes, mean, and where quartiles stand in the range."""
-    made = (
-        obs.where("value IS NOT NULL")
-        .groupBy(*by)
-        .agg(
-            F.count("value").alias("n"),
-            F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-            (F.min("value") + 0.0).alias("min_value"),
-            (F.max("value") + 0.0).alias("max_value"),
-            F.avg("value").alias("mean_value"),
-        )
+    some = obs.where("value IS NOT NULL")
+    made = some.groupBy(*by).agg(
+        F.count("value").alias("n"), (F.min("value") + 0.0).alias("min_value"), (F.max("value") + 0.0).alias("max_value"), F.avg("value").alias("mean_value")
     )
-    out = made.select(
-        *by, "n", (F.col("q")[0] + 0.0).alias("q1"), (F.col("q")[1] + 0.0).alias("median_value"),
-        (F.col("q")[2] + 0.0).alias("q3"), "min_value", "max_value", "mean_value",
-    )
+    out = made.join(quantiles(some, by, "value", {"q1": 0.25, "median_value": 0.5, "q3": 0.75}), list(by))
     at = {f"{c}_at": position(F.col(c), F.col("min_value"), F.col("max_value")) for c in ("q1", "median_value", "q3")}
-    return out.withColumns(at)
+    return out.select(*by, "n", "q1", "median_value", "q3", "min_value", "max_value", "mean_value").withColumns(at)
 
 
 def position(value: Column, lo: Column, hi: Column) -> Column:
