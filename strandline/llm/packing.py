@@ -13,9 +13,11 @@ columns are not read. Only the last sequence can need padding.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import map_batches, materialize, process_cache, quiet_threads, tabl
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond, it starts to remember anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 #: New words that are encoded as one text.
 WORDS_A_TEXT = 1000
 #: Fixed value: white space other than the blank and the line feed.
@@ -63,12 +65,34 @@ class Encoder:
         self.line = array("H", [self.line_id]).tobytes()
         self.leading: dict[str, bytes] = {"": b""}  # a line's first word
         self.spaced: dict[str, bytes] = {}  # a word with the blank before it
+        self.marks: dict[str, bytes] = {}  # marks after letters
 
     def ids(self, texts: list[str]) -> list[array]:
         return [array("H", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, known: dict[str, bytes], words: list[str], before: str) -> None:
-        """Ids of words that hold no white space, WORDS_A_TEXT to a text, cut at its line feeds."""
+        """Ids of words that hold no white space.
+
+        Letters and the marks after them are split before merging, so such a word is its
+        letters' ids and its marks' ids: most are known from other words.
+        """
+        plain: set[str] = set()
+        made: list[tuple[str, str, str]] = []
+        for word in words:
+            letters = word.rstrip(punctuation)
+            if letters != word and letters.isalpha():
+                made.append((word, letters, word[len(letters) :]))
+                if letters not in known:
+                    plain.add(letters)
+            else:
+                plain.add(word)
+        self.encode_words(known, list(plain), before)
+        self.encode_words(self.marks, list({m for _, _, m in made}.difference(self.marks)), "")
+        for word, letters, marks in made:
+            known[word] = known[letters] + self.marks[marks]
+
+    def encode_words(self, known: dict[str, bytes], words: list[str], before: str) -> None:
+        """Words are encoded WORDS_A_TEXT to a text, one a line, and cut at the line feeds."""
         parts = [words[k : k + WORDS_A_TEXT] for k in range(0, len(words), WORDS_A_TEXT)]
         for part, ids in zip(parts, self.ids([before + ("\n" + before).join(p) for p in parts])):
             ids.append(self.line_id)
@@ -81,30 +105,37 @@ class Encoder:
                 start = stop + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        plan = [None if not t or uneven(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        whole = iter(self.ids([t for t, p in zip(texts, plan) if t and p is None]))
-        lead: set[str] = set()
-        words: set[str] = set()
-        for lines in plan:
-            for line in lines or ():
-                lead.add(line[0])
-                words.update(line[1:])
-        # a trailing blank leaves an empty word, which can't have a line of its own
-        if "" in words:
-            words.discard("")
-            self.spaced[""] = self.ids([" "])[0].tobytes()
         first, later = self.leading, self.spaced
-        self.learn(first, list(lead.difference(first)), "")
-        self.learn(later, list(words.difference(later)), " ")
-        out = []
-        for t, lines in zip(texts, plan):
-            if lines:
-                rows = [b"".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in lines]
-                out.append(self.line.join(rows) + self.end)
-            else:
-                out.append((next(whole).tobytes() if t else b"") + self.end)
-        if len(first) + len(later) > CACHED_WORDS:
-            self.leading, self.spaced = {"": b""}, {}
+        get, odd = later.get, []
+        plan: list[list[list] | None] = []
+        gaps: list[tuple[list, int, str]] = []  # a line's words, the place of an unknown one, and that word
+        for t in texts:
+            if not t or uneven(t):
+                plan.append(None)
+                odd.append(t or "")
+                continue
+            lines = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                row = list(map(get, words))
+                row[0] = first.get(words[0])
+                if None in row:
+                    gaps += [(row, i, words[i]) for i, x in enumerate(row) if x is None]
+                lines.append(row)
+            plan.append(lines)
+        whole = iter(self.ids(odd))
+        lead, rest = {w for _, i, w in gaps if not i}, {w for _, i, w in gaps if i}
+        if "" in rest:  # a trailing blank leaves an empty word, which can't have a line of its own
+            rest.discard("")
+            later[""] = self.ids([" "])[0].tobytes()
+        self.learn(first, list(lead), "")
+        self.learn(later, list(rest), " ")
+        for row, i, word in gaps:
+            row[i] = later[word] if i else first[word]
+        join, line = b"".join, self.line
+        out = [(next(whole).tobytes() if rows is None else line.join(map(join, rows))) + self.end for rows in plan]
+        if len(first) + len(later) + len(self.marks) > CACHED_WORDS:
+            self.leading, self.spaced, self.marks = {"": b""}, {}, {}
         return out
 
 
@@ -120,7 +151,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             cache[path, end_id] = Encoder(path, end_id)
         encoder, total = cache[path, end_id], 0
         for b in batches:
-            ids = encoder.encode(b.column("text").to_pylist())
+            gc.disable()  # a batch makes many small objects and no cycles
+            try:
+                ids = encoder.encode(b.column("text").to_pylist())
+            finally:
+                gc.enable()
             n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
             ends = np.cumsum(n)
             arrays = [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(ends - n + total)]
