@@ -94,6 +94,10 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, a: float, b: float):
         self.weights, self.bias, self.a, self.b = weights, bias, a, b
 
+    def state(self) -> tuple:
+        """What __init__ takes: plain values, so that workers need no copy of this module to unpickle a broadcast."""
+        return self.weights, self.bias, self.a, self.b
+
     def margin(self, ids: np.ndarray) -> float:
         return (float(self.weights[ids].sum()) + self.bias) / np.sqrt(len(ids) + 1)
 
@@ -147,11 +151,12 @@ def shared_shapes() -> Shapes:
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """held_out, score and predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))  # BUCKETS numbers
+    model = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")).state())  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*model.value)
         for b in batches:
-            s = scores(model.value, binary(b.column("text")), shared_shapes())
+            s = scores(fitted, binary(b.column("text")), shared_shapes())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -163,11 +168,12 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score `threshold` or more, all columns as they came."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels).state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*model.value)
         for b in batches:
-            s = scores(model.value, binary(b.column("text")), shared_shapes())
+            s = scores(fitted, binary(b.column("text")), shared_shapes())
             yield b.filter(pa.array(s >= threshold))
 
     return map_batches(docs, [F.col(f"`{c}`") for c in docs.columns], run, docs.schema)

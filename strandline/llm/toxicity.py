@@ -81,8 +81,12 @@ def tail_rate(values: np.ndarray, weights: np.ndarray) -> float:
 class Model:
     """Word scores, the extreme-value law, and the two numbers of the probability."""
 
-    def __init__(self, words: dict[bytes, float], rate: float):
-        self.words, self.rate, self.k, self.a, self.b = words, rate, 1.0, 1.0, 0.0
+    def __init__(self, words: dict[bytes, float], rate: float, k: float = 1.0, a: float = 1.0, b: float = 0.0):
+        self.words, self.rate, self.k, self.a, self.b = words, rate, k, a, b
+
+    def state(self) -> tuple:
+        """What __init__ takes: plain values, so that workers need no copy of this module to unpickle a broadcast."""
+        return self.words, self.rate, self.k, self.a, self.b
 
     def segments(self, text: bytes) -> tuple[list[tuple[int, int, float]], int]:
         parts = text.translate(LOWER_ALNUM).split()
@@ -171,13 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     values = np.append(score[sure], DRIFT)
     weights = np.append(seen[sure], max(1.0, all_words - seen[sure].sum()))
     model = Model({w: float(s) for w, s in zip(words, score) if s > 0}, min(tail_rate(values, weights), 5.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
         for b in batches:
-            found = [shared.value.segments(t) for t in binary(b.column("text"))]
+            found = [m.segments(t) for t in binary(b.column("text"))]
             parts = [np.array([s for _, _, s in f], np.float64).tobytes() for f, _ in found]
-            n = [m for _, m in found]
+            n = [size for _, size in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array(n, pa.int64()), pa.array(parts, pa.binary())],
                 names=["label", "n", "segments"],
@@ -200,10 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """held_out, score and predicted of every document, and the words its passages span."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))  # words of a bounded sample
+    model = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")).state())  # words of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(*model.value)
         for b in batches:
             found = [m.significant(t or b"") for t in binary(b.column("text"))]
             x = np.array([np.log1p(sum(e for _, _, e in f)) for f in found])
