@@ -192,3 +192,26 @@ def polygon_area(vertices: DataFrame) -> DataFrame:
 def snap(value: Column, step: float) -> Column:
     """To the grid, halves upward."""
     return F.floor(value / step + 0.5) * step
+
+
+def turned(points: Column, area: Column) -> Column:
+    """Vertices against the clock; fewer than three stay as they are."""
+    return F.when((F.size(points) >= 3) & (area < 0), F.reverse(points)).otherwise(points)
+
+
+def padded(lo: Column, hi: Column, least: float, pad: float, zoom: Column) -> Column:
+    """The view around lo..hi, `least` wide at least, as a struct (lo, hi)."""
+    half = (F.greatest(hi - lo, F.lit(float(least))) + 2 * pad) / zoom / 2
+    return F.struct(((lo + hi) / 2 - half).alias("lo"), ((lo + hi) / 2 + half).alias("hi"))
+
+
+def fitted(loads: DataFrame, bounds: DataFrame, grid: float | None = None) -> DataFrame:
+    """Supports and loads (model, id, x1, x2; a point has no x2) moved inside the part's bounds.
+
+    With a grid, as when one is added: places snap to it, and a spread load shorter than it is refused.
+    """
+    place = lambda c: snap(F.col(c), grid) if grid else F.col(c)
+    inside = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(place(c), F.col("min_x")), F.col("max_x")))
+    out = loads.join(bounds.select("model", "min_x", "max_x"), "model")
+    out = out.withColumns({"x1": inside("x1"), "x2": inside("x2")}).drop("min_x", "max_x")
+    return out.where(F.col("x2").isNull() | (F.abs(F.col("x1") - F.col("x2")) >= grid)) if grid else out

@@ -23,6 +23,8 @@ EXCLUDED = (
 )
 UNLESS_FILAMENT = ("printer",)
 PRODUCT_PATHS = ("/products/", "/product/", "/store/l/", "/materials/")
+#: Sources of candidates that came with a sidecar.
+SIDECARS = ("html_material_specs", "html_sidecar")
 MAX_OFFERS = 60
 
 
@@ -58,12 +60,28 @@ def dedupe_candidates(rows: DataFrame, key: Sequence[str], hint: str, order: str
 
 def capped_candidates(rows: DataFrame, limits: DataFrame, default: int = 60) -> DataFrame:
     """Per vendor the first candidates, sidecar ones first, then by url; limits has a row a vendor."""
-    order = [F.when(F.col("source") == "html_sidecar", 0).otherwise(1), F.col("url")]
+    order = [F.when(F.col("source").isin(*SIDECARS), 0).otherwise(1), F.col("url")]
     w = W.partitionBy("vendor").orderBy(*order)
     ranked = rows.withColumn("__rn", F.row_number().over(w)).join(limits.select("vendor", "product_limit"), "vendor", "left")
     return ranked.where(F.col("__rn") <= F.coalesce("product_limit", F.lit(default))).drop("__rn", "product_limit")
 
 
+def discover(parts: Sequence[DataFrame], limits: DataFrame, default: int = 60) -> DataFrame:
+    """Candidates (vendor, url, hint, source, place) of sidecar, sitemaps, seeds and seed pages, in that order: once each, then capped.
+
+    A seed counts only if it looks like a product's address; the caller filters it by is_filament_url.
+    """
+    rows = None
+    for k, part in enumerate(parts):
+        named = part.select("vendor", X.normalize_price_url(F.col("url")).alias("url"), "hint", "source", F.struct(F.lit(k).alias("part"), F.col("place").cast("long").alias("place")).alias("found"))
+        rows = named if rows is None else rows.unionByName(named)
+    w = W.partitionBy("vendor", "url")
+    hinted = F.max((F.coalesce("hint", F.lit("")) != "").cast("int")).over(w) == 1
+    first = F.min(F.when(F.coalesce("hint", F.lit("")) != "", F.col("found"))).over(w)
+    kept = rows.withColumn("__want", F.when(hinted, first).otherwise(F.max("found").over(w))).where(F.col("found") == F.col("__want"))
+    return capped_candidates(kept.drop("found", "__want"), limits, default)
+
+
 def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: Column, score: Column, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Three stages: equal offers once; the best-scored of an identity; no nameless offer beside a named one of that price.
 
