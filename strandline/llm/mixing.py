@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SHARDS = 16
+#: Sources up to which their table is broadcast; beyond, it is joined like any other.
+MOST_BROADCAST = 10_000
 #: Blocks a shard gets on average.
 BLOCKS = 64
 SEED = 11
@@ -104,7 +106,9 @@ def plan(sizes: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         rows.append((r["source"], before, r["size"], g, passes, g - passes * r["size"], n, step, int(rng.integers(0, n)), c))
         before += r["size"]
     fields = "s string, base long, source_size long, target double, passes int, rest double, blocks long, step long, first long, cuts array<long>"
-    sources = F.broadcast(spark.createDataFrame(rows, fields))  # a row a source
+    sources = spark.createDataFrame(rows, fields)  # a row a source
+    if len(rows) <= MOST_BROADCAST:
+        sources = F.broadcast(sources)
     keys = [c for c in sizes.columns if c not in ("source", "size")]
     drawn = sizes.withColumn("__draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], "source", "size"))
     order = [F.col("source").isNull(), F.col("source"), F.col("__draw"), *[F.col(c) for c in keys]]
