@@ -1,6 +1,12 @@
 import collections
+import random
+import re
 
 import corpus_pipeline
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
 from strandline.llm import mixing, packing, quality_model, quality_rules, registry, simhash
 from strandline.llm.common import table, tokenizer_path
 
@@ -44,3 +50,102 @@ def test_registered():
 
 def test_empty_documents(spark, folder):
     assert corpus_pipeline.run(spark, folder()).count() == 0
+
+
+BLANK = r"[^\x20\x09-\x0D]+"
+
+
+def rejected(text):
+    """The quality rules, one by one."""
+    text = text or ""
+    words, lines = re.findall(BLANK, text), text.split("\n")
+    full = [x for x in lines if re.search(BLANK, x)]
+    at = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        at[tuple(words[i : i + 5])].append(i)
+    repeated = len({i + k for a in at.values() if len(a) > 1 for i in a for k in range(5)})
+    chars = sum(map(len, words))
+    return (
+        len(words) < 10 or 100 * repeated > 20 * len(words) or 10 * len(re.findall(r"[#*$%&|<>]", text)) > 3 * chars
+        or 2 * (len(full) - len(set(full))) > len(lines) or not 2 * len(words) <= chars <= 30 * len(words)
+        or 10 * len(re.findall("[A-Z]", text)) > 6 * chars
+    )
+
+
+def fingerprint(text):
+    w = re.findall(BLANK, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def one_of_each(rows, radius=3):
+    fps = [fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    best = {}
+    for r, g in zip(rows, group):
+        if g not in best or (r[0] is None, r[0] or 0) < (best[g][0] is None, best[g][0] or 0):
+            best[g] = r
+    return list(best.values())
+
+
+def levels(sizes, total, weights):
+    lo, hi = 0.0, 1e12
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * s, mid * w) for s, w in zip(sizes, weights)) < total else (lo, mid)
+    return [min(2 * s, hi * w) for s, w in zip(sizes, weights)]
+
+
+def corpus(seed=5):
+    """Good prose, junk of other words and shapes, near and exact copies, odd rows; and the labels of some."""
+    rng = random.Random(seed)
+    good, bad = ([f"{p}{a}{b}" for a in "aeiou" for b in "lmnrst"] for p in ("ver", "zx-9q"))
+    rows, labels, junk = [], [], set()
+    for i in range(200):
+        poor = i % 4 == 0
+        rows.append((i, " ".join(rng.choices(bad if poor else good, k=rng.randint(40, 90))), "en", ["a", "b", None][i % 3]))
+        if i % 3:
+            labels.append((i, 0 if poor else 1, 0))
+        if poor:
+            junk.add(i)
+    for i in range(1, 60, 2):
+        rows.append((300 + i, rows[i][1] + (" tail" if i % 3 else ""), "en", "b"))
+    rows += [(400, None), (401, ""), (402, "short one"), (403, "# " * 60), (1, rows[1][1], "en", "a"), (None, rows[2][1] + " x", "en", "c"), (404, "again and again " * 40)]
+    return [(*r, *[None, None][: 4 - len(r)]) for r in rows], labels, junk
+
+
+def test_pipeline_against_brute_force(spark, folder):
+    rows, labels, junk = corpus()
+    got = corpus_pipeline.run(spark, folder(documents=rows, labels=labels)).collect()
+    left = one_of_each([r for r in rows if not rejected(r[1]) and not (r[0] in junk or r[0] is not None and r[0] >= 300 and r[0] - 300 in junk)])
+    t = Tokenizer.from_file(tokenizer_path())
+    tokens = {r[0]: len(t.encode(r[1], add_special_tokens=False).ids) + 1 for r in left}
+    size = {r[0]: len(re.findall(BLANK, r[1])) for r in left}
+    packed = collections.Counter()
+    for r in got:
+        packed[r.doc_id] += r.length
+        assert r.doc_tokens == tokens[r.doc_id]  # nothing that a stage rejects comes back
+    times = {d: n // tokens[d] for d, n in packed.items()}
+    assert all(n == times[d] * tokens[d] and times[d] in (1, 2) for d, n in packed.items())
+    per = collections.Counter()
+    for r in left:
+        per[r[3]] += size[r[0]]
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    for s, goal in zip(order, levels([per[s] for s in order], 1.5 * sum(per.values()), [(5, 2, 1)[i % 3] for i in range(len(order))])):
+        own = [r[0] for r in left if r[3] == s]
+        assert abs(sum(times.get(d, 0) * size[d] for d in own) - goal) <= max(size[d] for d in own)
+    held = collections.Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held[r.sequence_id]
+        held[r.sequence_id] += r.length
+    assert sorted(held) == list(range(len(held))) and all(held[s] == 2048 for s in range(len(held) - 1))
+
+
+@pytest.mark.parametrize("rows", [[(1, None)], [(None, None, None, None)] * 3], ids=["null text", "null rows"])
+def test_pipeline_on_rows_of_nulls(spark, folder, rows):
+    assert corpus_pipeline.run(spark, folder(documents=rows)).count() == 0
