@@ -106,7 +106,19 @@ def url_parts(spark, sf):
     )
 
 
-@query()
+def _unescaped(sql: str) -> str:
+    """SQL for the text of HTML: entities that these pages hold, and white space."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace({sql}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT url, {_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_unescaped("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
+  replace(regexp_replace(regexp_extract(url, '^[^?#]*?([^/?#]*)(?:[?#].*)?$', 1), '\\.[^.]*$', ''), '-', ' ') AS slug, html FROM pages),
+s AS (SELECT *, list_filter([heading, title, slug], lambda x: x <> '') AS every FROM p),
+m AS (SELECT *, list_transform(every, lambda x: {{'s': length(x) + CASE WHEN regexp_matches(lower(x), '\\b(kg|g|lb|lbs)\\b') THEN 100 ELSE 0 END + CASE WHEN contains(lower(x), 'filament') THEN 50 ELSE 0 END, 't': x}}) AS scored FROM s)
+SELECT url, coalesce(list_sort(scored)[-1].t, '') AS best_title, trim(regexp_replace(coalesce(nullif(heading, ''), nullif(title, ''), slug), '(?i)\\s*[|-]\\s*(SUNLU|ELEGOO|Anycubic|HATCHBOX|Creality Store|ColorFabb|Fillamentum).*$', '')) AS first_title,
+ len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS links, len(regexp_extract_all(html, '(?i)<tr\\b')) AS table_rows FROM m""")
 def page_structure(spark, sf):
     from ..sources.html import best_title, first_title, parse_pages
 
@@ -114,7 +126,9 @@ def page_structure(spark, sf):
     return pages.select("url", best_title(F.col("url")).alias("best_title"), first_title(F.col("url")).alias("first_title"), F.size("links").cast("long").alias("links"), F.size("rows").cast("long").alias("table_rows"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT url, html, regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1) AS texts FROM pages),
+l AS (SELECT url, unnest(range(len(hrefs))) AS ord, unnest(hrefs) AS href, unnest(texts) AS text FROM a)
+SELECT url, ord, regexp_extract(url, '^[^:]*://[^/?#]*') || {_unescaped("href")} AS link, {_unescaped("text")} AS text FROM l WHERE href LIKE '/%'""")
 def link_explode(spark, sf):
     from ..sources.html import page_links, parse_pages
 
