@@ -92,7 +92,7 @@ def material_tip(product: Column, supplier: Column, base: Column, family: Column
 
 
 def shown_range(lo: Column, hi: Column, center: Column, zoom: Column) -> Column:
-    """The part of lo..hi that a plot shows, as a struct (lo, hi): centred where asked, but inside the range. A point is one wide."""
+    """The part of lo..hi that a plot shows, as a struct (lo, hi): centred where asked, but inside the range. A range without width is shown one wide, from its value up."""
     half = F.when(hi > lo, hi - lo).otherwise(1.0) / zoom / 2
     middle = F.greatest(lo + half, F.least(hi - half, F.coalesce(center, (lo + hi) / 2)))
     return F.struct((middle - half).alias("lo"), (middle + half).alias("hi"))
