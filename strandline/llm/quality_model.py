@@ -31,37 +31,41 @@ ALPHA = 1.0
 COST = 1.0
 EPOCHS = 12
 THRESHOLD = 0.3
-#: Words whose shapes a Python worker remembers.
+#: Words whose codes a Python worker remembers.
 CACHED_WORDS = 300_000
 #: Fixed value: the class of each byte; other bytes stand for themselves.
 SHAPE = bytes(
     65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 RUNS = re.compile(rb"(.)\1+", re.S)
+#: Odd multipliers that hash runs of checksums.
+MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Shapes(dict):
-    """A word's shape, worked out once."""
+class Codes(dict):
+    """A word's checksum, lower-cased, above that of its shape; worked out once."""
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
         shape = RUNS.sub(rb"\1", word.translate(SHAPE))[:16]
+        code = zlib.crc32(word.translate(LOWER)) << 32 | zlib.crc32(shape, 1)
         if len(word) < 64:
-            self[word] = shape
-        return shape
+            self[word] = code
+        return code
 
 
-def features(text: bytes, shapes: Shapes) -> np.ndarray:
-    """The hashed n-grams of a text, distinct and sorted."""
+def features(text: bytes, codes: Codes) -> np.ndarray:
+    """The hashed n-grams of a text, distinct and sorted: runs of shapes are hashed by multiplying their checksums, all at once."""
     raw = text.split()
-    form = list(map(shapes.__getitem__, raw))
-    crc = zlib.crc32
-    ids = [crc(w) for w in set(text.translate(LOWER).split())]
-    ids += [crc(s, 1) for s in set(form)]
-    ids += [crc(b" ".join(p), 2) for p in set(zip(form, form[1:]))]
-    ids += [crc(b" ".join(p), 3) for p in set(zip(form, form[1:], form[2:]))]
-    return np.unique(np.array(ids, np.int64) % BUCKETS)
+    code = np.fromiter(map(codes.__getitem__, raw), np.uint64, len(raw))
+    shape = code & np.uint64(0xFFFFFFFF)
+    two = shape[:-1] * MIX + shape[1:]
+    three = two[:-1] * MIX + shape[2:]
+    runs = (np.concatenate([shape, two + np.uint64(1), three + np.uint64(2)]) * SPREAD) >> np.uint64(32)
+    ids = np.concatenate([code >> np.uint64(32), runs]) % np.uint64(BUCKETS)
+    ids = np.sort(ids.astype(np.int32))
+    return ids[np.diff(ids, prepend=-1) > 0].astype(np.int64)
 
 
 def fit_hinge(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 3):
@@ -129,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     """Fit on about `bound` labelled rows at most; only their feature ids reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
+        codes = Codes()
         for b in batches:
-            ids = [features(t, shapes).astype(np.int32).tobytes() for t in binary(b.column("text"))]
+            ids = [features(t, codes).astype(np.int32).tobytes() for t in binary(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.binary())], names=["label", "ids"])
 
     chosen = sample(docs, labels, "quality", bound)
@@ -140,12 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     return fit([np.frombuffer(r["ids"], np.int32) for r in made], np.array([int(r["label"] > 0) for r in made], np.int64))
 
 
-def scores(model: Model, texts: list[bytes | None], shapes: Shapes) -> np.ndarray:
-    return sigmoid(model.a * np.array([model.margin(features(t or b"", shapes)) for t in texts]) + model.b)
+def scores(model: Model, texts: list[bytes | None], codes: Codes) -> np.ndarray:
+    return sigmoid(model.a * np.array([model.margin(features(t or b"", codes)) for t in texts]) + model.b)
 
 
-def shared_shapes() -> Shapes:
-    return process_cache("shapes").setdefault("all", Shapes())
+def shared_codes() -> Codes:
+    return process_cache("codes").setdefault("all", Codes())
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +160,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(*model.value)
         for b in batches:
-            s = scores(fitted, binary(b.column("text")), shared_shapes())
+            s = scores(fitted, binary(b.column("text")), shared_codes())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -173,7 +177,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(*model.value)
         for b in batches:
-            s = scores(fitted, binary(b.column("text")), shared_shapes())
+            s = scores(fitted, binary(b.column("text")), shared_codes())
             yield b.filter(pa.array(s >= threshold))
 
     return map_batches(docs, [F.col(f"`{c}`") for c in docs.columns], run, docs.schema)
