@@ -291,7 +291,10 @@ def snap_and_risk(spark, sf):
     return table(spark, sf, "lineitem").select(v.alias("v"), B.snap(v, 5.0).cast("double").alias("snapped"), B.risk(v / 50).alias("risk")).distinct()
 
 
-@query()
+@query("""WITH o(property_key, k, unit_raw, test_method, quality_flag) AS (VALUES ('density', 0, 'g/cm3', 'ISO 1183', NULL), ('tensile_strength', 1, 'MPa', 'ISO 527', NULL),
+ ('nozzle_temperature', 2, 'degC', NULL, NULL), ('impact_izod', 3, 'ft-lb/in', 'ASTM D256', 'unit_converted:ft-lb/in->J/m')),
+r AS (SELECT p_partkey::VARCHAR AS material_id, o.*, CASE k WHEN 0 THEN round(1 + p_size / 100.0::DOUBLE, 2)::VARCHAR WHEN 1 THEN (20 + p_size)::VARCHAR WHEN 2 THEN (190 + p_size)::VARCHAR ELSE round(p_size / 10.0::DOUBLE, 1)::VARCHAR END AS raw_value FROM part CROSS JOIN o)
+SELECT material_id, property_key, raw_value, unit_raw, round(raw_value::DOUBLE * CASE WHEN k = 3 THEN 1.3558179483314004::DOUBLE / 0.0254 ELSE 1 END, 6) AS value_nominal, test_method, quality_flag FROM r""")
 def extraction(spark, sf):
     """Observations of lines that read like datasheet rows, made from part's numbers."""
     from ..operators.extract import extract
