@@ -56,12 +56,9 @@ def property_groups(obs: DataFrame, definitions: DataFrame, key: Sequence[str],
     return named.withColumn("place", category_rank(F.col("section"), list(ranks)).cast("long"))
 
 
-def metric_panel(stat: DataFrame, span: DataFrame, definitions: DataFrame, ids: DataFrame) -> DataFrame:
-    """A row for each record of ids and metric of definitions (property_key, metric_order), with its place in the range; without a number 0.
-
-    Both sides of the product are small: a panel's metrics, and the records on show.
-    """
-    grid = ids.select("material_id").crossJoin(definitions.select("property_key", "metric_order"))
+def metric_panel(stat: DataFrame, span: DataFrame, keys: Sequence[str], ids: DataFrame) -> DataFrame:
+    """A row for each record of ids and each of the keys, with its place in the range; without a number 0."""
+    grid = ids.select("material_id", F.posexplode(F.array(*[F.lit(k) for k in keys])).alias("metric_order", "property_key"))
     found = grid.join(stat.select("material_id", "property_key", "mean_value", "n"), ["material_id", "property_key"], "left")
     placed = found.join(span, "property_key", "left")
     score = F.coalesce(position(F.col("mean_value"), F.col("lo"), F.col("hi")), F.lit(0.0))

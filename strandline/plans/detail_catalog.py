@@ -47,9 +47,8 @@ SELECT i.material_id, k.metric_order, k.property_key, round(s.mean_value + 0.000
 FROM ids i CROSS JOIN keys k LEFT JOIN stat s ON s.material_id = i.material_id AND s.property_key = k.property_key LEFT JOIN span p ON p.property_key = k.property_key""")
 def metric_panel(spark, sf):
     obs = observations(spark, sf)
-    keys = spark.createDataFrame([("quantity", 0), ("hardness", 1), ("tax", 2)], "property_key string, metric_order int")
     ids = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("material_id"))
-    return rounded(D.metric_panel(S.material_stat(obs), S.ranges(obs), keys, ids), "mean_value", "score")
+    return rounded(D.metric_panel(S.material_stat(obs), S.ranges(obs), ["quantity", "hardness", "tax"], ids), "mean_value", "score")
 
 
 @query("""WITH l AS (SELECT l_partkey AS material_id, l_returnflag || l_linestatus AS m, strftime(l_shipdate, '%Y-%m-%d') AS c FROM lineitem)
