@@ -456,6 +456,14 @@ def natural_sort_key(spark, sf):
     return some.select("p_partkey", Q.natural_key(F.col("p_name")).alias("sort_key"))
 
 
+@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_partkey), '[0-9]+|[^0-9]+'),
+ lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(regexp_replace(r, '^0+([0-9])', '\\1'), 12, '0') ELSE r END), '') AS sort_key FROM part""")
+def natural_sort_key_whole(spark, sf):
+    """Every part, under a name with several runs of digits."""
+    name = F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", Q.natural_key(name).alias("sort_key"))
+
+
 @query("""SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 99 END::BIGINT AS category_rank FROM customer""")
 def category_sort(spark, sf):
     rank = Q.category_rank(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"]).cast("long")
