@@ -10,8 +10,24 @@ from pyspark.sql import functions as F
 from .text import flag_list, polynomial_hash, unit_symbol
 
 
+def half_down(c: Column, places: int) -> Column:
+    """c, or what it rounds down to where the stored value is below the middle.
+
+    Formatting rounds the shortest digits (1.005 up); what counts is the value (1.00499999999999989...).
+    The error of c * 10^places is exact: both factors are split in halves (Dekker).
+    """
+    size, by = F.abs(c), 10.0**places
+    product = size * by
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    low = size - high  # `by` has few bits: its own low half is 0
+    error = (high * by - product) + low * by
+    below = (product < 2.0**52) & ((product - F.floor(product) - 0.5) + error < 0)
+    return F.when(below, F.signum(c) * F.floor(product) / by).otherwise(c)
+
+
 def fixed(c: Column, places: int, trim: bool = False) -> Column:
-    text = F.printf(F.lit(f"%.{places}f"), c)
+    """`places` decimal places of the stored value; exact ties away from zero."""
+    text = F.printf(F.lit(f"%.{places}f"), half_down(c, places))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if trim else text
 
 

@@ -370,6 +370,15 @@ def value_display(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
 
 
+@query()
+def value_display_whole(spark, sf):
+    """Every lineitem row. No SQL: DuckDB rounds exact ties to even, the display rounds them away from zero."""
+    from ..functions.display import value_text
+
+    p = F.col("l_extendedprice")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
+
+
 @query("""SELECT c_mktsegment, list_transform(range(5), lambda i: lo + (hi - lo) * i / 4) AS ticks FROM (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) WHERE hi > lo""")
 def axis_ticks(spark, sf):
     from ..functions.display import ticks
