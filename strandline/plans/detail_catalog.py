@@ -28,6 +28,22 @@ def base_legend(spark, sf):
     return D.legend(materials(spark, sf), observations(spark, sf).where(SOME))
 
 
+@query(f"""WITH {OBS}, {MAT}, per AS (SELECT property_key, count(DISTINCT material_id) AS n FROM obs GROUP BY 1)
+SELECT count(*) AS materials, 100.0 * count(*) FILTER (live) / count(*) AS parsed_percent, count(DISTINCT base_material) FILTER (live) AS bases,
+ count(DISTINCT supplier) AS suppliers, (SELECT property_key FROM per ORDER BY n DESC, list_position(['quantity', 'extendedprice', 'discount', 'tax'], property_key) LIMIT 1) AS best_property,
+ (SELECT max(n) FROM per) AS best_materials
+FROM (SELECT *, material_id IN (SELECT material_id FROM obs) AS live FROM mat)""")
+def kpis_whole(spark, sf):
+    """Of all observations."""
+    return D.kpis(materials(spark, sf), observations(spark, sf), KEYS)
+
+
+@query(f"""WITH {MAT} SELECT base_material AS group_value, count(*) AS n FROM mat WHERE material_id IN (SELECT l_partkey FROM lineitem) GROUP BY 1""")
+def base_legend_whole(spark, sf):
+    """Of all observations."""
+    return D.legend(materials(spark, sf), observations(spark, sf))
+
+
 @query(f"""WITH {OBS}, once AS (SELECT * FROM obs WHERE property_key <> 'discount' QUALIFY row_number() OVER (PARTITION BY material_id, property_key, value ORDER BY ordinal, orientation) = 1),
 named AS (SELECT *, CASE property_key WHEN 'quantity' THEN 'Physical' WHEN 'tax' THEN 'Thermal' ELSE 'Other' END AS section FROM once)
 SELECT material_id, section, coalesce(list_position(['Filament specs', 'Print settings', 'Mechanical', 'Thermal', 'Physical', 'Electrical', 'Safety / chemical', 'Other'], section) - 1, 99) AS place, count(*) AS n, min(ordinal) AS first_ordinal

@@ -39,3 +39,12 @@ def test_value_text_of_ties(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.select("v", value_text(df.v).alias("t")).collect()
     assert [(r.v, r.t) for r in got if r.t != shown(r.v)] == []
+
+
+def test_kpis_of_all_materials(spark):
+    seen = {r.l_partkey for r in catalog.table(spark, SF, "lineitem").select("l_partkey").distinct().collect()}
+    parts = {r.p_partkey: r.p_type for r in catalog.table(spark, SF, "part").collect()}
+    (row,) = catalog.QUERIES["kpis_whole"](spark, SF).collect()
+    assert (row.materials, row.parsed_percent, row.best_materials) == (len(parts), 100.0 * len(seen & set(parts)) / len(parts), len(seen))
+    legend = {r.group_value: r.n for r in catalog.QUERIES["base_legend_whole"](spark, SF).collect()}
+    assert legend == collections.Counter(v for k, v in parts.items() if k in seen)
