@@ -4,7 +4,8 @@ Bytes are stored as 8-bit mono PCM in a WAVE container, read back, resampled by
 filter (each output uses one phase of a windowed-sinc low pass), cut into overlapping
 windows and turned into log-mel bands. A two-threshold (hysteresis) pass over frame
 energies marks segments. Bands are cut into tensors of a fixed shape, FRAMES x BANDS, each
-with its time span; `tensor_array` wraps them as Arrow fixed-shape tensors.
+with its time span; `tensor_array` wraps them as Arrow fixed-shape tensors. `stored` writes
+them as an Arrow stream, which op6_audio reads back for its features.
 
 Everything is worked out in pieces of bounded size, so long payloads need little memory.
 
@@ -183,26 +184,74 @@ def tensors(docs: DataFrame) -> DataFrame:
     return map_batches(docs, [F.col("doc_id").cast("long"), F.col("text")], run, schema)
 
 
-def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is stored and read back of every document, and its features."""
+def to_ipc(pieces: list[tuple[float, float, np.ndarray]]) -> bytes:
+    """Pieces as an Arrow stream: start_s, stop_s and a fixed-shape tensor each."""
+    values = tensor_array(np.stack([m for _, _, m in pieces]))
+    made = pa.record_batch([pa.array([p[k] for p in pieces], pa.float64()) for k in (0, 1)] + [values], names=["start_s", "stop_s", "log_mel"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema) as out:
+        out.write_batch(made)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start_s, stop_s and the n x FRAMES x BANDS numbers of an Arrow stream."""
+    read = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    values = read.column("log_mel").chunk(0)
+    if not isinstance(values.type, pa.FixedShapeTensorType) or list(values.type.shape) != [FRAMES, BANDS]:
+        raise ValueError(f"no tensors of {FRAMES} x {BANDS}")
+    return read.column("start_s").to_numpy(), read.column("stop_s").to_numpy(), values.to_numpy_ndarray()
+
+
+def joined(start: np.ndarray, stop: np.ndarray, values: np.ndarray, rate: float = RATE * UP / DOWN) -> np.ndarray:
+    """Frames x BANDS of all pieces: as many frames of each as its span has, without its filling."""
+    frames = np.rint((stop - start - WINDOW / rate) * rate / HOP).astype(np.int64) + 1
+    return values[np.arange(FRAMES) < frames[:, None]]
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, an Arrow stream of fixed-shape tensors with their spans, and the segments, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyser = Analyser()
         for b in batches:
-            rows = []
-            for t in binary(b.column("text")):
+            for k, t in enumerate(binary(b.column("text"))):  # a row at a time: media and tensors are large
                 media = to_wave(payload(t or b""))
+                mel, energy = analyser.log_mel(resample(from_wave(media)[0]))
+                spans = [{"start_s": a, "stop_s": z} for a, z in analyser.segments(energy)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(k, 1),
+                        pa.array([len(t or b"")], pa.int64()),
+                        pa.array([media], pa.binary()),
+                        pa.array([to_ipc(list(analyser.tensors(mel)))], pa.binary()),
+                        pa.array([spans], pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))),
+                    ],
+                    names=["doc_id", "n_bytes", "media", "tensors", "segments"],
+                )
+
+    schema = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s: double, stop_s: double>>"
+    return map_batches(docs, [F.col("doc_id").cast("long"), F.col("text")], run, schema)
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored and read back of every document, and the features of the tensors read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k in range(b.num_rows):
+                n, media, tensors_, spans = (b.column(c)[k].as_py() for c in ("n_bytes", "media", "tensors", "segments"))
                 back, _ = from_wave(media)
-                mel, energy = analyser.log_mel(resample(back))
                 rows.append(
                     (
-                        len(t or b""),
+                        n,
                         len(back),
                         hashlib.sha256(back).hexdigest(),
                         zlib.crc32(back[-64:]),
                         len(media),
                         hashlib.sha256(media).hexdigest(),
-                        digest(mel, analyser.segments(energy)),
+                        digest(joined(*from_ipc(tensors_)), [(s["start_s"], s["stop_s"]) for s in spans]),
                     )
                 )
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -214,4 +263,5 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
-    return map_batches(table(spark, sf_dir, "documents"), [F.col("doc_id"), F.col("text")], run, schema)
+    made = stored(table(spark, sf_dir, "documents"))
+    return map_batches(made, [F.col(c) for c in ("doc_id", "n_bytes", "media", "tensors", "segments")], run, schema)
