@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch sent to Python: bounds a worker's memory.
+#: Rows that Python works on at a time. Spark bounds the Arrow batches themselves by bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default), so long texts don't pile up.
 BATCH_ROWS = 512
+#: Rows of one key beyond which `spread_join` sends the key's other side to all tasks.
+HOT_ROWS = 100_000
 
 #: Byte tables for bytes.translate. Lower-casing touches A-Z alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,38 +34,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound Arrow batches by rows, for whole texts pass through them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def workspace(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is missing (tests on one machine) a local folder is used.
-    The folder goes when the driver's Python ends.
+    Only where the setting is missing and Spark runs inside this one process (local mode, as
+    in tests) a local folder is used; on a cluster the missing setting is an error, for
+    executors would write to disks of their own. The folder goes when the driver's Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/strandline-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/strandline-checkpoints"
     path = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before
-            pass
 
-    atexit.register(drop)
-    return path
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if the session still lives."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before
+        pass
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there."""
+    """Write df to the shared folder and read it again: lineage ends there, and every later read sees the same rows."""
     spark = df.sparkSession
     path = workspace(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_folder = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Drop the folder of a materialized frame that nothing will read again."""
+    path = getattr(df, "_strandline_folder", None)
+    if path:
+        delete(df.sparkSession, path)
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the wished ones that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def placed(df: DataFrame, place: str, **more: Column) -> DataFrame:
+    """df with a unique long `place` a row, and more columns, written once: all readers see one and the same place."""
+    return materialize(df.select(*[col(c) for c in df.columns], F.monotonically_increasing_id().alias(place), *[c.alias(n) for n, c in more.items()]))
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined on `key` to small (one row a key, column `n` says how many rows have it); keys may be null on neither side.
+
+    Keys of more than `hot_rows` rows are at most count(rows) / hot_rows: those go to all
+    tasks by broadcast, so that their rows need no shuffle; the others are joined as usual.
+    """
+    hot = F.broadcast(small.where(F.col(n) > hot_rows))
+    heavy = rows.join(hot, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(n) <= hot_rows), key)
+    return heavy.unionByName(cold)
 
 
 def process_cache(name: str) -> dict:
@@ -78,10 +124,9 @@ def binary(column: pa.Array) -> list:
 
 def map_batches(df: DataFrame, columns: list[Column], fn: Callable, schema: str) -> DataFrame:
     """mapInArrow over the given columns only, so that the scan reads no others."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
+        yield from fn(b.slice(lo, BATCH_ROWS) for b in batches for lo in range(0, b.num_rows, BATCH_ROWS))
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -96,15 +141,17 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     """Total order without a global window: range partitions, running sums in each, then offsets.
 
     Adds for every entry of `sums` a long column of that name: the sum over all earlier rows.
-    The partition totals that reach the driver are one row a partition. `order` should end
-    in enough columns to tell rows apart; rows equal in all of them are interchangeable.
+    The partition totals that reach the driver are one row a partition. Rows equal in all of
+    `order` come in any order among themselves; a tie-break of their own keeps many of them
+    from falling into one partition.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = list(sums)
     kept = df.columns
-    ranged = df.withColumns({f"__v{i}": sums[c].cast("long") for i, c in enumerate(names)})
-    ranged = ranged.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = df.withColumns({f"__v{i}": sums[c].cast("long") for i, c in enumerate(names)} | {"__tie": F.monotonically_increasing_id()})
+    order = [*order, F.col("__tie")]
+    ranged = ranged.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__tie")
     extra = [T.StructField(f"__before{i}", T.LongType()) for i in range(len(names))]
     schema = T.StructType([*ranged.schema.fields, *extra, T.StructField("__pid", T.IntegerType())])
 

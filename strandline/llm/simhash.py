@@ -13,7 +13,8 @@ Each block hands on a spanning forest, never all its pairs.
 Defined results: a null text counts as empty; empty text has fingerprint 0, linked like
 any other; repeated rows each get a row; a null doc_id is never a component_id unless the
 whole component has none (then null); an empty table gives an empty result; other columns
-are neither read nor clashed with.
+are neither read nor clashed with. A text of any length is hashed in pieces of bounded size
+beyond its own words. Equal doc_ids of one component give one component_id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, map_batches, materialize, table
+from .common import LOWER, binary, col, map_batches, materialize, placed, release, spread_join, table, unused
 
 RADIUS = 3
 BLOCK_ROWS = 8192
@@ -154,8 +155,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) of distinct fingerprints: a forest with the components of all links at `radius` bits."""
+def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS, known: int = 0) -> DataFrame:
+    """(a, b) of distinct fingerprints: a forest with the components of all links at `radius` bits.
+
+    `known` is how many they are, where the caller has counted: bands are split, before any
+    block is looked at, until blocks of evenly spread fingerprints fit `block_rows`.
+    """
     masks = [0]
 
     def split(rows: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
@@ -167,6 +172,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROW
         return out.withColumn("val", F.col("fp").bitwiseAND(F.col("mask"))), sorted({k for c in under.values() for k in c})
 
     rows, masks = split(distinct.select("fp", F.lit(0).cast("long").alias("mask")), masks)
+    while known >> min(bin(m).count("1") for m in masks) > block_rows:
+        rows, masks = split(rows.select("fp", "mask"), masks)
     out = None
     while True:
         counts = rows.groupBy("mask", "val").count().where(F.col("count") > block_rows).select("mask", "val")
@@ -228,17 +235,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = materialize(both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = spread_join(both.where("u > v"), low, "v", "n").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (
-            large.join(low, "v")
+            large.join(least, "v")
             .select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
             .select("e.*")
             .where("u <> v")
             .distinct()
         )
-        now = materialize(small)
+        last, now = now, materialize(small)
+        release(last)
+        release(low)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -251,17 +260,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, keys: list[str], radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Key columns, fp and root (the fingerprint that stands for the component) of each row."""
     fps = materialize(fingerprints(docs, keys))
-    roots = materialize(components(links(fps.select("fp").distinct(), radius, block_rows)))
-    return fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        *[fps[k] for k in keys], fps["fp"], F.coalesce("root", fps["fp"]).alias("root")
-    )
+    distinct = materialize(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct.select("fp"), radius, block_rows, distinct.count()))
+    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+    return spread_join(fps, materialize(of), "fp", "n").select(*[col(k) for k in keys], "fp", "root")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    marked = near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
-    first = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(first, "root").select(
+    marked = materialize(near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]))
+    first = materialize(marked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return spread_join(marked, first, "root", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -269,11 +278,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays: the smallest doc_id, nulls last; all columns are kept.
 
-    Rows are told apart by their place in the input, so repeated rows and null ids are safe.
+    Rows are written once with a place of their own, which both the fingerprints and the
+    choice read, so repeated rows and null ids are safe and another split of the input's
+    files between the two reads changes nothing.
     """
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    marked = near_duplicates(placed.select("__place", "doc_id", "text"), ["__place", "doc_id"], radius)
+    (place,) = unused(docs, "__place")
+    whole = placed(docs, place)
+    marked = near_duplicates(whole.select(col(place).alias("__place"), "doc_id", "text"), ["__place", "doc_id"], radius)
     best = marked.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__place"))).alias("b")
     )
-    return placed.join(best.select(F.col("b.__place").alias("__place")), "__place", "left_semi").drop("__place")
+    return whole.join(best.select(F.col("b.__place").alias(place)), place, "left_semi").drop(place)
