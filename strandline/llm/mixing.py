@@ -14,7 +14,9 @@ prefix sums, so a source with most rows is spread like any other.
 
 Defined results: a null text has no words, and a document without words is taken with 0
 words; a null source is a source of its own, the last; null ids and repeated rows count
-each; an empty table gives an empty result; other columns pass through `mix`.
+each (rows equal in doc_id, size and, in `mix`, in all columns are interchangeable); an
+empty table gives an empty result; texts of any length count whole; other columns, whatever
+their names, pass through `mix`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import positions, table
+from .common import col, materialize, placed, positions, table, unused
 
 #: Weights by rank of the source, the mix's share of all words, the most passes.
 WEIGHTS = (5, 2, 1)
@@ -86,7 +88,7 @@ def words(column: str = "text"):
 def plan(sizes: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """sizes (source, size, and any columns that tell rows apart) plus source_size, target, taken, copies.
 
-    copies is an array of (shard, key) structs: one entry each time the document is taken.
+    A column `place` only tells rows apart and draws nothing. copies is an array of (shard, key) structs: one entry each time the document is taken.
     """
     spark = sizes.sparkSession
     per = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
@@ -110,7 +112,7 @@ def plan(sizes: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     if len(rows) <= MOST_BROADCAST:
         sources = F.broadcast(sources)
     keys = [c for c in sizes.columns if c not in ("source", "size")]
-    drawn = sizes.withColumn("__draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], "source", "size"))
+    drawn = sizes.withColumn("__draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in keys if c != "place"], "source", "size"))
     order = [F.col("source").isNull(), F.col("source"), F.col("__draw"), *[F.col(c) for c in keys]]
     placed = positions(drawn, order, {"__before": F.col("size")})
     placed = placed.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("__at", F.col("__before") - F.col("base"))
@@ -130,22 +132,38 @@ def plan(sizes: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The rows the mix takes, as often as it takes them, in the columns of docs; in a file rows go by shard and key.
+def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, str, str]:
+    """The rows the mix takes, as often as it takes them, gathered shard by shard, and the names of two more columns: shard and key.
 
-    Rows are told apart by their place in the input, so repeated rows and null ids are safe.
+    Rows are written once with their place, size and a digest of all their columns; the plan
+    and the rows are both read from there. Draws come from the digest, so that they don't
+    hang on how the input's files are split; rows equal in every column are interchangeable.
+    A shard is spread over slices by key, so that no shard passes through one task, and rows
+    of a slice are sorted by key: that is their shuffle.
     """
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    made = plan(placed.select("__place", "source", words().alias("size")), shards, seed)
-    taken = made.where(F.size("copies") > 0).select("__place", "copies")
-    out = placed.join(taken, "__place").withColumn("__copy", F.explode("copies"))
-    return out.sortWithinPartitions("__copy.shard", "__copy.key").select(*[docs[c] for c in docs.columns])
+    place, size, draw, copy, shard, key = unused(docs, "__place", "__size", "__draw", "__copy", "shard", "key")
+    hashed = [col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = placed(docs, place, **{size: words(), draw: F.xxhash64(F.lit(seed), *hashed)})
+    made = plan(whole.select("source", col(size).alias("size"), col(draw).alias("digest"), col(place).alias("place")), shards, seed)
+    taken = made.where(F.size("copies") > 0).select(F.col("place").alias(place), F.explode("copies").alias(copy))
+    out = whole.join(taken, place)
+    slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    out = out.select(*[col(c) for c in docs.columns], col(copy)["shard"].alias(shard), col(copy)["key"].alias(key))
+    at = (col(shard) * slices + F.pmod(col(key), F.lit(slices))).cast("int")
+    return out.repartitionById(shards * slices, at).sortWithinPartitions(col(shard), col(key)), shard, key
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of `mixed` in the columns of docs alone."""
+    rows, _, _ = mixed(docs, shards, seed)
+    return rows.select(*[col(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, and the shards that get them."""
     docs = table(spark, sf_dir, "documents")
-    made = plan(docs.select("doc_id", F.col("source").cast(T.StringType()).alias("source"), words().alias("size")))
+    sizes = materialize(docs.select("doc_id", F.col("source").cast(T.StringType()).alias("source"), words().alias("size")))
+    made = plan(sizes)
     return made.select(
         "doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards")
     )

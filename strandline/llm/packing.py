@@ -8,7 +8,9 @@ Nothing is shuffled and no text is tokenized twice.
 
 Defined results: a null text counts as empty and packs its end token alone; repeated rows
 are packed each; null ids pass through; an empty table gives an empty result; other
-columns are not read. Only the last sequence can need padding.
+columns are not read. Only the last sequence can need padding. A text that holds one of the
+tokenizer's added tokens (an end-of-text mark, say) gets the ids the tokenizer itself gives.
+Texts of any length are packed whole.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ class Encoder:
 
         quiet_threads()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: tokens that the tokenizer finds before it splits words, such as an end-of-text mark
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.end = array("H", [end_id]).tobytes()
@@ -110,7 +113,7 @@ class Encoder:
         plan: list[list[list] | None] = []
         gaps: list[tuple[list, int, str]] = []  # a line's words, the place of an unknown one, and that word
         for t in texts:
-            if not t or uneven(t):
+            if not t or uneven(t) or any(a in t for a in self.added):
                 plan.append(None)
                 odd.append(t or "")
                 continue

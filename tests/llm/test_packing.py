@@ -10,13 +10,12 @@ from strandline.llm import packing
 from strandline.llm.common import tokenizer_path
 
 ODD = [(1, None), (2, ""), (3, " "), (4, "a  b   c"), (5, "\n \n  x\t y \r\n z "), (6, "don't  we'll\x00 \x00b"), (7, "nb sp   wide"),
-       (8, " lead and trail "), (8, "same id"), (None, "no id"), (9, "<|endoftext|> is text"), (10, "x" * 9000), (11, "word " * 3000),
+       (8, " lead and trail "), (8, "same id"), (None, "no id"), (9, "<|endoftext|> is text"), (16, "a <|endoftext|> b"), (17, "x<|endoftext|>"), (10, "x" * 9000), (11, "word " * 3000),
        (12, "\x00start of it"), (13, "\x00a  b"), (14, "é è　ü 日本 語"), (15, "#### 12,345.67 $%&")]
 
 
 def encode(rows):
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for _, x in rows]
 
 
@@ -64,3 +63,10 @@ def test_sequences_round_trip(spark, folder):
     for r in pieces.collect():
         got.setdefault(r.doc_id, {})[r.start] = list(whole[r.sequence_id][r.offset : r.offset + r.length])
     assert {d: [x for _, p in sorted(parts.items()) for x in p] for d, parts in got.items()} == want
+
+
+def test_added_tokens_get_the_tokenizers_own_ids():
+    plain = Tokenizer.from_file(tokenizer_path()).encode("a <|endoftext|> b", add_special_tokens=False).ids
+    assert plain == [64, 220, 50256, 275]
+    (made,) = packing.Encoder(tokenizer_path()).encode(["a <|endoftext|> b"])
+    assert np.frombuffer(made, "<u2").tolist() == [*plain, 1]
