@@ -20,14 +20,15 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, column: str, bound: int = MAX_LABELLED) -> DataFrame:
     """(text, label) of about `bound` labelled rows at most, by a hash of doc_id; equal texts count once, labelled by their largest label.
 
-    Both sides are thinned by the hash before the join, so no other text is shuffled.
+    Labels are thinned by the hash first: about `bound` rows are left, which are broadcast and
+    meet the texts in the scan, so that no other text is shuffled.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     share = min(1.0, bound / max(1, known.count()))
     thin = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
     texts = docs.where(thin).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(known.where(thin), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
+    return texts.join(F.broadcast(known.where(thin)), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:

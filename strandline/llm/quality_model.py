@@ -1,15 +1,19 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is a set of n-grams: its lower-cased words, and runs of one to three word shapes
-(letters, digits and marks with repeats folded). The indicators, hashed to `BUCKETS`
+A text is a set of n-grams: its lower-cased words, pairs of them, and runs of one to three
+word shapes (letters, digits and marks with repeats folded). The indicators, hashed to `BUCKETS`
 features, are scaled by the log ratio of their smoothed counts in good and in bad texts.
 A linear hinge-loss model is fitted on them by dual coordinate descent, and its margin is
 turned into a probability on rows that it wasn't fitted on.
 
+What the driver holds is bounded twice: about MAX_LABELLED labelled rows (labels.sample) and
+about MAX_IDS feature ids of theirs; beyond, rows are thinned by a hash of their features.
+
 Defined results: null and empty texts have no features and get the score of the bias;
 repeated rows are scored each; a null doc_id is not held out; an empty table gives an
 empty result; with no labels, or labels of one class, all scores are that class's share (1
-if there are none); other columns are neither read nor clashed with.
+if there are none); a doc_id of several labels counts with its largest; texts of any length
+count whole; other columns, whatever their names, are neither read nor clashed with.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, map_batches, process_cache, table
+from .common import LOWER, binary, col, map_batches, materialize, process_cache, table
 from .labels import MAX_LABELLED, held_out, platt, sample, sigmoid
 
 BUCKETS = 1 << 18
 ALPHA = 1.0
 COST = 1.0
 EPOCHS = 12
+#: Feature ids of labelled rows that the driver fits on, about.
+MAX_IDS = 8_000_000
 THRESHOLD = 0.3
 #: Words whose codes a Python worker remembers.
 CACHED_WORDS = 300_000
@@ -48,7 +54,7 @@ class Codes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        shape = RUNS.sub(rb"\1", word.translate(SHAPE))[:16]
+        shape = RUNS.sub(rb"\1", word.translate(SHAPE))
         code = zlib.crc32(word.translate(LOWER)) << 32 | zlib.crc32(shape, 1)
         if len(word) < 64:
             self[word] = code
@@ -59,37 +65,40 @@ def features(text: bytes, codes: Codes) -> np.ndarray:
     """The hashed n-grams of a text, distinct and sorted: runs of shapes are hashed by multiplying their checksums, all at once."""
     raw = text.split()
     code = np.fromiter(map(codes.__getitem__, raw), np.uint64, len(raw))
-    shape = code & np.uint64(0xFFFFFFFF)
+    shape, word = code & np.uint64(0xFFFFFFFF), code >> np.uint64(32)
     two = shape[:-1] * MIX + shape[1:]
     three = two[:-1] * MIX + shape[2:]
-    runs = (np.concatenate([shape, two + np.uint64(1), three + np.uint64(2)]) * SPREAD) >> np.uint64(32)
-    ids = np.concatenate([code >> np.uint64(32), runs]) % np.uint64(BUCKETS)
+    pairs = word[:-1] * MIX + word[1:]
+    runs = (np.concatenate([shape, two + np.uint64(1), three + np.uint64(2), pairs + np.uint64(3)]) * SPREAD) >> np.uint64(32)
+    ids = np.concatenate([word, runs]) % np.uint64(BUCKETS)
     ids = np.sort(ids.astype(np.int32))
     return ids[np.diff(ids, prepend=-1) > 0].astype(np.int64)
 
 
 def fit_hinge(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 3):
-    """Dual coordinate descent for the L1-loss linear SVM; rows are feature ids of value scale/sqrt(n)."""
-    w = np.zeros(len(scale) + 1)
+    """Dual coordinate descent for the L1-loss linear SVM; rows are feature ids of value scale/sqrt(n + 1), and a bias of value 1/sqrt(n + 1)."""
+    w, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    values = [np.append(scale[r], 1.0) / np.sqrt(len(r) + 1) for r in rows]
-    ids = [np.append(r, len(scale)) for r in rows]
-    norm = np.array([v @ v for v in values]) + 1e-12
+    root = np.array([1 / np.sqrt(len(r) + 1) for r in rows])
+    norm = np.array([(scale[r] @ scale[r] + 1) * q * q for r, q in zip(rows, root)]) + 1e-12
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[ids[i]] @ values[i]) - 1
+            x = scale[rows[i]]
+            g = y[i] * (w[rows[i]] @ x + bias) * root[i] - 1
             if (alpha[i] <= 0 and g >= 0) or (alpha[i] >= cost[i] and g <= 0):
                 continue
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if new != alpha[i]:
-                w[ids[i]] += (new - alpha[i]) * y[i] * values[i]
+                step = (new - alpha[i]) * y[i] * root[i]
+                w[rows[i]] += step * x
+                bias += step
                 worst = max(worst, abs(g))
                 alpha[i] = new
         if worst < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 class Model:
@@ -129,18 +138,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
-    """Fit on about `bound` labelled rows at most; only their feature ids reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, most_ids: int = MAX_IDS) -> Model:
+    """Fit on about `bound` labelled rows and `most_ids` feature ids at most; only those ids reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            ids = [features(t, codes).astype(np.int32).tobytes() for t in binary(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.binary())], names=["label", "ids"])
+            ids = [features(t, codes).astype(np.int32) for t in binary(b.column("text"))]
+            made = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("label"), *made], names=["label", "ids", "n"])
 
     chosen = sample(docs, labels, "quality", bound)
-    made = map_batches(chosen, [F.col("label"), F.col("text")], run, "label int, ids binary").collect()
-    made.sort(key=lambda r: zlib.crc32(bytes(r["ids"])))  # an order that doesn't hang on partitions
+    rows = materialize(map_batches(chosen, [F.col("label"), F.col("text")], run, "label int, ids binary, n long"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if total > most_ids:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(9), "ids"), F.lit(1 << 20)) < int(most_ids / total * (1 << 20)))
+    made = rows.select("label", "ids").collect()
+    made.sort(key=lambda r: (zlib.crc32(bytes(r["ids"])), r["label"]))  # an order that doesn't hang on partitions
     return fit([np.frombuffer(r["ids"], np.int32) for r in made], np.array([int(r["label"] > 0) for r in made], np.int64))
 
 
@@ -172,12 +186,13 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score `threshold` or more, all columns as they came."""
+    text = docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels).state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(*model.value)
         for b in batches:
-            s = scores(fitted, binary(b.column("text")), shared_codes())
+            s = scores(fitted, binary(b.column(text)), shared_codes())
             yield b.filter(pa.array(s >= threshold))
 
-    return map_batches(docs, [F.col(f"`{c}`") for c in docs.columns], run, docs.schema)
+    return map_batches(docs, [col(c) for c in docs.columns], run, docs.schema)
