@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, binary, col, map_batches, materialize, process_cache, table
 from .labels import MAX_LABELLED, held_out, platt, sample, sigmoid
@@ -195,4 +196,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
             s = scores(fitted, binary(b.column(text)), shared_codes())
             yield b.filter(pa.array(s >= threshold))
 
-    return map_batches(docs, [col(c) for c in docs.columns], run, docs.schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any column name passes: mapInArrow itself takes plain ones alone
+    fields = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)]
+    plain = map_batches(docs, [col(c).alias(n) for c, n in zip(docs.columns, names)], run, T.StructType(fields))
+    return plain.toDF(*docs.columns)
