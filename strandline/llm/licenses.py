@@ -2,18 +2,27 @@
 
 The automaton holds every run of words of all templates. A file's words stream through it:
 at each word it knows the longest run, ending there, that some template contains (the
-matching statistics). Maximal runs of `LEAST` words or more become anchors; anchors that go
-forward in both text and template, with small gaps, are chained into spans, and a span that
-covers enough of its template labels the file. Words outside the templates' vocabulary
-reset the automaton, so runs without them are all that is walked.
+matching statistics). Maximal runs of `LEAST` words or more become anchors. For every
+template the best chain of anchors is found, that go forward in both text and template with
+small gaps: each anchor is linked to the best of the few that end shortly before it. A
+chain's worth is what it covers less what it lacks: template words left out, and text words
+between its anchors. Chains are taken from the worthiest down, and one that overlaps a
+taken chain goes: so of sibling licences (BSD of two or three clauses, GPL versions, CC
+licences) the one that fits a passage best wins it. A template may name phrases of which
+one must stand in the span; without it the sibling isn't told, and the span gets no label.
+
+Words outside the templates' vocabulary reset the automaton, so runs without them are all
+that is walked.
 
 Defined results: a null text counts as empty: no words, no labels, score 0; repeated rows
-are scanned each; null ids pass through; an empty table gives an empty result; other
-columns are not read.
+are scanned each; null ids pass through; of chains of equal worth the earlier one wins, and
+at one place the template listed first; texts of any length are scanned whole, in time in
+proportion to them; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_ALNUM, binary, map_batches, process_cache, table
+from .licence_texts import TEMPLATES, Template
 
 #: Phrases that label a file by themselves.
 PHRASES = {
@@ -30,19 +40,6 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Opening words of public licences and the notices that name them.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT license"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
 #: Words of a match that can anchor a span, words between anchors of a span, and the cover that labels.
 LEAST = 4
 GAP = 12
@@ -63,6 +60,16 @@ class Span(NamedTuple):
     last: int
     covered: int
     share: float
+    worth: int = 0
+
+
+class Link(NamedTuple):
+    """A chain of anchors: it ends at `end`, begins at `first`, covers so many words and leaves so many between."""
+
+    end: int
+    first: int
+    covered: int
+    between: int
 
 
 class Automaton:
@@ -143,10 +150,12 @@ class Automaton:
 class Scanner:
     """Finds phrases and template spans in a text."""
 
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        self.labels = [label for label, _ in templates]
-        self.tokens = [words(text.encode()) for _, text in templates]
+    def __init__(self, templates: list[Template] = TEMPLATES, phrases: dict[str, str] = PHRASES):
+        self.labels = [t.label for t in templates]
+        self.tokens = [words(t.text.encode()) for t in templates]
+        self.needs = [[b" " + b" ".join(words(n.encode())) + b" " for n in t.needs] for t in templates]
         self.automaton = Automaton(self.tokens)
+        self.cached: dict[int, list[tuple[int, int, int]]] = {}
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
 
     def base(self, parts: list[bytes]) -> list[tuple[int, str]]:
@@ -154,42 +163,101 @@ class Scanner:
         line = b" " + b" ".join(parts) + b" "
         out = []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, seen, word = line.find(phrase), 0, 0
             while at >= 0:
-                out.append((line.count(b" ", 0, at), label))
+                word += line.count(b" ", seen, at)  # blanks are counted on from the last place
+                seen = at
+                out.append((word, label))
                 at = line.find(phrase, at + 1)
         return sorted(out)
 
+    def places(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, last word there, most words) of all runs of LEAST words or more that end where the state's do."""
+        if state not in self.cached:
+            auto, made, seen = self.automaton, [], set()
+            at = state
+            while at > 0 and auto.length[at] >= LEAST:
+                made += [(t, e, auto.length[at]) for t, e in sorted(auto.ends[at] - seen)]
+                seen |= auto.ends[at]
+                at = auto.link[at]
+            self.cached[state] = made
+        return self.cached[state]
+
+    def chains(self, found: list[tuple[int, int, int]]) -> Iterator[Span]:
+        """The best chain of each template's anchors, cut where a gap is too wide, in the order of their ends."""
+        # per template and place in it: the best chain that ends there, as (end, place, first word, covered, words between)
+        open_: dict[int, dict[int, Link]] = {}
+        best: dict[int, Link] = {}
+
+        def worth(t: int, link: Link) -> int:
+            return 2 * link.covered - len(self.tokens[t]) - link.between
+
+        def span(t: int) -> Span:
+            link = best[t]
+            return Span(self.labels[t], t, link.first, link.end, link.covered, link.covered / len(self.tokens[t]), worth(t, link))
+
+        for end, state, run in found:
+            for t in [t for t, links in open_.items() if end - run + 1 - max(x.end for x in links.values()) > GAP + 1]:
+                yield span(t)
+                del open_[t], best[t]
+            for t, at, most in self.places(state):
+                length = min(run, most)
+                start = end - length + 1
+                links = open_.setdefault(t, {})
+                made = Link(end, start, length, 0)
+                for p in [p for p, x in links.items() if start - x.end > GAP + 1]:
+                    del links[p]
+                for p, x in links.items():
+                    fresh = min(length, end - x.end, at - p)
+                    if fresh > 0 and at - length - p <= GAP:
+                        longer = Link(end, x.first, x.covered + fresh, x.between + max(0, start - x.end - 1))
+                        if worth(t, longer) > worth(t, made):
+                            made = longer
+                old = links.get(at)
+                if old is None or worth(t, made) >= worth(t, old) - (end - old.end):
+                    links[at] = made
+                if t in best and made.first > best[t].end:  # the text begins the template anew
+                    yield span(t)
+                    best[t] = made
+                elif t not in best or worth(t, made) > worth(t, best[t]):
+                    best[t] = made
+        for t in best:
+            yield span(t)
+
     def spans(self, parts: list[bytes]) -> list[Span]:
-        """Chains of anchors, template by template, in the order of their ends."""
+        """Chains that overlap no worthier one, from left to right; those whose sibling isn't told are left out."""
         get = self.automaton.ids.get
         found = self.automaton.anchors(np.array([get(w, -1) for w in parts], np.int64))
-        open_: dict[int, list[int]] = {}  # template: first, last, covered, end in the template
-        done: list[Span] = []
-
-        def close(t: int) -> None:
-            first, last, covered, _ = open_.pop(t)
-            done.append(Span(self.labels[t], t, first, last, covered, covered / len(self.tokens[t])))
-
-        for end, state, length in found:
-            places: dict[int, list[int]] = {}
-            for t, at in self.automaton.ends[state]:
-                places.setdefault(t, []).append(at)
-            for t, ats in sorted(places.items()):
-                start = end - length + 1
-                if t in open_:
-                    _, last, _, until = open_[t]
-                    forward = [a for a in sorted(ats) if until < a and a - length - until <= GAP]
-                    if forward and start - last <= GAP + 1:
-                        at = forward[0]
-                        fresh = min(length, end - last, at - until)
-                        open_[t][1:] = [end, open_[t][2] + fresh, at]
-                        continue
-                    close(t)
-                open_[t] = [start, end, length, min(ats)]
-        for t in list(open_):
-            close(t)
-        return done
+        out: list[Span] = []
+        run: list[Span] = []
+        reach = -1
+
+        def settle() -> None:
+            """Of chains that overlap in a row, the worthiest first."""
+            taken: list[Span] = []
+            for s in sorted(run, key=lambda s: (-s.worth, s.first, s.template)):
+                k = bisect.bisect(taken, s.first, key=lambda o: o.first)
+                free = (not k or taken[k - 1].last < s.first) and (k == len(taken) or s.last < taken[k].first)
+                if free and self.told(s, parts):
+                    taken.insert(k, s)
+            out.extend(taken)
+
+        for s in sorted(self.chains(found), key=lambda s: (s.first, s.last, s.template)):
+            if s.first > reach:
+                settle()
+                run = []
+            run.append(s)
+            reach = max(reach, s.last)
+        settle()
+        return out
+
+    def told(self, s: Span, parts: list[bytes]) -> bool:
+        """Whether one of the phrases that tell the template from its siblings stands in the span."""
+        needs = self.needs[s.template]
+        if not needs:
+            return True
+        line = b" " + b" ".join(parts[s.first : s.last + 1]) + b" "
+        return any(n in line for n in needs)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[Span], float]:
         """Words, phrase places, labelling spans, and the best share of a template covered."""

@@ -141,3 +141,46 @@ def test_empty_tables(spark, folder):
     path = folder()
     for fn in (licenses.op3_licenses, audio.op6_audio, url_rules.op7_url_rules):
         assert fn(spark, path).count() == 0
+
+
+SIBLINGS = {
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa": "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa": "licensed under CC BY-NC-SA 4.0",
+    "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl": "distributed under the terms of the GNU General Public License as published by the Free Software Foundation.",
+}
+
+
+@pytest.mark.parametrize("label", [*SIBLINGS, "bsd-2", "bsd-3", "bsd-4", "isc", "0bsd", "mit", "zlib"])
+def test_siblings_are_told_apart(label):
+    scanner = licenses.Scanner()
+    text = SIBLINGS.get(label) or next(t.text for t in licenses.TEMPLATES if t.label == label)
+    for before, after in (("", ""), ("some other words here. ", " and more words. "), ("Copyright 2020 A. N. Other. ", "")):
+        _, _, spans, score = scanner.scan((before + text.replace("the copyright holder nor", "Some Organization of ours nor") + after).encode())
+        assert {s.label for s in spans} == {label} and 0.6 <= score <= 1
+
+
+def test_two_licences_in_one_file():
+    bsd, mit = (next(t.text for t in licenses.TEMPLATES if t.label == x) for x in ("bsd-2", "mit"))
+    _, _, spans, _ = licenses.Scanner().scan(f"{mit} {SIBLINGS['gpl-2']} words between them {bsd} {mit}".encode())
+    assert [s.label for s in spans] == ["mit", "gpl-2", "bsd-2", "mit"]
+    assert all(a.last < b.first for a, b in zip(spans, spans[1:]))
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    scanner = licenses.Scanner()
+    took = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        _, base, _, _ = scanner.scan(b"under the mit license, as cc by nc is, of the license, and of this software " * (n // 10))
+        took.append(time.perf_counter() - began)
+        assert len(base) == 2 * (n // 10)
+    assert took[1] < 20 * took[0] + 0.5  # 8 times the text
