@@ -1,18 +1,20 @@
 """URL filters by association rules.
 
-Fixed rules over host and path decide first. Their verdicts label all urls (block, or
-allow where no blocking rule decides), FP-growth mines which combinations of url tokens go
-with a label, and rules are pruned: by support, by confidence, and if a part of their
-tokens says the same at least as surely. What is left judges urls that no fixed rule fits,
-by an inverted index from tokens to rules: a rule fires when all its tokens are met.
+Fixed rules over host and path decide first. The urls that one of them decides are the
+labelled ones: FP-growth mines which combinations of url tokens go with block and with
+allow, and rules are pruned: by support, by confidence, and if a part of their tokens says
+the same at least as surely. What is left judges the urls that no fixed rule fits, by an
+inverted index from tokens to rules: a rule fires when all its tokens are met, and the
+surest wins. A url that no rule fits is allowed.
 
 A url has at most one token of each kind in `tokens`, so a support of s leaves at most
 2^kinds / s frequent combinations: that bounds the rules. Urls meet the index once for
 each distinct set of tokens.
 
 Defined results: a null url, or one without ://, has empty host and path, no tokens, and is
-allowed; repeated rows are judged each; null ids pass through; an empty table gives an
-empty result; other columns are not read.
+allowed; repeated rows are judged each; of rules equally sure the one of more support, then
+the first by its tokens wins; long urls count whole; null ids pass through; an empty table,
+or one without labelled urls, gives no mined rules; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread_join, table
 
 #: Verdict, host, path.
 FIXED = [
@@ -70,8 +72,10 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
             kind("name", F.try_element_at(labels, F.lit(-3))),
             kind("first", F.when(F.size(labels) > 3, F.get(labels, F.lit(0)))),
             kind("step", F.get(steps, F.lit(0))),
+            kind("second", F.when(F.size(steps) > 2, F.get(steps, F.lit(1)))),
             kind("last", F.when(F.size(steps) > 1, F.element_at(steps, -1))),
             kind("query", F.regexp_extract(text, r"(?s)^[^?#]*\?([^=&#]*)", 1)),
+            kind("other", F.regexp_extract(text, r"(?s)^[^?#]*\?[^&#]*&([^=&#]*)", 1)),
             kind("part", F.regexp_extract(text, r"(?s)#(.*)$", 1)),
         )
     )
@@ -94,45 +98,44 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 def prune(rules: DataFrame) -> DataFrame:
     """Without the rules of which a part, one token shorter or more, says the same at least as surely."""
-    named = rules.withColumn("rule_id", F.concat_ws(" & ", "tokens"))
-    short = named.select(F.explode("tokens").alias("token"), F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("least"))
-    met = named.select("rule_id", "tokens", "verdict", "confidence", F.explode("tokens").alias("token")).join(short, ["token", "verdict"])
+    short = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("least"))
+    met = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token")).join(short, ["token", "verdict"])
     worse = met.where(
         (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("least") >= F.col("confidence"))
     )
-    return named.join(worse.select("rule_id", "verdict").distinct(), ["rule_id", "verdict"], "left_anti")
+    return rules.join(worse.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(signature, rule_id, verdict) of the surest rule that fires on each token set."""
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", "verdict", "confidence", "support", F.size("tokens").alias("n"))
-    met = sets.select("signature", F.explode("tokens").alias("token")).join(index, "token")
-    fired = met.groupBy("signature", "rule_id", "verdict", "confidence", "support", "n").count().where("count = n")
-    best = F.min(F.struct(-F.col("confidence"), -F.col("support"), F.col("rule_id"), F.col("verdict"))).alias("b")
-    return fired.groupBy("signature").agg(best).select("signature", F.col("b.rule_id").alias("mined_rule"), F.col("b.verdict").alias("mined_verdict"))
+    """(tokens, mined_rule, mined_verdict): the surest rule that fires on each distinct token set of `sets`."""
+    named = rules.select(F.col("tokens").alias("rule"), "verdict", "confidence", "support", F.size("tokens").alias("n"))
+    index = named.withColumn("token", F.explode("rule"))
+    met = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    fired = met.groupBy("tokens", "rule", "verdict", "confidence", "support", "n").count().where("count = n")
+    best = F.min(F.struct(-F.col("confidence"), -F.col("support"), F.col("rule"), F.col("verdict"))).alias("b")
+    text = F.array_join("b.rule", " & ").alias("mined_rule")
+    return fired.groupBy("tokens").agg(best).select("tokens", text, F.col("b.verdict").alias("mined_verdict"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
-    """host, path, rule and verdict of every row of (page_id, url)."""
+    """host, path, rule and verdict of every row of (page_id, url), and the mined rule where one decides."""
     split = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    seen = split.withColumn("__fixed", fixed_rule(F.col("host"), F.col("path"))).withColumn(
+    seen = split.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"))).withColumn(
         "tokens", F.when(F.col("host") != "", tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
     )
     seen = materialize(
-        seen.select(
-            "page_id", "host", "path", F.col("__fixed.rule").alias("rule"), F.col("__fixed.verdict").alias("fixed_verdict"),
-            F.concat_ws(" ", "tokens").alias("signature"), "tokens",
-        )
-    )
-    labelled = seen.where(F.size("tokens") > 0).select("tokens", F.coalesce("fixed_verdict", F.lit("allow")).alias("verdict"))
-    sets = seen.where(F.col("rule").isNull()).groupBy("signature").agg(F.first("tokens").alias("tokens"))
-    found = match(sets, materialize(prune(mine(labelled))))
-    out = seen.join(found, "signature", "left")
-    return out.select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("fixed_verdict", "mined_verdict", F.lit("allow")).alias("verdict"),
-        F.when(F.col("rule").isNull(), F.col("mined_rule")).alias("mined_rule"),
+        seen.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.col("fixed.verdict").alias("fixed_verdict"), "tokens")
     )
+    labelled = seen.where(F.col("rule").isNotNull()).select("tokens", F.col("fixed_verdict").alias("verdict"))
+    sets = seen.where(F.col("rule").isNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    sets = materialize(sets)
+    found = materialize(match(sets, materialize(prune(mine(labelled)))).join(sets, "tokens"))
+    open_ = seen.where(F.col("rule").isNull())
+    unmet = open_.join(found.select("tokens"), "tokens", "left_anti").withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string")})
+    met = spread_join(open_, found, "tokens", "n").drop("n")
+    decided = seen.where(F.col("rule").isNotNull()).withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string")})
+    out = decided.unionByName(met).unionByName(unmet)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("fixed_verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "mined_rule")
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,11 +130,45 @@ def test_urls(spark, folder):
 def test_mined_rules_against_counting(spark):
     rows = [(["a=1", "b=1"], "block")] * 30 + [(["a=1", "b=2"], "allow")] * 30 + [(["a=2", "b=1"], "allow")] * 30 + [(["a=3"], "block")] * 10
     df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
-    got = {(r.rule_id, r.verdict): round(r.confidence, 6) for r in url_rules.prune(url_rules.mine(df, 0.05, 0.9)).collect()}
-    assert got[("a=1 & b=1", "block")] == 1 and got[("a=3", "block")] == 1 and ("a=1", "block") not in got
-    sets = spark.createDataFrame([("s", ["a=1", "b=1"]), ("t", ["a=1"]), ("u", [])], "signature string, tokens array<string>")
-    found = {r.signature: r.mined_verdict for r in url_rules.match(sets, url_rules.prune(url_rules.mine(df, 0.05, 0.9))).collect()}
-    assert found == {"s": "block"}
+    rules = url_rules.prune(url_rules.mine(df, 0.05, 0.9))
+    got = {(tuple(r.tokens), r.verdict): round(r.confidence, 6) for r in rules.collect()}
+    assert got[("a=1", "b=1"), "block"] == 1 and got[("a=3",), "block"] == 1 and (("a=1",), "block") not in got
+    sets = spark.createDataFrame([(["a=1", "b=1"],), (["a=1"],), (["b=1 & a=1"],), ([],)], "tokens array<string>")
+    found = {tuple(r.tokens): r.mined_verdict for r in url_rules.match(sets, rules).collect()}
+    assert found == {("a=1", "b=1"): "block"}
+
+
+def test_mined_verdicts_on_given_pages(spark):
+    """Rules counted plainly from the urls that fixed rules decide; both verdicts come up among the others."""
+    import itertools
+
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    host, path = url_rules.host_of(pages.url), url_rules.path_of(pages.url)
+    rows = pages.select("page_id", url_rules.fixed_rule(host, path).verdict.alias("fixed"), url_rules.tokens(pages.url, host, path).alias("tokens")).collect()
+    told = [(frozenset(r.tokens), r.fixed) for r in rows if r.fixed]
+    seen, good = {}, {}
+    for tokens, verdict in told:
+        for n in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), n):
+                seen[part] = seen.get(part, 0) + 1
+                good[part, verdict] = good.get((part, verdict), 0) + 1
+    rules = {k: n / seen[k[0]] for k, n in good.items() if n >= url_rules.SUPPORT * len(told) and n / seen[k[0]] >= url_rules.CONFIDENCE}
+    got = {r.page_id: r for r in url_rules.op7_url_rules(spark, sf).collect()}
+    verdicts = set()
+    for r in rows:
+        if r.fixed:
+            assert got[r.page_id].verdict == r.fixed and got[r.page_id].mined_rule is None
+            continue
+        parts = [p for n in range(1, len(r.tokens) + 1) for p in itertools.combinations(sorted(set(r.tokens)), n)]
+        fired = {(rules[p, v], v) for p in parts for v in ("allow", "block") if (p, v) in rules}
+        if not fired:
+            assert got[r.page_id].verdict == "allow" and got[r.page_id].mined_rule is None
+            continue
+        top = max(c for c, _ in fired)
+        assert got[r.page_id].verdict in {v for c, v in fired if c == top} and got[r.page_id].mined_rule
+        verdicts.add(got[r.page_id].verdict)
+    assert verdicts == {"allow", "block"}
 
 
 def test_empty_tables(spark, folder):
