@@ -4,14 +4,15 @@ Bytes are stored as 8-bit mono PCM in a WAVE container, read back, resampled by
 filter (each output uses one phase of a windowed-sinc low pass), cut into overlapping
 windows and turned into log-mel bands. A two-threshold (hysteresis) pass over frame
 energies marks segments. Bands are cut into tensors of a fixed shape, FRAMES x BANDS, each
-with its time span; `tensor_array` wraps them as Arrow fixed-shape tensors. `stored` writes
-them as an Arrow stream, which op6_audio reads back for its features.
+with its time span; `tensor_array` wraps them as Arrow fixed-shape tensors. `stored` gives
+the container and an Arrow stream of them a row; op6_audio writes that table to the shared
+folder and derives everything it returns from the bytes read back.
 
 Everything is worked out in pieces of bounded size, so long payloads need little memory.
 
-Defined results: a null or empty text is 64 zero bytes of sound; repeated rows give the
-same values each; null ids pass through; an empty table gives an empty result; other
-columns are not read.
+Defined results: a null or empty text is 64 zero bytes of sound; repeated rows and equal
+texts give the same values each; null ids pass through, of whatever type; texts of any
+length are stored whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, map_batches, table
+from .common import binary, id_field, map_batches, materialize, table
 
 RATE = 8000
 UP, DOWN = 3, 4
@@ -158,32 +159,6 @@ def tensor_array(values: np.ndarray) -> pa.Array:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(values, np.float32))
 
 
-def tensors(docs: DataFrame) -> DataFrame:
-    """doc_id, media, and an array of (start_s, stop_s, FRAMES*BANDS floats) tensors, and the segments, of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analyser = Analyser()
-        for b in batches:
-            for k, t in enumerate(binary(b.column("text"))):  # a row at a time: tensors are large
-                media = to_wave(payload(t or b""))
-                mel, energy = analyser.log_mel(resample(from_wave(media)[0]))
-                made = [{"start_s": a, "stop_s": z, "log_mel": m.ravel().tolist()} for a, z, m in analyser.tensors(mel)]
-                spans = [{"start_s": a, "stop_s": z} for a, z in analyser.segments(energy)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(k, 1),
-                        pa.array([media], pa.binary()),
-                        pa.array([made], pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64()), ("log_mel", pa.list_(pa.float32()))]))),
-                        pa.array([spans], pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))),
-                    ],
-                    names=["doc_id", "media", "tensors", "segments"],
-                )
-
-    span = "start_s: double, stop_s: double"
-    schema = f"doc_id long, media binary, tensors array<struct<{span}, log_mel: array<float>>>, segments array<struct<{span}>>"
-    return map_batches(docs, [F.col("doc_id").cast("long"), F.col("text")], run, schema)
-
-
 def to_ipc(pieces: list[tuple[float, float, np.ndarray]]) -> bytes:
     """Pieces as an Arrow stream: start_s, stop_s and a fixed-shape tensor each."""
     values = tensor_array(np.stack([m for _, _, m in pieces]))
@@ -230,8 +205,8 @@ def stored(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "media", "tensors", "segments"],
                 )
 
-    schema = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s: double, stop_s: double>>"
-    return map_batches(docs, [F.col("doc_id").cast("long"), F.col("text")], run, schema)
+    schema = f"{id_field(docs)}, n_bytes long, media binary, tensors binary, segments array<struct<start_s: double, stop_s: double>>"
+    return map_batches(docs, [F.col("doc_id"), F.col("text")], run, schema)
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +234,10 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    docs = table(spark, sf_dir, "documents")
     schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+        f"{id_field(docs)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
-    made = stored(table(spark, sf_dir, "documents"))
+    made = materialize(stored(docs))
     return map_batches(made, [F.col(c) for c in ("doc_id", "n_bytes", "media", "tensors", "segments")], run, schema)

@@ -82,6 +82,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def id_field(docs: DataFrame) -> str:
+    """doc_id in a schema string, with the type it has in docs."""
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like the wished ones that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, binary, col, map_batches, materialize, process_cache, table
+from .common import LOWER, binary, col, id_field, map_batches, materialize, process_cache, table
 from .labels import MAX_LABELLED, held_out, platt, sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -182,7 +182,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     columns = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text")]
-    return map_batches(docs, columns, run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(docs, columns, run, f"{id_field(docs)}, held_out boolean, score double, predicted int")
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

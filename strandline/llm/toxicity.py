@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ALNUM, binary, map_batches, materialize, table
+from .common import LOWER_ALNUM, binary, id_field, map_batches, materialize, table
 from .labels import MAX_LABELLED, held_out, platt, sample, sigmoid
 
 THRESHOLD = 0.5
-#: Toxic texts that a word must stand in before it can count as evidence.
+#: Model parameters. Toxic labelled texts that a word must stand in before it can count as evidence.
 LEAST_TEXTS = 5
 #: Standard errors by which a word's log-odds must exceed 0.
 LEAST_Z = 3.0
@@ -40,6 +40,8 @@ DRIFT = -0.4
 MARGIN = 1.5
 #: Segments expected this often or more by chance aren't significant.
 MOST_EXPECTED = 0.5
+#: lambda is held at this rate at most: with few labelled texts the law would be steeper than they can tell.
+MOST_RATE = 5.0
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     score = np.where(sure, odds - odds / z * MARGIN, DRIFT)
     values = np.append(score[sure], DRIFT)
     weights = np.append(seen[sure], max(1.0, all_words - seen[sure].sum()))
-    model = Model({w: float(s) for w, s in zip(words, score) if s > 0}, min(tail_rate(values, weights), 5.0))
+    model = Model({w: float(s) for w, s in zip(words, score) if s > 0}, min(tail_rate(values, weights), MOST_RATE))
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +222,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     columns = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text")]
-    return map_batches(docs, columns, run, "doc_id long, held_out boolean, score double, predicted int, passages string")
+    return map_batches(docs, columns, run, f"{id_field(docs)}, held_out boolean, score double, predicted int, passages string")

@@ -95,11 +95,35 @@ def test_hysteresis_and_tensors(spark, folder):
     step = audio.HOP / a.rate
     assert [round(x / step) for x, _ in spans] == [1, 4, 8]
     docs = spark.read.parquet(folder(documents=[(1, "some text " * 900), (2, None)]) + "/documents.parquet")
-    for r in audio.tensors(docs).collect():
+    for r in audio.stored(docs).collect():
         assert audio.from_wave(bytes(r.media))[1] == audio.RATE
-        t = audio.tensor_array(np.array([m.log_mel for m in r.tensors], np.float32).reshape(-1, audio.FRAMES, audio.BANDS))
-        assert t.type.shape == [audio.FRAMES, audio.BANDS]
-        assert all(x.start_s < x.stop_s for x in r.tensors)
+        start, stop, values = audio.from_ipc(bytes(r.tensors))
+        assert values.shape[1:] == (audio.FRAMES, audio.BANDS) and (start < stop).all()
+
+
+def test_log_mel_is_the_plain_transform():
+    """Frames, a Hann window, a discrete Fourier transform written out, and triangles on the mel scale."""
+    rng = np.random.default_rng(3)
+    a = audio.Analyser()
+    y = rng.normal(size=700).astype(np.float32)
+    mel, energy = a.log_mel(y)
+    n = -(-(700 - audio.WINDOW) // audio.HOP) + 1
+    assert mel.shape == (n, audio.BANDS)
+    padded = np.concatenate([y, np.zeros((n - 1) * audio.HOP + audio.WINDOW - 700)]).astype(float)
+    k = np.arange(audio.WINDOW)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * k / (audio.WINDOW - 1))
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW // 2 + 1), k) / audio.WINDOW)
+    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
+    top = to_mel(a.rate / 2)
+    for i in range(n):
+        part = padded[i * audio.HOP : i * audio.HOP + audio.WINDOW] * hann
+        power = np.abs(dft @ part) ** 2
+        assert abs(energy[i] - 10 * np.log10((part**2).mean() + 1e-9)) < 1e-3
+        for b in range(audio.BANDS):
+            lo, mid, hi = (700 * (10 ** (top * (b + j) / (audio.BANDS + 1) / 2595) - 1) for j in (0, 1, 2))
+            f = np.arange(audio.WINDOW // 2 + 1) * a.rate / audio.WINDOW
+            weight = np.clip(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0, None)
+            assert abs(mel[i, b] - np.log(weight @ power + 1e-6)) < 1e-2
 
 
 URLS = ["http://a.net/x", "https://WWW.Example.NET/en/1?q=1#f", "http://example.net/de/1", "http://example.com/de/7", "ftp://x.org/fr/", "http://x.org/fr", "http://badnet/x", "no url", "", None,
