@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import classify as C
 from ..functions import text as X
+from .stats import first_wins
 
 CONFIDENCES = ["high", "medium", "uncertain"]
 
@@ -123,7 +124,10 @@ def context_features(obs: DataFrame) -> DataFrame:
 
 
 def rules() -> list[tuple[str, str, Column]]:
-    """All rules as (confidence, type, predicate) over context_features; where one excludes another it says so."""
+    """All rules as (confidence, type, predicate) over context_features; where one excludes another it says so.
+
+    Fixed values: the limits, words and patterns in the predicates, and the types' names.
+    """
     key, value, raw, low, near = (F.col(c) for c in ("property_key", "value_nominal", "plain_raw", "low", "near"))
     has = lambda *words: F.greatest(F.lit(False), *[F.contains(low, F.lit(w)) for w in words])
     code = F.try_element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), raw)
@@ -179,14 +183,26 @@ SUPPRESSED = [
     ("electrical_test_or_density_standard_captured", "test_method_code_captured_as_property_value"),
     ("test_method_code_captured_as_property_value", "vicat_method_and_load_captured_as_temperature"),
 ]
-OBSERVATION_KEY = ["supplier", "product", "source_file", "property_key", "raw_value", "source_context"]
+#: What makes two issues one observation's: file, product, key, raw value and the context's beginning.
+CONTEXT_KEY = 240
+ID_CONTEXT = 160
+
+
+def id_parts() -> list[Column]:
+    """What an issue's digest is made of, in its order: type, supplier, product, key, raw value, file, the context's beginning."""
+    fields = [F.col(c) for c in ("issue_type", "supplier", "product", "property_key", "raw_value", "source_file")]
+    return [*fields, F.substring("source_context", 1, ID_CONTEXT)]
+
 
+def detect(obs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Issues of observations joined with their records: each id once, suppressed by stronger ones of the same observation.
 
-def detect(obs: DataFrame) -> DataFrame:
-    """Issues of observations joined with their records: each once, suppressed by stronger ones of the same observation."""
+    Of issues with one id the first by `order` stays, and by all columns where that leaves ties.
+    """
     found = evaluate(context_features(obs), rules())
-    parts = [F.col(c) for c in ("issue_type", "supplier", "product", "source_file", "property_key", "raw_value")]
-    found = found.withColumn("issue_id", issue_id(F.col("confidence"), [*parts, F.substring(X.squeeze(F.col("source_context")), 1, 160)]))
-    once = found.dropDuplicates(["issue_id"])
-    kept = suppress_by_high(suppress_pairs(once, OBSERVATION_KEY, SUPPRESSED), OBSERVATION_KEY)
+    found = found.withColumn("issue_id", issue_id(F.col("confidence"), id_parts()))
+    once = first_wins(found, ["issue_id"], [*order, *[F.col(c) for c in obs.columns]])
+    key = [F.col("source_file"), F.col("product"), F.col("property_key"), F.col("raw_value"), F.substring("source_context", 1, CONTEXT_KEY)]
+    keyed = once.withColumn("__key", F.struct(*[F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(key)]))
+    kept = suppress_by_high(suppress_pairs(keyed, ["__key"], SUPPRESSED), ["__key"])
     return kept.select("issue_id", "confidence", "issue_type", *obs.columns)
