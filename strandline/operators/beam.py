@@ -11,6 +11,7 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Stiffness and strength in MPa, scenario and direction factors.
@@ -151,13 +152,29 @@ def preset_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in PRESETS.items()], "model string, spec string")
 
 
-def cross_sections(edges: DataFrame, cuts: DataFrame) -> DataFrame:
+#: Width of the bins along x in which sections, nodes and loads of one model meet, in the model's unit of length.
+BIN = 4.0
+
+
+def bin_of(x: Column, width: float) -> Column:
+    return F.floor(x / width)
+
+
+def in_bins(df: DataFrame, lo: Column, hi: Column, width: float) -> DataFrame:
+    """Each row once for every bin that lo..hi touches, as __bin; __first is the first of them."""
+    first, last = bin_of(F.least(lo, hi), width), bin_of(F.greatest(lo, hi), width)
+    return df.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
+
+
+def cross_sections(edges: DataFrame, cuts: DataFrame, width: float = BIN) -> DataFrame:
     """Filled length and centre of polygons' vertical cuts: edges (model, x1, y1, x2, y2), cuts (model, x).
 
-    A half-open theta join on the model, then neighbouring crossings pair up.
+    A half-open theta join inside bins of x, so that a model with very many edges and cuts is
+    spread over tasks; then neighbouring crossings pair up.
     """
-    e = edges.where("abs(x2 - x1) >= 1e-9")
-    hit = cuts.join(e, "model").where("x >= least(x1, x2) AND x < greatest(x1, x2)").withColumn("y", F.expr("y1 + (x - x1) / (x2 - x1) * (y2 - y1)"))
+    e = in_bins(edges.where("abs(x2 - x1) >= 1e-9"), F.col("x1"), F.col("x2"), width).drop("__first")
+    hit = cuts.withColumn("__bin", bin_of(F.col("x"), width)).join(e, ["model", "__bin"]).where("x >= least(x1, x2) AND x < greatest(x1, x2)")
+    hit = hit.withColumn("y", F.expr("y1 + (x - x1) / (x2 - x1) * (y2 - y1)"))
     ys = hit.groupBy("model", "x").agg(F.sort_array(F.collect_list("y")).alias("ys"))  # a polygon's crossings of one line
     spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("ys") / 2).cast("int") - 1), lambda i: F.struct(F.get("ys", i * 2).alias("a"), F.get("ys", i * 2 + 1).alias("b")))
     spans = F.when(F.size("ys") >= 2, spans).otherwise(F.array().cast("array<struct<a: double, b: double>>"))
@@ -166,17 +183,41 @@ def cross_sections(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     return ys.select("model", "x", spans.alias("s")).select("model", "x", total.alias("total"), F.when(total > 0, weighted / total).alias("center"))
 
 
-def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For every point (model, id, x) the nearest node (model, idx, node_x); the lowest index wins ties."""
-    both = points.join(nodes, "model")
-    low = F.min(F.struct(F.abs(F.col("node_x") - F.col("x")).alias("d"), F.col("idx"))).alias("m")
-    return both.groupBy("model", "id", "x").agg(low).select("model", "id", "x", F.col("m.idx").alias("idx"), F.col("m.d").alias("distance"))
+def nearest(points: DataFrame, nodes: DataFrame, width: float = BIN) -> DataFrame:
+    """For every point (model, id, x) the nearest node (model, idx, node_x); the lowest index wins ties.
 
-
-def overlaps(elements: DataFrame, loads: DataFrame) -> DataFrame:
-    """Length that spread loads (model, id, x1, x2) share with elements (model, el, a, b)."""
+    The nearest node is the last one at or before the point or the first one after it. Inside
+    a bin of x both are found in order of x; across bins it takes each bin's first and last
+    node alone, which is a row a bin.
+    """
+    at = F.struct(F.col("node_x"), F.col("idx"))
+    low, high = F.struct("node_x", "idx"), F.struct("node_x", (-F.col("idx")).alias("turned"), "idx")
+    marks = nodes.groupBy("model", "node_x").agg(F.min("idx").alias("idx")).withColumn("__bin", bin_of(F.col("node_x"), width))
+    ends = marks.groupBy("model", "__bin").agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
+    spots = points.withColumn("__bin", bin_of(F.col("x"), width))
+    bins = spots.select("model", "__bin").distinct().join(ends, ["model", "__bin"], "full")
+    line = W.partitionBy("model").orderBy("__bin")  # a row a bin
+    back = F.last("hi", True).over(line.rowsBetween(W.unboundedPreceding, -1))
+    ahead = F.first("lo", True).over(line.rowsBetween(1, W.unboundedFollowing))
+    bins = bins.select("model", "__bin", F.struct(back["node_x"].alias("node_x"), back["idx"].alias("idx")).alias("back"), ahead.alias("ahead"))
+    both = spots.select("model", "__bin", F.col("x").alias("__x"), "id", F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("node_x"), F.lit(None).cast("long").alias("idx")).unionByName(
+        marks.select("model", "__bin", F.col("node_x").alias("__x"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(0).alias("__kind"), "node_x", F.col("idx").cast("long").alias("idx"))
+    )
+    inside = W.partitionBy("model", "__bin").orderBy("__x", "__kind")
+    node = F.when(F.col("__kind") == 0, at)
+    both = both.withColumns({"before": F.last(node, True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "after": F.first(node, True).over(inside.rowsBetween(0, W.unboundedFollowing))})
+    met = both.where("__kind = 1").select("model", "__bin", "id", F.col("__x").alias("x"), "before", "after").join(bins, ["model", "__bin"])
+    away = lambda n: F.when(n["node_x"].isNotNull(), F.struct(F.abs(n["node_x"] - F.col("x")).alias("d"), n["idx"].alias("idx")))
+    best = F.array_min(F.array_compact(F.array(*[away(F.col(c)) for c in ("before", "after", "back", "ahead")])))
+    return met.select("model", "id", "x", best["idx"].alias("idx"), best["d"].alias("distance")).where("idx IS NOT NULL")
+
+
+def overlaps(elements: DataFrame, loads: DataFrame, width: float = BIN) -> DataFrame:
+    """Length that spread loads (model, id, x1, x2) share with elements (model, el, a, b); they meet in the first bin of x they share."""
     lo, hi = F.greatest("a", F.least("x1", "x2")), F.least("b", F.greatest("x1", "x2"))
-    return elements.join(loads, "model").withColumn("overlap", hi - lo).where("overlap > 0").select("model", "id", "el", "overlap")
+    e = in_bins(elements, F.col("a"), F.col("b"), width).withColumnRenamed("__first", "__from")
+    both = e.join(in_bins(loads, F.col("x1"), F.col("x2"), width), ["model", "__bin"]).where(F.col("__bin") == F.greatest("__from", "__first"))
+    return both.withColumn("overlap", hi - lo).where("overlap > 0").select("model", "id", "el", "overlap")
 
 
 def polygon_area(vertices: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ PRODUCT_PATHS = ("/products/", "/product/", "/store/l/", "/materials/")
 #: Sources of candidates that came with a sidecar.
 SIDECARS = ("html_material_specs", "html_sidecar")
 MAX_OFFERS = 60
+#: Slices in which a vendor's candidates are ranked first.
+SLICES = 64
 
 
 def any_of(hay: Column, words: Sequence[str]) -> Column:
@@ -51,19 +53,20 @@ def is_filament_row(product: Column, variant: Column, url: Column) -> Column:
 
 def dedupe_candidates(rows: DataFrame, key: Sequence[str], hint: str, order: str) -> DataFrame:
     """One row a key: the first with a hint; without any hint the last."""
-    w = W.partitionBy(*key)
-    hinted = F.max((F.col(hint) != "").cast("int")).over(w) == 1
-    rank = F.when(hinted & (F.col(hint) == ""), 1).otherwise(0)
+    hinted = F.coalesce(F.col(hint) != "", F.lit(False))
     place = F.when(hinted, F.col(order)).otherwise(-F.col(order))
-    return first_wins(rows.withColumn("__rank", rank).withColumn("__place", place), key, [F.col("__rank"), F.col("__place")]).drop("__rank", "__place")
+    return first_wins(rows, key, [F.when(hinted, 0).otherwise(1), place])
 
 
 def capped_candidates(rows: DataFrame, limits: DataFrame, default: int = 60) -> DataFrame:
     """Per vendor the first candidates, sidecar ones first, then by url; limits has a row a vendor."""
     order = [F.when(F.col("source").isin(*SIDECARS), 0).otherwise(1), F.col("url")]
-    w = W.partitionBy("vendor").orderBy(*order)
-    ranked = rows.withColumn("__rn", F.row_number().over(w)).join(limits.select("vendor", "product_limit"), "vendor", "left")
-    return ranked.where(F.col("__rn") <= F.coalesce("product_limit", F.lit(default))).drop("__rn", "product_limit")
+    named = rows.join(limits.select("vendor", "product_limit"), "vendor", "left").withColumn("__most", F.coalesce("product_limit", F.lit(default)))
+    # first within slices of a vendor, so that a vendor with most of the urls is cut down by many tasks
+    named = named.withColumn("__slice", F.pmod(F.xxhash64("url"), F.lit(SLICES)))
+    for by in (["vendor", "__slice"], ["vendor"]):
+        named = named.withColumn("__rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= F.col("__most"))
+    return named.drop("__rn", "__most", "__slice", "product_limit")
 
 
 def discover(parts: Sequence[DataFrame], limits: DataFrame, default: int = 60) -> DataFrame:
@@ -75,11 +78,10 @@ def discover(parts: Sequence[DataFrame], limits: DataFrame, default: int = 60) -
     for k, part in enumerate(parts):
         named = part.select("vendor", X.normalize_price_url(F.col("url")).alias("url"), "hint", "source", F.struct(F.lit(k).alias("part"), F.col("place").cast("long").alias("place")).alias("found"))
         rows = named if rows is None else rows.unionByName(named)
-    w = W.partitionBy("vendor", "url")
-    hinted = F.max((F.coalesce("hint", F.lit("")) != "").cast("int")).over(w) == 1
-    first = F.min(F.when(F.coalesce("hint", F.lit("")) != "", F.col("found"))).over(w)
-    kept = rows.withColumn("__want", F.when(hinted, first).otherwise(F.max("found").over(w))).where(F.col("found") == F.col("__want"))
-    return capped_candidates(kept.drop("found", "__want"), limits, default)
+    hinted = F.coalesce("hint", F.lit("")) != ""
+    late = [F.when(hinted, F.col("found")[c]).otherwise(-F.col("found")[c]) for c in ("part", "place")]
+    kept = first_wins(rows, ["vendor", "url"], [F.when(hinted, 0).otherwise(1), *late])
+    return capped_candidates(kept.drop("found"), limits, default)
 
 
 def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: Column, score: Column, order: str, by: Sequence[str] = ()) -> DataFrame:
@@ -90,9 +92,11 @@ def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: C
     """
     pair = [*by, price, "currency"]
     once = first_wins(rows, [*by, *exact], [F.col(order)])
-    best = first_wins(once.withColumn("__id", identity).withColumn("__score", score), [*pair, "__id"], [F.desc("__score"), F.col(order)])
-    named = F.max((F.col("variant") != "").cast("int")).over(W.partitionBy(*pair))
-    return best.withColumn("__named", named).where((F.col("variant") != "") | (F.col("__named") == 0)).drop("__id", "__score", "__named")
+    best = first_wins(once.withColumn("__id", identity).withColumn("__score", score), [*pair, "__id"], [-F.col("__score"), F.col(order)]).drop("__id", "__score")
+    # the prices that some named offer has are one row each: nameless offers are checked against them
+    taken = best.where(F.col("variant") != "").select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(pair)]).distinct()
+    beside = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(pair)]
+    return best.where(F.col("variant") != "").unionByName(best.where(F.col("variant") == "").join(taken, beside, "left_anti"))
 
 
 def page_offers(offers: DataFrame, default_currency: Column) -> DataFrame:

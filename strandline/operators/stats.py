@@ -2,7 +2,7 @@
 
 An observation frame has material_id, property_key, value (nullable double), orientation
 and an `ordinal` that orders rows totally; where first-wins matters it decides.
-Exact quantiles count equal values first and rank the distinct ones in sorts that spill.
+Exact quantiles count equal values first, then rank those of the buckets that hold the wanted ranks.
 """
 
 from __future__ import annotations
@@ -14,19 +14,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Buckets an octave of values falls into, for exact quantiles.
+BUCKETS = 1024
+
+
+def bucket(value: Column, per_octave: int = BUCKETS) -> Column:
+    """A whole number that never falls as value grows: what bounds the rows that are ranked together."""
+    v = value.cast("double")
+    return F.when(F.isnan(v), F.lit((1 << 62) - 1)).otherwise(F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * per_octave))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles, linear between ranks, as columns named by `probs`.
 
-    Equal values are counted first, map-side too; ranks are running sums over the sorted distinct
-    values. Sorts spill, where an aggregate would hold a group's values in memory.
+    Equal values are counted first, map-side too, and summed by buckets of the value: a few
+    thousand rows a group at any size. Running sums over those tell in which buckets the
+    wanted ranks lie; only their values are ranked, a bucket at a time, in sorts that spill.
+    So no group passes through one task, however many of its values differ.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    whole = W.partitionBy(*by)
-    upto = F.sum("__n").over(whole.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(whole))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", bucket(F.col(value)))
+    group = W.partitionBy(*by)
+    sums = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__in"))
+    sums = sums.withColumn("__before", F.sum("__in").over(group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__in"))
+    sums = sums.withColumn("__all", F.sum("__in").over(group))
+    ranks = {n: (F.col("__all") - 1) * F.lit(p) for n, p in probs.items()}
+    inside = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__in"))
+    wanted = sums.where(F.greatest(F.lit(False), *[inside(f(at)) for at in ranks.values() for f in (F.floor, F.ceil)]))
+    named = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    some = counts.join(
+        wanted.select(*named, F.col("__b").alias("__wb"), "__before", "__all"),
+        [F.col("__b") == F.col("__wb"), *[F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]],
+    )
+    upto = F.sum("__n").over(W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = some.withColumn("__upto", F.col("__before") + upto)
     parts = []
-    for name, p in probs.items():
-        at = (F.col("__all") - 1) * F.lit(p)
+    for name, at in ranks.items():
         parts += [
             F.min(F.when(F.col("__upto") > F.floor(at), F.col(value))).alias(f"__lo_{name}"),
             F.min(F.when(F.col("__upto") > F.ceil(at), F.col(value))).alias(f"__hi_{name}"),
@@ -203,9 +225,14 @@ def best_covered(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given total order."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The first row of each key in the given total order of ascending columns, nulls first.
+
+    A minimum over (order, row) is combined before the shuffle, so a key with very many rows
+    sends one row a task.
+    """
+    names = [f"__k{i}" for i in range(len(key))]
+    keyed = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(key, names)], F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__o"), F.struct("*").alias("__row"))
+    return keyed.groupBy(*names).agg(F.min_by("__row", "__o").alias("__row")).select("__row.*")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,8 @@ def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             some = df.where(F.concat_ws("", *df.columns) != "")
             if "local_path" in df.columns and not some.isEmpty():
                 keyed = some.withColumn("__line", F.monotonically_increasing_id()).withColumn("path_key", F.translate("local_path", "\\", "/"))
-                return first_wins(keyed, ["path_key"], [F.desc("__line")]).drop("__line")
-        except Exception:  # an unreadable manifest is passed over
+                return first_wins(keyed, ["path_key"], [-F.col("__line")]).drop("__line")
+        except PySparkException:  # an unreadable manifest is passed over
             continue
     return spark.createDataFrame([], "local_path string, source_page_url string, download_url string, document_title string, retrieved_at string, path_key string")
 
