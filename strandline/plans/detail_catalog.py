@@ -10,38 +10,32 @@ from ..operators import detail as D
 from ..operators import stats as S
 from .catalog import KEYS, MAT, OBS, STAT, materials, observations, query, rounded, table
 
-#: Parts' records with observations for some of them only, so that shares say something.
-SOME = "material_id % 3 <> 0"
-
-
-@query(f"""WITH {OBS}, {MAT}, part_obs AS (SELECT * FROM obs WHERE {SOME}), per AS (SELECT property_key, count(DISTINCT material_id) AS n FROM part_obs GROUP BY 1)
+KPIS_SQL = f"""WITH {OBS}, {MAT}, per AS (SELECT property_key, count(DISTINCT material_id) AS n FROM obs GROUP BY 1)
 SELECT count(*) AS materials, 100.0 * count(*) FILTER (live) / count(*) AS parsed_percent, count(DISTINCT base_material) FILTER (live) AS bases,
  count(DISTINCT supplier) AS suppliers, (SELECT property_key FROM per ORDER BY n DESC, list_position(['quantity', 'extendedprice', 'discount', 'tax'], property_key) LIMIT 1) AS best_property,
  (SELECT max(n) FROM per) AS best_materials
-FROM (SELECT *, material_id IN (SELECT material_id FROM part_obs) AS live FROM mat)""")
+FROM (SELECT *, material_id IN (SELECT material_id FROM obs) AS live FROM mat)"""
+LEGEND_SQL = f"""WITH {MAT} SELECT base_material AS group_value, count(*) AS n FROM mat WHERE material_id IN (SELECT l_partkey FROM lineitem) GROUP BY 1"""
+
+
+@query(KPIS_SQL)
 def kpis(spark, sf):
-    return D.kpis(materials(spark, sf), observations(spark, sf).where(SOME), KEYS)
+    return D.kpis(materials(spark, sf), observations(spark, sf), KEYS)
 
 
-@query(f"""WITH {MAT} SELECT base_material AS group_value, count(*) AS n FROM mat WHERE {SOME} AND material_id IN (SELECT l_partkey FROM lineitem) GROUP BY 1""")
+@query(LEGEND_SQL)
 def base_legend(spark, sf):
-    return D.legend(materials(spark, sf), observations(spark, sf).where(SOME))
+    return D.legend(materials(spark, sf), observations(spark, sf))
 
 
-@query(f"""WITH {OBS}, {MAT}, per AS (SELECT property_key, count(DISTINCT material_id) AS n FROM obs GROUP BY 1)
-SELECT count(*) AS materials, 100.0 * count(*) FILTER (live) / count(*) AS parsed_percent, count(DISTINCT base_material) FILTER (live) AS bases,
- count(DISTINCT supplier) AS suppliers, (SELECT property_key FROM per ORDER BY n DESC, list_position(['quantity', 'extendedprice', 'discount', 'tax'], property_key) LIMIT 1) AS best_property,
- (SELECT max(n) FROM per) AS best_materials
-FROM (SELECT *, material_id IN (SELECT material_id FROM obs) AS live FROM mat)""")
+@query(KPIS_SQL)
 def kpis_whole(spark, sf):
-    """Of all observations."""
-    return D.kpis(materials(spark, sf), observations(spark, sf), KEYS)
+    return kpis(spark, sf)
 
 
-@query(f"""WITH {MAT} SELECT base_material AS group_value, count(*) AS n FROM mat WHERE material_id IN (SELECT l_partkey FROM lineitem) GROUP BY 1""")
+@query(LEGEND_SQL)
 def base_legend_whole(spark, sf):
-    """Of all observations."""
-    return D.legend(materials(spark, sf), observations(spark, sf))
+    return base_legend(spark, sf)
 
 
 @query(f"""WITH {OBS}, once AS (SELECT * FROM obs WHERE property_key <> 'discount' QUALIFY row_number() OVER (PARTITION BY material_id, property_key, value ORDER BY ordinal, orientation) = 1),
@@ -57,13 +51,13 @@ def property_groups(spark, sf):
 
 
 @query(f"""WITH {OBS}, {STAT}, span AS (SELECT property_key, min(value) AS lo, max(value) AS hi FROM obs GROUP BY 1),
-keys(property_key, metric_order) AS (VALUES ('quantity', 0), ('hardness', 1), ('tax', 2)), ids AS (SELECT p_partkey AS material_id FROM part WHERE p_size < 5)
+keys(property_key, metric_order) AS (VALUES ('quantity', 0), ('hardness', 1), ('tax', 2)), ids AS (SELECT p_partkey AS material_id FROM part)
 SELECT i.material_id, k.metric_order, k.property_key, round(s.mean_value + 0.000000013, 6) AS mean_value, coalesce(s.n, 0) AS n,
  round(CASE WHEN s.mean_value IS NULL OR hi = lo THEN 0 ELSE greatest(0, least(1, (s.mean_value - lo) / (hi - lo))) END + 0.000000013, 6) AS score
 FROM ids i CROSS JOIN keys k LEFT JOIN stat s ON s.material_id = i.material_id AND s.property_key = k.property_key LEFT JOIN span p ON p.property_key = k.property_key""")
 def metric_panel(spark, sf):
     obs = observations(spark, sf)
-    ids = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("material_id"))
+    ids = table(spark, sf, "part").select(F.col("p_partkey").alias("material_id"))
     return rounded(D.metric_panel(S.material_stat(obs), S.ranges(obs), ["quantity", "hardness", "tax"], ids), "mean_value", "score")
 
 

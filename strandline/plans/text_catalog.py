@@ -360,23 +360,26 @@ def windowed_counts(spark, sf):
     return counts(table(spark, sf, "events"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice >= 1000 THEN printf('%.0f', l_extendedprice) WHEN l_extendedprice >= 100 THEN printf('%.1f', l_extendedprice) ELSE printf('%.2f', l_extendedprice) END AS shown,
- CASE WHEN l_discount > 0.05 THEN 'over' ELSE 'under' END AS side FROM lineitem WHERE l_extendedprice * 10 <> floor(l_extendedprice * 10) AND l_extendedprice * 2 <> floor(l_extendedprice * 2) AND round(l_extendedprice * 100)::BIGINT % 10 <> 5""")
+#: DuckDB's printf sends exact ties to the even digit; a little more sends them up, as the display does.
+SHOWN_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ CASE WHEN p >= 1000 THEN printf('%.0f', CASE WHEN p * 2 = floor(p * 2) AND (p * 2)::BIGINT % 2 = 1 THEN p + 0.25 ELSE p END)
+  WHEN p >= 100 THEN printf('%.1f', CASE WHEN p * 4 = floor(p * 4) AND (p * 4)::BIGINT % 2 = 1 THEN p + 0.0625 ELSE p END)
+  ELSE printf('%.2f', CASE WHEN p * 8 = floor(p * 8) AND (p * 8)::BIGINT % 2 = 1 THEN p + 0.001 ELSE p END) END AS shown,
+ CASE WHEN l_discount > 0.05 THEN 'over' ELSE 'under' END AS side FROM (SELECT *, l_extendedprice AS p FROM lineitem)"""
+
+
+@query(SHOWN_SQL)
 def value_display(spark, sf):
+    """Every lineitem row."""
     from ..functions.display import value_text
 
     p = F.col("l_extendedprice")
-    rows = table(spark, sf, "lineitem").where((p * 10 != F.floor(p * 10)) & (p * 2 != F.floor(p * 2)) & (F.round(p * 100).cast("long") % 10 != 5))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
 
 
-@query()
+@query(SHOWN_SQL)
 def value_display_whole(spark, sf):
-    """Every lineitem row. No SQL: DuckDB rounds exact ties to even, the display rounds them away from zero."""
-    from ..functions.display import value_text
-
-    p = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value_text(p).alias("shown"), F.when(F.col("l_discount") > 0.05, "over").otherwise("under").alias("side"))
+    return value_display(spark, sf)
 
 
 @query("""SELECT c_mktsegment, list_transform(range(5), lambda i: lo + (hi - lo) * i / 4) AS ticks FROM (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) WHERE hi > lo""")
