@@ -190,8 +190,8 @@ ID_CONTEXT = 160
 
 def id_parts() -> list[Column]:
     """What an issue's digest is made of, in its order: type, supplier, product, key, raw value, file, the context's beginning."""
-    fields = [F.col(c) for c in ("issue_type", "supplier", "product", "property_key", "raw_value", "source_file")]
-    return [*fields, F.substring("source_context", 1, ID_CONTEXT)]
+    fields = [X.squeeze(F.col(c)) for c in ("issue_type", "supplier", "product", "property_key", "raw_value", "source_file")]
+    return [*fields, F.substring(X.squeeze(F.col("source_context")), 1, ID_CONTEXT)]
 
 
 def detect(obs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
@@ -202,7 +202,8 @@ def detect(obs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
     found = evaluate(context_features(obs), rules())
     found = found.withColumn("issue_id", issue_id(F.col("confidence"), id_parts()))
     once = first_wins(found, ["issue_id"], [*order, *[F.col(c) for c in obs.columns]])
-    key = [F.col("source_file"), F.col("product"), F.col("property_key"), F.col("raw_value"), F.substring("source_context", 1, CONTEXT_KEY)]
+    plain = {c: X.squeeze(F.col(c)) for c in ("source_file", "product", "property_key", "raw_value", "source_context")}
+    key = [*list(plain.values())[:4], F.substring(plain["source_context"], 1, CONTEXT_KEY)]
     keyed = once.withColumn("__key", F.struct(*[F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(key)]))
     kept = suppress_by_high(suppress_pairs(keyed, ["__key"], SUPPRESSED), ["__key"])
     return kept.select("issue_id", "confidence", "issue_type", *obs.columns)

@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from strandline.plans import catalog, detail_catalog, text_catalog  # noqa: F401
+from strandline.plans import audit_catalog, catalog, detail_catalog, text_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
