@@ -125,3 +125,70 @@ def issue_rules(spark, sf):
     from ..operators.issues import detect
 
     return detect(planted(spark, sf)).select("material_id", "issue_type", "confidence", "issue_id")
+
+
+#: property_key, raw_value, value, what large parts add to it, unit_canonical, test_method, quality_flag, source_context.
+CHECKED = [
+    ("density", "3", 3.0, 0.0, "g/cm3", "", "", "Density [g/cm³] | 3"),
+    ("density", "1.24", 1.24, 2.0, "g/cm3", "", "", "Density | 1.24 g/cm3"),
+    ("melt_volume_rate", "3.0", 3.0, 0.0, "cm3/10min", "", "", "MVR [cm3/10 min] | 3.0"),
+    ("impact_charpy", "2", 2.0, 0.0, "kJ/m2", "ISO 179", "", "Charpy [kJ/m²] | 2"),
+    ("nozzle_temperature", "220", 220.0, 400.0, "degC", "", "", "Nozzle temperature | 220"),
+    ("drying_temperature", "70", 70.0, -60.0, "degC", "", "", "Drying | 70"),
+    ("impact_strength", "12", 12.0, 0.0, "", "", "unit_not_converted", "Impact strength | 12"),
+    ("impact_izod", "40", 40.0, 0.0, "kJ/m2", "ASTM D256", "", "Izod | ASTM D256 | 40"),
+    ("impact_charpy", "41", 41.0, 0.0, "kJ/m2", "ASTM D256", "", "Charpy | ASTM D256 | 41"),
+    ("impact_charpy", "42", 42.0, 0.0, "kJ/m2", "ASTM D256", "impact_method_unit_mismatch:told", "Charpy | ASTM D256 | 42"),
+    ("impact_izod", "43", 43.0, 0.0, "J/m", "ISO 180", "", "Izod | ISO 180 | 43"),
+    ("impact_izod_area", "44", 44.0, 0.0, "kJ/m2", "ISO 179", "", "Izod | ISO 179 | 44"),
+    ("impact_izod_area", "45", 45.0, 400.0, "kJ/m2", "ISO 180", "", "Izod | ISO 180 | 45"),
+    ("tensile_modulus", "2", 2.0, -1.5, "MPa", "", "", "Tensile modulus | 2"),
+]
+CHECKED_COLUMNS = ["property_key", "raw_value", "value", "more", "unit_canonical", "test_method", "quality_flag", "source_context"]
+
+
+def checked(spark, sf):
+    """Each case for each part; large parts have other values, and every third part's file is missing."""
+    cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(CHECKED_COLUMNS, c)]) for c in CHECKED])
+    rows = table(spark, sf, "part").select("*", F.explode(cases).alias("c"))
+    return rows.select(
+        F.col("p_brand").alias("supplier"), F.col("p_name").alias("product"), F.col("p_type").alias("base_material"), F.col("p_type").alias("material_family"),
+        F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("source_file"), "c.property_key", F.col("c.property_key").alias("property_label"), F.lit("").alias("raw_label"),
+        "c.raw_value", F.when(F.col("p_size") > LARGE, F.col("c.value") + F.col("c.more")).otherwise(F.col("c.value")).alias("value_nominal"),
+        "c.unit_canonical", "c.test_method", "c.quality_flag", "c.source_context",
+    )
+
+
+CHECKS_SQL = f"""WITH c({', '.join(CHECKED_COLUMNS)}) AS (VALUES {', '.join('(' + ', '.join(map(_quoted, c)) + ')' for c in CHECKED)}),
+o AS (SELECT p_partkey, p_size, 'f' || p_partkey AS source_file, p_brand || ' ' || p_name || ' ' || p_type AS named, c.*, CASE WHEN p_size > {LARGE} THEN value + more ELSE value END AS v,
+ replace(replace(replace(replace(lower(source_context), ' ', ''), '|', ''), '²', '2'), '³', '3') AS form, upper(test_method || ' ' || source_context) AS told,
+ CASE WHEN unit_canonical IN ('kJ/m2', 'J/m2') THEN 'area' WHEN unit_canonical IN ('J/m', 'ft-lb/in') THEN 'linear' END AS family FROM part, c),
+lim(k, lo, hi) AS (VALUES ('density', 0.45, 2.6), ('nozzle_temperature', 120, 480), ('bed_temperature', 0, 170), ('chamber_temperature', 0, 180), ('drying_temperature', 20, 160),
+ ('impact_charpy', 0, 350), ('impact_izod_area', 0, 350), ('impact_strength', 0, 350), ('tensile_modulus', 1, 30000), ('flexural_modulus', 1, 30000)),
+m AS (SELECT *, CASE WHEN regexp_matches(told, 'ISO ?180') THEN 'iso180' WHEN regexp_matches(told, 'ISO ?179|D ?6110') THEN 'charpy' WHEN regexp_matches(told, 'D ?(256|4812)') THEN 'izod' END AS method,
+ property_key LIKE 'impact%' AS impact, contains(quality_flag, 'impact_method_unit_mismatch:') AS flagged FROM o),
+found AS (
+ SELECT 'missing_source_path' AS kind, 'f' || p_partkey AS source_file, NULL AS property_key, NULL AS raw_value FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT 'unit_exponent_capture', source_file, property_key, raw_value FROM o WHERE (property_key = 'density' AND v = 3 AND contains(form, 'g/cm3'))
+  OR (property_key IN ('melt_volume_rate', 'max_volumetric_speed') AND regexp_full_match(raw_value, '3(\\.0+)?') AND (contains(form, 'cm3') OR contains(form, 'mm3')))
+  OR (property_key IN ('impact_charpy', 'impact_strength') AND regexp_full_match(raw_value, '2(\\.0+)?') AND contains(form, 'j/m2'))
+ UNION ALL SELECT 'outside_strict_range', source_file, property_key, raw_value FROM o JOIN lim ON k = property_key
+  WHERE v < lo OR v > CASE WHEN property_key = 'density' AND regexp_matches(named, '(?i)bronze|copper|iron|magnetic|magnetite|metal|steel|tungsten') THEN 8.5 ELSE hi END
+ UNION ALL SELECT 'impact_unit_not_converted', source_file, property_key, raw_value FROM m WHERE impact AND quality_flag = 'unit_not_converted'
+ UNION ALL SELECT 'impact_key_unit_family_mismatch', source_file, property_key, raw_value FROM m WHERE impact AND family IS DISTINCT FROM CASE WHEN property_key = 'impact_izod' THEN 'linear' ELSE 'area' END
+ UNION ALL SELECT 'impact_method_key_mismatch', source_file, property_key, raw_value FROM m WHERE impact AND method = 'izod' AND property_key <> 'impact_izod' AND NOT flagged
+ UNION ALL SELECT 'impact_method_key_mismatch', source_file, property_key, raw_value FROM m WHERE impact AND method = 'iso180' AND property_key NOT IN ('impact_izod_area', 'impact_charpy')
+ UNION ALL SELECT 'impact_method_key_mismatch', source_file, property_key, raw_value FROM m WHERE impact AND method = 'charpy' AND property_key NOT IN ('impact_charpy', 'impact_strength')
+ UNION ALL SELECT 'missing_golden_record', NULL, NULL, NULL FROM range(2))
+SELECT kind, source_file, property_key, raw_value, count(*) AS n FROM found GROUP BY ALL"""
+
+
+@query(CHECKS_SQL)
+def strict_checks(spark, sf):
+    """All five strict checks over planted observations: files, exponents, ranges, impact methods and golden products (which these tables lack)."""
+    from ..operators.audit import audit
+
+    obs = checked(spark, sf)
+    parts = table(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("source_file"), F.col("p_brand").alias("supplier"), F.col("p_name").alias("product"), "p_partkey")
+    found = audit(parts.drop("p_partkey"), obs, parts.where("p_partkey % 3 <> 0"))
+    return found.groupBy("kind", "source_file", "property_key", "raw_value").agg(F.count(F.lit(1)).alias("n"))
