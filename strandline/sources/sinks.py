@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,16 +12,76 @@ from ..operators import issues as I
 from ..operators.stats import top_per_group
 
 
+def write_verified(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """Write tables and read them again: an error where rows are missing, keys repeat, or an observation has no material."""
+    counts = {}
+    for name, df in tables.items():
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}")
+        counts[name] = df.sparkSession.read.parquet(f"{root}/{name}").count()
+        if counts[name] != seen.get["n"]:
+            raise ValueError(f"{name}: {seen.get['n']} rows written, {counts[name]} read")
+    read = next(iter(tables.values())).sparkSession.read.parquet
+    materials = read(f"{root}/materials")
+    if counts["materials"] != materials.select("material_id").distinct().count():
+        raise ValueError("materials share an id")
+    if not read(f"{root}/observations").join(materials, "material_id", "left_anti").isEmpty():
+        raise ValueError("observations without a material")
+    return counts
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes its path objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def point(spark: SparkSession, path: str, version: str, keep: int = 2) -> None:
+    """Make `version` the one that is read: a written file is renamed to the next pointer; old versions go."""
+    fs, at = files(spark, path)
+    turns = sorted(int(x.getPath().getName().split("-")[1]) for x in fs.listStatus(at(path)) if x.getPath().getName().startswith("current-"))
+    turn = (turns[-1] if turns else 0) + 1
+    staged = f"{path.rstrip('/')}/_staged-{version}"
+    out = fs.create(at(staged), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if not fs.rename(at(staged), at(f"{path.rstrip('/')}/current-{turn}")):
+        raise ValueError("another publication came first")
+    live = {version} | {read_small(spark, f"{path.rstrip('/')}/current-{t}") for t in turns[len(turns) - keep + 1 :] if keep > 1}
+    for x in fs.listStatus(at(path)):
+        name = x.getPath().getName()
+        if (name.startswith("v-") and name not in live) or (name.startswith("current-") and int(name.split("-")[1]) <= turn - max(1, keep)):
+            fs.delete(x.getPath(), True)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0].strip()
+
+
+def pointed(spark: SparkSession, path: str) -> str:
+    """The version that the newest pointer names."""
+    fs, at = files(spark, path)
+    turns = [int(x.getPath().getName().split("-")[1]) for x in fs.listStatus(at(path)) if x.getPath().getName().startswith("current-")]
+    if not turns:
+        raise ValueError(f"nothing is published under {path}")
+    return read_small(spark, f"{path.rstrip('/')}/current-{max(turns)}")
+
+
 def write_tables(materials: DataFrame, definitions: DataFrame, obs: DataFrame, path: str) -> None:
-    """Three normalised tables; counts are verified on what was written, and a final marker makes the set visible."""
+    """Three normalised tables in a folder of their own: written beside it, verified, and only then put in its place.
+
+    `build.publish` goes further: readers follow a pointer and never meet a missing folder.
+    """
     spark = obs.sparkSession
-    staged = {"materials": materials, "property_definitions": definitions, "observations": obs}
-    for name, df in staged.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    orphans = spark.read.parquet(f"{path}/observations").join(spark.read.parquet(f"{path}/materials"), "material_id", "left_anti")
-    if not orphans.isEmpty():
-        raise ValueError("observations without a material")
-    spark.createDataFrame([("complete",)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/_marker")
+    fs, at = files(spark, path)
+    turn = uuid.uuid4().hex
+    staged, old = f"{path.rstrip('/')}__staged-{turn}", f"{path.rstrip('/')}__old-{turn}"
+    write_verified({"materials": materials, "property_definitions": definitions, "observations": obs}, staged)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise ValueError(f"{path} can't be replaced")
+    if not fs.rename(at(staged), at(path)):
+        raise ValueError(f"{path} can't be put in place")
+    fs.delete(at(old), True)
 
 
 def long_rows(materials: DataFrame, obs: DataFrame) -> DataFrame:
@@ -72,9 +134,31 @@ def write_issues(issues: DataFrame, path: str) -> bool:
     write_csv(issues, f"{path}/issues_csv")
     write_json(issues, f"{path}/issues")
     write_json(I.counts(issues), f"{path}/counts")
+    write_text(issues.sparkSession, issue_report(issues), f"{path}/report")
     return True
 
 
+def issue_report(issues: DataFrame) -> str:
+    """Counts by confidence and type, largest first within a confidence, then the first examples of each type."""
+    kinds = issues.groupBy("confidence", "issue_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("material_id").alias("materials"))
+    rank = I.confidence_rank(F.col("confidence"))
+    rows = kinds.orderBy(rank, F.desc("n"), "issue_type").collect()  # a row a type
+    cell = lambda v: str("" if v is None else v).replace("|", "/").replace("\n", " ")
+    out = ["# Property issues", "", "| confidence | type | issues | records |", "|-|-|-|-|"]
+    out += [f"| {r.confidence} | {r.issue_type} | {r.n} | {r.materials} |" for r in rows]
+    shown = issue_examples(issues).orderBy(rank, "issue_type", "rank").collect()  # a few a type
+    for r in rows:
+        out += ["", f"## {r.issue_type} ({r.confidence})", "", "| id | supplier | product | property | value | context |", "|-|-|-|-|-|-|"]
+        own = [x for x in shown if (x.confidence, x.issue_type) == (r.confidence, r.issue_type)]
+        out += ["| " + " | ".join(cell(v) for v in (x.issue_id, x.supplier, x.product, x.property_key, x.raw_value, x.source_context)) + " |" for x in own]
+    return "\n".join(out) + "\n"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A short report as one text file."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def write_prices(prices: DataFrame, run_log: DataFrame, path: str) -> None:
     """Rows, log, vendor rollup and status histogram."""
     from ..operators.prices import vendor_rollup
@@ -84,6 +168,32 @@ def write_prices(prices: DataFrame, run_log: DataFrame, path: str) -> None:
     write_json(vendor_rollup(prices), f"{path}/vendors")
     status = run_log.groupBy(F.concat_ws(":", "action", "status").alias("action_status")).agg(F.count(F.lit(1)).alias("n"))
     write_json(status, f"{path}/statuses")
+    write_json(price_summary(prices, run_log), f"{path}/summary")
+
+
+def price_summary(prices: DataFrame, run_log: DataFrame) -> DataFrame:
+    """One row: totals, and the histogram of actions and statuses as a map."""
+    totals = prices.agg(
+        F.count(F.lit(1)).alias("price_rows"), F.countDistinct("vendor").alias("vendors"), F.countDistinct("url").alias("urls"),
+        F.count("mass_kg").alias("with_mass"), F.count("price_usd").alias("with_usd"),
+    )
+    status = run_log.groupBy(F.concat_ws(":", "action", "status").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    held = status.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("statuses"))  # a few kinds of step
+    return totals.crossJoin(held)  # one row each
+
+
+def append_prices(prices: DataFrame, path: str) -> DataFrame:
+    """Rows of urls that earlier runs haven't written yet, added to what is there: a run that broke off goes on from there.
+
+    Returns all rows written so far. An append is a new set of files, and a url's rows go in one append.
+    """
+    spark = prices.sparkSession
+    fs, at = files(spark, path)
+    fresh = prices
+    if fs.exists(at(f"{path}/_SUCCESS")):
+        fresh = prices.join(spark.read.schema(prices.schema).parquet(path).select("url").distinct(), "url", "left_anti").select(*prices.columns)
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(prices.schema).parquet(path)
 
 
 def check(issues: DataFrame, most: int = 50) -> tuple[int, list]:
