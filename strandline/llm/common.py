@@ -99,6 +99,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_digest(df: DataFrame, seed: int = 0) -> Column:
+    """A long of all columns that can be hashed: what tells rows apart, wherever they lie."""
+    plain = [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(F.lit(seed), *[col(c) for c in plain])
+
+
 def placed(df: DataFrame, place: str, **more: Column) -> DataFrame:
     """df with a unique long `place` a row, and more columns, written once: all readers see one and the same place."""
     return materialize(df.select(*[col(c) for c in df.columns], F.monotonically_increasing_id().alias(place), *[c.alias(n) for n, c in more.items()]))

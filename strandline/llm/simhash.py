@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, col, map_batches, materialize, placed, release, spread_join, table, unused
+from .common import LOWER, binary, col, map_batches, materialize, placed, release, row_digest, spread_join, table, unused
 
 RADIUS = 3
 BLOCK_ROWS = 8192
@@ -282,10 +282,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     choice read, so repeated rows and null ids are safe and another split of the input's
     files between the two reads changes nothing.
     """
-    (place,) = unused(docs, "__place")
-    whole = placed(docs, place)
-    marked = near_duplicates(whole.select(col(place).alias("__place"), "doc_id", "text"), ["__place", "doc_id"], radius)
+    place, digest = unused(docs, "__place", "__digest")
+    whole = placed(docs, place, **{digest: row_digest(docs)})
+    keyed = whole.select(col(place).alias("__place"), col(digest).alias("digest"), "doc_id", "text")
+    marked = near_duplicates(keyed, ["__place", "digest", "doc_id"], radius)
     best = marked.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__place"))).alias("b")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"), F.col("__place"))).alias("b")
     )
-    return whole.join(best.select(F.col("b.__place").alias(place)), place, "left_semi").drop(place)
+    return whole.join(best.select(F.col("b.__place").alias(place)), place, "left_semi").drop(place, digest)
