@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op6_audio
+from .byte_pairs import op11_byte_pairs
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .licenses import op3_licenses
 from .mixing import op5_mixing
 from .packing import op9_packing
@@ -16,6 +18,7 @@ from .sharding import op2_sharding
 from .simhash import op1_simhash
 from .toxicity import op4_toxicity
 from .url_rules import op7_url_rules
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_quality_model": op10_quality_model,
+        "op11_byte_pairs": op11_byte_pairs,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}
