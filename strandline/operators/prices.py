@@ -40,15 +40,17 @@ def hay_of(*parts: Column) -> Column:
 
 def is_filament_url(url: Column, label: Column) -> Column:
     """A product page of a material: no excluded word, a material word, a product's path."""
-    path = F.lower(F.try_url_decode(X.url_part(url, "path")))
-    hay = hay_of(path, F.coalesce(label, F.lit("")))
-    barred = any_of(hay, EXCLUDED) | (any_of(hay, UNLESS_FILAMENT) & ~F.contains(hay, F.lit("filament")))
-    return ~barred & any_of(hay, KEYWORDS) & any_of(path, PRODUCT_PATHS)
+    told = lambda path: F.struct(path.alias("path"), hay_of(path, F.coalesce(label, F.lit(""))).alias("hay"))
+
+    def judged(t: Column) -> Column:
+        barred = any_of(t["hay"], EXCLUDED) | (any_of(t["hay"], UNLESS_FILAMENT) & ~F.contains(t["hay"], F.lit("filament")))
+        return ~barred & any_of(t["hay"], KEYWORDS) & any_of(t["path"], PRODUCT_PATHS)
+
+    return U.bound(U.bound(F.lower(F.try_url_decode(X.url_part(url, "path"))), told), judged)
 
 
 def is_filament_row(product: Column, variant: Column, url: Column) -> Column:
-    hay = hay_of(product, variant, url)
-    return ~any_of(hay, EXCLUDED) & ~hay.isin("materials ultimaker") & any_of(hay, KEYWORDS)
+    return U.bound(hay_of(product, variant, url), lambda hay: ~any_of(hay, EXCLUDED) & ~hay.isin("materials ultimaker") & any_of(hay, KEYWORDS))
 
 
 def dedupe_candidates(rows: DataFrame, key: Sequence[str], hint: str, order: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,9 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..operators import stats as S
 from ..operators.extract import extract
+from ..operators.ordinals import running_ids
 from ..schemas import OBSERVATION_COLUMNS, properties
+from ..scratch import written
 from . import readers, sinks
 
 #: Texts below these lengths get a note, and suppliers' pages without any properties.
@@ -44,8 +45,9 @@ def with_status(materials: DataFrame, counts: DataFrame) -> DataFrame:
     rows = F.size(F.coalesce("rows", F.array().cast("array<string>")))
     skip = X.skip_reason(F.element_at(F.split("source_file", "/"), -1))
     status = X.record_status(F.col("error"), F.col("text"), rows, F.col("pages"), F.col("supplier"), F.col("n"), skip)
-    made = joined.withColumn("status", status)
-    short = (F.col("status") == "parsed") & (F.length(F.trim(F.coalesce("text", F.lit("")))) < SHORT_TEXT)
+    profile = F.col("source_type") == "json_profile"  # has numbers and no text of its own
+    made = joined.withColumn("status", F.when(profile & (F.col("n") > 0), "parsed").otherwise(status))
+    short = ~profile & (F.col("status") == "parsed") & (F.length(F.trim(F.coalesce("text", F.lit("")))) < SHORT_TEXT)
     note = F.when(F.col("status") == "error", F.col("error")).when(F.col("status") == "skipped", skip).when(short, "short text").otherwise("")
     return made.withColumn("quality_notes", F.coalesce(note, F.lit("")))
 
@@ -67,22 +69,30 @@ def build(docs: DataFrame, specs: DataFrame | None = None, slicer: DataFrame | N
         found = found.unionByName(p.select(*fields))
     live = found.where((X.skip_reason(F.element_at(F.split("source_file", "/"), -1)) == "") & (F.coalesce("error", F.lit("")) == ""))
     observations, rejections = extract(live.select("material_id", "text", "rows"))
-    # read from several times below and by the caller; what an executor loses is worked out anew
-    observations = observations.select(*OBSERVATION_COLUMNS).persist(StorageLevel.DISK_ONLY)
-    rejections = rejections.persist(StorageLevel.DISK_ONLY)
+    # read several times below and by the caller: tables in the shared folder, so that no text is extracted twice
+    observations, rejections = written(observations.select(*OBSERVATION_COLUMNS)), written(rejections)
     if slicer is not None:
         plain = slicer.withColumns({"text": F.lit(""), "rows": F.array().cast("array<string>")} | blank)
         more = records(plain, "json_profile")
         read = readers.profiles(more.select("material_id", "json"))
         observations = observations.unionByName(read.select(*OBSERVATION_COLUMNS))
-        # a profile without a mapped field is no record, and no profile is told to need OCR for its lack of text
-        held = more.join(read.select("material_id").distinct(), "material_id", "left_semi").withColumn("text", F.repeat(F.lit(" profile"), 40))
+        # a profile without a mapped field is no record
+        held = more.join(read.select("material_id").distinct(), "material_id", "left_semi")
         found = found.unionByName(held.select(*fields))
     counts = observations.groupBy("material_id").agg(F.count(F.lit(1)).alias("n"))
     materials = with_status(found, counts).select(*fields[:9], "status", "quality_notes")
     return {"materials": materials, "observations": observations, "rejections": rejections, "property_definitions": properties(spark)}
 
 
+def numbered(made: dict[str, DataFrame]) -> DataFrame:
+    """Observations with a gapless observation_id: datasheets by path, then the other sources, each record's rows in their order."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("pdf", "json_profile", "html_spec")]), F.col("source_type"))
+    place = made["materials"].select("material_id", kind.alias("__kind"), F.col("source_file").alias("__file"))
+    rows = made["observations"].join(place, "material_id", "left")  # one without a record fails the verification
+    order = [F.col("__kind"), F.col("__file"), F.col("material_id"), F.col("ordinal")]
+    return running_ids(rows, order, "observation_id").drop("__kind", "__file")
+
+
 def publish(made: dict[str, DataFrame], path: str, keep: int = 2) -> str:
     """Write the tables of `build` as a new version, verify what was written, then point to it; readers never see a half-written set.
 
@@ -92,7 +102,7 @@ def publish(made: dict[str, DataFrame], path: str, keep: int = 2) -> str:
     spark = made["materials"].sparkSession
     version = f"v-{uuid.uuid4().hex}"
     root = f"{path.rstrip('/')}/{version}"
-    sinks.write_verified(made, root)
+    sinks.write_verified(made | {"observations": numbered(made)}, root)
     obs = spark.read.parquet(f"{root}/observations").withColumnRenamed("value_nominal", "value")
     S.coverage(obs, spark.read.parquet(f"{root}/property_definitions")).write.parquet(f"{root}/coverage")
     sinks.point(spark, path, version, keep)

@@ -7,9 +7,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.classify import page_space
+from ..functions.units import bound
 from ..operators.prices import KEYWORDS, any_of
 
 #: Words that rule pages out, with and without exception, and marks of documents.
@@ -28,23 +30,28 @@ DEFAULT_LIMIT = 25
 
 
 def is_product_page(vendor: Column, url: Column, label: Column) -> Column:
-    path = F.lower(F.try_url_decode(X.url_part(url, "path")))
-    hay = F.translate(F.lower(page_space(F.concat_ws(" ", path, label))), "-", " ")
-    barred = any_of(hay, NEVER) | (any_of(hay, UNLESS_FILAMENT) & ~F.contains(hay, F.lit("filament")))
-    named = any_of(hay, KEYWORDS)
-    fabb = (
-        ~F.trim(path, F.lit("/")).isin("", "catalogue", "filaments", "materials") & ~path.startswith("/filaments/effects")
-        & ~(path.startswith("/filaments/") & ~path.startswith("/filaments/materials/")) & ~F.contains(path, F.lit("/blog"))
-        & (path.startswith("/filaments/materials/") | named)
-    )
-    shop = named & (F.contains(path, F.lit("/products/")) | ((vendor == "MatterHackers") & F.contains(path, F.lit("/store/l/"))))
-    return ~barred & F.when(vendor == "ColorFabb", fabb).otherwise(shop)
+    at = F.lower(F.try_url_decode(X.url_part(url, "path")))
+    told = lambda path: F.struct(path.alias("path"), F.translate(F.lower(page_space(F.concat_ws(" ", path, label))), "-", " ").alias("hay"))
+
+    def judged(t: Column) -> Column:
+        path, hay = t["path"], t["hay"]
+        barred = any_of(hay, NEVER) | (any_of(hay, UNLESS_FILAMENT) & ~F.contains(hay, F.lit("filament")))
+        named = any_of(hay, KEYWORDS)
+        fabb = (
+            ~F.trim(path, F.lit("/")).isin("", "catalogue", "filaments", "materials") & ~path.startswith("/filaments/effects")
+            & ~(path.startswith("/filaments/") & ~path.startswith("/filaments/materials/")) & ~F.contains(path, F.lit("/blog"))
+            & (path.startswith("/filaments/materials/") | named)
+        )
+        shop = named & (F.contains(path, F.lit("/products/")) | ((vendor == "MatterHackers") & F.contains(path, F.lit("/store/l/"))))
+        return ~barred & F.when(vendor == "ColorFabb", fabb).otherwise(shop)
+
+    return bound(bound(at, told), judged)
 
 
 def is_datasheet_link(label: Column, url: Column) -> Column:
-    hay = F.translate(F.lower(page_space(F.concat_ws(" ", label, F.try_url_decode(url)))), "_-", "  ")
-    named = any_of(hay, DATASHEET) | F.contains(hay, F.lit("filename=tds"))
-    return X.is_pdf(url) & ~any_of(hay, NO_DATASHEET) & named
+    text = F.translate(F.lower(page_space(F.concat_ws(" ", label, F.try_url_decode(url)))), "_-", "  ")
+    named = lambda hay: ~any_of(hay, NO_DATASHEET) & (any_of(hay, DATASHEET) | F.contains(hay, F.lit("filename=tds")))
+    return X.is_pdf(url) & bound(text, named)
 
 
 def datasheet_label(title: Column, link: Column, url: Column) -> Column:
@@ -55,7 +62,7 @@ def datasheet_label(title: Column, link: Column, url: Column) -> Column:
     return F.when(text.rlike(r"(?i)\btds\b|technical"), text).otherwise(F.concat(text, F.lit(" technical_datasheet")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(names: pd.Series) -> pd.Series:
     """Letters without accents; Spark has no such function."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())

@@ -249,8 +249,8 @@ def spec_rows(pages: DataFrame) -> DataFrame:
     return first.select("url", F.col("b.ord").alias("ord"), F.col("b.row").alias("row"))
 
 
-def page_offers(pages: DataFrame, visible_for: Column) -> DataFrame:
-    """(url, ord, offer columns): scripts, then price metas; visible prices only where `visible_for` and nothing else is there."""
+def offers_of(visible_for: Column) -> Column:
+    """A parsed page's offers as an array: scripts, then price metas; visible prices only where `visible_for` and nothing else is there."""
     empty = F.lit("")
     one = lambda price, currency, method: F.struct(
         price.alias("price"), currency.alias("currency"), empty.alias("variant"), empty.alias("sku"), empty.alias("availability"), empty.alias("product_name"), F.lit(method).alias("method")
@@ -262,8 +262,12 @@ def page_offers(pages: DataFrame, visible_for: Column) -> DataFrame:
     visible = F.slice(F.transform(seen, lambda x: one(x, symbol(x), "visible_text_price")), 1, 3)
     priced = F.filter("offers", lambda o: U.number_or_none(o["price"]).isNotNull())
     told = F.concat(priced, F.coalesce(metas, F.array().cast(OFFER_SQL)))
-    every = F.when((F.size(told) == 0) & visible_for, visible).otherwise(told)
-    return pages.select("url", F.posexplode(every).alias("ord", "o")).select("url", "ord", "o.*")
+    return F.when((F.size(told) == 0) & visible_for, visible).otherwise(told)
+
+
+def page_offers(pages: DataFrame, visible_for: Column) -> DataFrame:
+    """(url, ord, offer columns) of parsed pages."""
+    return pages.select("url", F.posexplode(offers_of(visible_for)).alias("ord", "o")).select("url", "ord", "o.*")
 
 
 def page_currency() -> Column:

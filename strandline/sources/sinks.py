@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +38,16 @@ def files(spark: SparkSession, path: str):
 
 
 def point(spark: SparkSession, path: str, version: str, keep: int = 2) -> None:
-    """Make `version` the one that is read: a written file is renamed to the next pointer; old versions go."""
+    """Make `version` the one that is read: the next pointer is created, which only one publication can; old versions go."""
     fs, at = files(spark, path)
     turns = sorted(int(x.getPath().getName().split("-")[1]) for x in fs.listStatus(at(path)) if x.getPath().getName().startswith("current-"))
     turn = (turns[-1] if turns else 0) + 1
-    staged = f"{path.rstrip('/')}/_staged-{version}"
-    out = fs.create(at(staged), True)
+    try:
+        out = fs.create(at(f"{path.rstrip('/')}/current-{turn}"), False)
+    except Py4JJavaError as e:
+        raise ValueError("another publication came first") from e
     out.write(bytearray(version.encode()))
     out.close()
-    if not fs.rename(at(staged), at(f"{path.rstrip('/')}/current-{turn}")):
-        raise ValueError("another publication came first")
     live = {version} | {read_small(spark, f"{path.rstrip('/')}/current-{t}") for t in turns[len(turns) - keep + 1 :] if keep > 1}
     for x in fs.listStatus(at(path)):
         name = x.getPath().getName()
@@ -55,7 +56,8 @@ def point(spark: SparkSession, path: str, version: str, keep: int = 2) -> None:
 
 
 def read_small(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0].strip()
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0].strip() if row else ""
 
 
 def pointed(spark: SparkSession, path: str) -> str:
@@ -64,7 +66,10 @@ def pointed(spark: SparkSession, path: str) -> str:
     turns = [int(x.getPath().getName().split("-")[1]) for x in fs.listStatus(at(path)) if x.getPath().getName().startswith("current-")]
     if not turns:
         raise ValueError(f"nothing is published under {path}")
-    return read_small(spark, f"{path.rstrip('/')}/current-{max(turns)}")
+    for turn in sorted(turns, reverse=True):
+        if version := read_small(spark, f"{path.rstrip('/')}/current-{turn}"):  # one that is just being made is empty
+            return version
+    raise ValueError(f"nothing is published under {path}")
 
 
 def write_tables(materials: DataFrame, definitions: DataFrame, obs: DataFrame, path: str) -> None:
