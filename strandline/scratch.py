@@ -26,7 +26,7 @@ def folder(spark: SparkSession) -> str:
     path = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
     fs, at = _files(spark, path)
     fs.deleteOnExit(at)
-    _open(spark).add(path)
+    folders(spark).add(path)
     return path
 
 
@@ -34,7 +34,7 @@ def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder."""
     fs, at = _files(spark, path)
     fs.delete(at, True)
-    _open(spark).discard(path)
+    folders(spark).discard(path)
 
 
 def written(df: DataFrame, **options) -> DataFrame:
@@ -46,7 +46,7 @@ def written(df: DataFrame, **options) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Remove the table that `written` made; df is that frame, or one that reads it alone."""
-    held = _open(df.sparkSession)
+    held = folders(df.sparkSession)
     for path in {p for p in held for f in df.inputFiles() if p.split("/")[-1] in f.split("/")}:
         drop(df.sparkSession, path)
 
@@ -56,7 +56,7 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _open(spark: SparkSession) -> set[str]:
+def folders(spark: SparkSession) -> set[str]:
     """The folders of this session's context; its stop() removes them first."""
     context = spark.sparkContext
     if not hasattr(context, "_strandline_folders"):
