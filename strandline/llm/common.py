@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
+
 #: Rows that Python works on at a time. Spark bounds the Arrow batches themselves by bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default), so long texts don't pile up.
 BATCH_ROWS = 512
@@ -34,36 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share.
-
-    Only where the setting is missing and Spark runs inside this one process (local mode, as
-    in tests) a local folder is used; on a cluster the missing setting is an error, for
-    executors would write to disks of their own. The folder goes when the driver's Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/strandline-checkpoints"
-    path = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, path)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder, if the session still lives."""
-    try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended before
-        pass
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and every later read sees the same rows."""
     spark = df.sparkSession
-    path = workspace(spark)
+    path = scratch.folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_folder = path
@@ -74,7 +48,23 @@ def release(df: DataFrame | None) -> None:
     """Drop the folder of a materialized frame that nothing will read again."""
     path = getattr(df, "_strandline_folder", None)
     if path:
-        delete(df.sparkSession, path)
+        scratch.drop(df.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Frames that are materialized inside go at its end, but for those that are handed to what it yields."""
+    before, kept = set(scratch.folders(spark)), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._strandline_folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in set(scratch.folders(spark)) - before - kept:
+            scratch.drop(spark, path)
 
 
 def col(name: str) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, materialize, placed, positions, row_digest, table, unused
+from .common import col, materialize, passing, placed, positions, row_digest, table, unused
 
 #: Weights by rank of the source, the mix's share of all words, the most passes.
 WEIGHTS = (5, 2, 1)
@@ -143,9 +143,10 @@ def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[Data
     """
     place, size, draw, copy, shard, key = unused(docs, "__place", "__size", "__draw", "__copy", "shard", "key")
     whole = placed(docs, place, **{size: words(), draw: row_digest(docs, seed)})
-    made = plan(whole.select("source", col(size).alias("size"), col(draw).alias("digest"), col(place).alias("place")), shards, seed)
-    # written first: where that table is small, Spark sends it to all tasks, and the texts are shuffled once, to their shards
-    taken = materialize(made.where(F.size("copies") > 0).select(F.col("place").alias(place), F.explode("copies").alias(copy)))
+    with passing(docs.sparkSession) as keep:
+        made = plan(whole.select("source", col(size).alias("size"), col(draw).alias("digest"), col(place).alias("place")), shards, seed)
+        # written first: where that table is small, Spark sends it to all tasks, and the texts are shuffled once, to their shards
+        taken = keep(materialize(made.where(F.size("copies") > 0).select(F.col("place").alias(place), F.explode("copies").alias(copy))))
     out = whole.join(taken, place)
     slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     out = out.select(*[col(c) for c in docs.columns], col(copy)["shard"].alias(shard), col(copy)["key"].alias(key))

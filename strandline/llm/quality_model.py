@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, binary, col, id_field, map_batches, materialize, process_cache, table
+from .common import LOWER, binary, col, id_field, map_batches, materialize, process_cache, release, table
 from .labels import MAX_LABELLED, held_out, platt, sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -122,14 +122,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> Model:
         share = float(y.mean()) if len(y) else 1.0
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Model(np.zeros(buckets), 0.0, 0.0, float(np.log(p / (1 - p))))
-    counts = np.full((2, buckets), ALPHA)
-    for r, c in zip(rows, y):
-        counts[c, r] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     train = np.arange(len(rows)) % 4 != 0
     if len(set(y[train].tolist())) < 2 or len(set(y[~train].tolist())) < 2:
         train[:] = True
     part = np.flatnonzero(train)
+    counts = np.full((2, buckets), ALPHA)  # of the rows that are trained on alone: the others show how sure the model may be
+    for i in part:
+        counts[y[i], rows[i]] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     share = y[part].mean()
     cost = COST * np.where(y[part] > 0, 0.5 / share, 0.5 / (1 - share))
     w = fit_hinge([rows[i] for i in part], ratio, np.where(y[part] > 0, 1.0, -1.0), cost, EPOCHS)
@@ -150,11 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, most_id
             yield pa.RecordBatch.from_arrays([b.column("label"), *made], names=["label", "ids", "n"])
 
     chosen = sample(docs, labels, "quality", bound)
-    rows = materialize(map_batches(chosen, [F.col("label"), F.col("text")], run, "label int, ids binary, n long"))
+    rows = held = materialize(map_batches(chosen, [F.col("label"), F.col("text")], run, "label int, ids binary, n long"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     if total > most_ids:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(9), "ids"), F.lit(1 << 20)) < int(most_ids / total * (1 << 20)))
     made = rows.select("label", "ids").collect()
+    release(held)
     made.sort(key=lambda r: (zlib.crc32(bytes(r["ids"])), r["label"]))  # an order that doesn't hang on partitions
     return fit([np.frombuffer(r["ids"], np.int32) for r in made], np.array([int(r["label"] > 0) for r in made], np.int64))
 

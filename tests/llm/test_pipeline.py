@@ -1,9 +1,12 @@
 import collections
 import random
 import re
+import subprocess
+import sys
 
 import corpus_pipeline
 import pytest
+from conftest import ROOT
 from tokenizers import Tokenizer
 
 from strandline.llm import mixing, packing, quality_model, quality_rules, registry
@@ -41,7 +44,7 @@ def test_stages_agree_with_their_operators(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_empty_documents(spark, folder):
@@ -159,3 +162,31 @@ def test_reruns_agree_when_files_are_split_otherwise(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want
+
+
+def test_scratch_tables_go(tmp_path):
+    """At most two copies of the texts stand at a time, and nothing after the session."""
+    code = f"""
+import os, sys
+from pyspark.sql import SparkSession
+base = {str(tmp_path)!r}
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", base).getOrCreate())
+import corpus_pipeline
+from strandline import scratch
+size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+texts = lambda: sum("text" in spark.read.parquet(p).columns for p in scratch.folders(spark))
+docs, held = spark.read.parquet({SF!r} + "/documents.parquet"), []
+for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+    out = step(spark, docs, {SF!r})
+    held.append((name, texts(), len(scratch.folders(spark))))
+    out.write.parquet(base + "/out-" + str(k))
+    docs = spark.read.parquet(base + "/out-" + str(k))
+print(held)
+assert all(n <= 1 and folders <= 2 for _, n, folders in held), held
+corpus_pipeline.run(spark, {SF!r}).count()
+assert texts() == 0, held
+spark.stop()
+assert [x for x in os.listdir(base) if x.startswith("strandline")] == []
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300)
