@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import units as U
+from ..scratch import written
 from .stats import first_wins, top_per_group
 
 #: Words of a material, words that rule a product out, and those that do unless it is a filament.
@@ -95,6 +96,7 @@ def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: C
     pair = [*by, price, "currency"]
     once = first_wins(rows, [*by, *exact], [F.col(order)])
     best = first_wins(once.withColumn("__id", identity).withColumn("__score", score), [*pair, "__id"], [-F.col("__score"), F.col(order)]).drop("__id", "__score")
+    best = written(best)  # read three times
     # the prices that some named offer has are one row each: nameless offers are checked against them
     taken = best.where(F.col("variant") != "").select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(pair)]).distinct()
     beside = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(pair)]

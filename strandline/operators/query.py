@@ -58,15 +58,20 @@ def apply_filters(materials: DataFrame, obs: DataFrame, f: Filters) -> DataFrame
     return out
 
 
-def matching(materials: DataFrame, supplier: str = "", product: str = "", source_file: str = "") -> DataFrame:
+def matches(supplier: str = "", product: str = "", source_file: str = "") -> Column:
     """Case-insensitive substrings, all of them; empty matches anything."""
-    out = materials
+    out = F.lit(True)
     for column, want in (("supplier", supplier), ("product", product), ("source_file", source_file)):
         if want:
-            out = out.where(F.contains(F.lower(column), F.lit(want.lower())))
+            out = out & F.coalesce(F.contains(F.lower(column), F.lit(want.lower())), F.lit(False))
     return out
 
 
+def matching(materials: DataFrame, supplier: str = "", product: str = "", source_file: str = "") -> DataFrame:
+    """The records that match."""
+    return materials.where(matches(supplier, product, source_file))
+
+
 def natural_key(c: Column, width: int = 12) -> Column:
     """Sorts numbers in text by value and letters without case or accents: digit runs are filled with zeros."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(\d+|\D+)"), 1)

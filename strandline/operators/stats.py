@@ -227,12 +227,11 @@ def best_covered(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def first_wins(df: DataFrame, key: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given total order of ascending columns, nulls first.
 
-    A minimum over (order, row) is combined before the shuffle, so a key with very many rows
-    sends one row a task.
+    A limit of one a key is applied in each task before the shuffle (Spark's window group
+    limit), so a key with very many rows sends one row a task, and only key and order are compared.
     """
-    names = [f"__k{i}" for i in range(len(key))]
-    keyed = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(key, names)], F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__o"), F.struct("*").alias("__row"))
-    return keyed.groupBy(*names).agg(F.min_by("__row", "__o").alias("__row")).select("__row.*")
+    w = W.partitionBy(*key).orderBy(*order)
+    return df.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], n: int) -> DataFrame:

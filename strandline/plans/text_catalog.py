@@ -337,10 +337,10 @@ def issue_detection(spark, sf):
 
 @query("""SELECT p_partkey AS material_id, 'outside_strict_range' AS kind FROM part WHERE p_partkey % 5 = 0 AND NOT regexp_matches(p_brand || ' ' || p_name || ' ' || p_type, '(?i)bronze|copper|iron|magnetic|magnetite|metal|steel|tungsten')""")
 def strict_audit(spark, sf):
-    from ..operators.audit import outside_ranges
+    from ..operators.audit import observed
 
     rows = detection_rows(spark, sf).where("property_key = 'density'")
-    return outside_ranges(rows).select(F.substring("source_file", 2, 20).cast("long").alias("material_id"), "kind")
+    return observed(rows).where("kind = 'outside_strict_range'").select(F.substring("source_file", 2, 20).cast("long").alias("material_id"), "kind")
 
 
 @query(f"""WITH {OBS} SELECT material_id, property_key || CASE WHEN orientation = 'F' THEN '::xy' ELSE '::z' END AS option_key, count(*) AS n FROM obs WHERE property_key IN ('quantity', 'tax') GROUP BY 1, 2""")
