@@ -86,3 +86,18 @@ def test_no_window_ranks_values_of_a_whole_property(spark):
     _, plan = windows(S.quantiles(df, ["property_key"], "value", {"m": 0.5}))
     ranked = [line for line in plan.splitlines() if "Window " in line and "value#" in line.split("windowspecdefinition")[-1] and "ASC" in line]
     assert ranked and all("__b#" in line for line in ranked)
+
+
+def test_first_wins_and_checks_scan_once(spark):
+    """First-wins keeps one row a task before the shuffle and needs no sorted aggregate; strict checks read observations once."""
+    from strandline.operators import audit, stats
+
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id AS o", "cast(id AS string) AS v")
+    shape = stats.first_wins(rows, ["k"], [F.col("o")])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in shape and shape.count("WindowGroupLimit") == 2
+    fields = "supplier string, product string, source_file string, base_material string, material_family string, property_key string, property_label string, raw_label string, raw_value string, value_nominal double, unit_canonical string, test_method string, source_context string, quality_flag string"
+    obs = spark.createDataFrame([("Prusa Polymers", "PLA", "1_PLA_Prusament_TDS_2022_EN.pdf", "PLA", "PLA", "density", "Density", "", "3", 3.0, "g/cm3", "", "g/cm3", "")], fields)
+    materials = obs.select("supplier", "product", "source_file")
+    found = audit.audit(materials, obs, materials)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("value_nominal#") > 0
+    assert sorted(r.kind for r in found.collect()) == ["golden_density_exponent", "golden_density_mismatch", "missing_golden_record", "outside_strict_range", "unit_exponent_capture"]
