@@ -99,6 +99,22 @@ def number_or_none(c: Column) -> Column:
     return F.when((n > 0) & (n < 10000), n)
 
 
+def positive_or(c: Column, fallback: Column | float) -> Column:
+    """A number over 0, else the fallback."""
+    n = c.try_cast("double")
+    return F.when((n > 0) & (n < float("inf")), n).otherwise(fallback)
+
+
+def is_major(c: Column, step: int = 10) -> Column:
+    """Whether a grid line is one of each `step`, up to rounding."""
+    return F.abs(c / step - F.round(c / step)) < 1e-6
+
+
+def iso_day(stamp: Column) -> Column:
+    """The date of a timestamp or of its ISO text, as text."""
+    return F.substring(F.coalesce(stamp.cast("string"), F.lit("")), 1, 10)
+
+
 def mass_kg(amount: Column, unit: Column) -> Column:
     u = F.lower(unit)
     return F.when(u.isin("g", "gram", "grams"), amount / 1000).when(u.rlike("^(lb|pound)"), amount * POUND_KG).otherwise(amount)

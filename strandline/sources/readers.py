@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from ..functions import text as X
 from ..functions import units as U
 from ..operators.extract import looked_up
 from ..operators.stats import first_wins
+from .sinks import files
 
 #: Suppliers whose datasheets need their tables read.
 TABLE_SUPPLIERS = ("Anycubic", "Bambu Lab", "MatterHackers", "Polymaker", "Prusa Polymers", "Ultimaker")
@@ -161,3 +163,33 @@ def exchange_rates(currencies: DataFrame, rates: DataFrame, today: str) -> DataF
     met = currencies.select("currency").where("currency <> '' AND currency <> 'USD'").distinct().join(rates, "currency")
     own = currencies.sparkSession.createDataFrame([("USD", 1.0, today, "identity")], "currency string, rate double, date string, source string")
     return own.unionByName(met.select("currency", "rate", "date", "source"))
+
+
+def loaded(spark: SparkSession, root: str, wanted: Sequence[str] = (), pattern: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(materials, observations, status) of all published documents under a folder, bad ones told and passed over.
+
+    Each document is read as text and parsed permissively: what is no JSON, or has no list of
+    materials, becomes a status row. `wanted` files that aren't there become one, too, and a
+    folder that isn't there is one without files. status: file (its path under root), status
+    (ok, broken, no_materials, missing), materials.
+    """
+    fs, at = files(spark, root)
+    if fs.exists(at(root)):
+        raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(root, wholetext=True)
+        above = re.escape(fs.makeQualified(at(root)).toUri().getRawPath().rstrip("/"))  # paths of files come with their odd characters escaped
+        file = F.regexp_replace(F.regexp_replace("_metadata.file_path", f"^.*?{above}/", ""), r"\+", "%2B")
+        raw = raw.select(F.try_url_decode(file).alias("file"), F.try_parse_json("value").alias("doc"))
+    else:
+        raw = spark.createDataFrame([], "file string, value string").select("file", F.try_parse_json("value").alias("doc"))
+    listed = raw.withColumn("list", F.try_variant_get(F.col("doc"), "$.materials", "array<variant>"))
+    state = F.when(F.col("doc").isNull(), "broken").when(F.col("list").isNull(), "no_materials").otherwise("ok")
+    status = listed.select("file", state.alias("status"), F.coalesce(F.size("list"), F.lit(0)).alias("materials"))
+    if wanted:
+        asked = spark.createDataFrame([(f,) for f in wanted], "file string")
+        status = status.unionByName(asked.join(raw.select("file").distinct(), "file", "left_anti").select("file", F.lit("missing").alias("status"), F.lit(0).alias("materials")))
+    get = lambda v, p, t="string": F.try_variant_get(F.col(v), f"$.{p}", t)
+    each = listed.select("file", F.posexplode("list").alias("ordinal", "m"))
+    named = each.select("file", "ordinal", *[get("m", c).alias(c) for c in ("material_id", "supplier", "product", "base_material", "status")], get("m", "observations", "array<variant>").alias("obs"))
+    rows = named.select("file", "material_id", F.posexplode("obs").alias("obs_ordinal", "o"))
+    obs = rows.select("file", "material_id", "obs_ordinal", *[get("o", c).alias(c) for c in ("property_key", "raw_value", "unit_canonical", "orientation")], get("o", "value_nominal", "double").alias("value_nominal"))
+    return named.drop("obs"), obs, status

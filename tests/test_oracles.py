@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from strandline.plans import audit_catalog, catalog, collect_catalog, detail_catalog, extract_catalog, text_catalog  # noqa: F401
+from strandline.plans import audit_catalog, catalog, collect_catalog, detail_catalog, extract_catalog, record_catalog, text_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
