@@ -1,15 +1,19 @@
 """URL filters by association rules.
 
 Fixed rules over host and path decide first. The urls that one of them decides are the
-labelled ones: FP-growth mines which combinations of url tokens go with block and with
-allow, and rules are pruned: by support, by confidence, and if a part of their tokens says
-the same at least as surely. What is left judges the urls that no fixed rule fits, by an
-inverted index from tokens to rules: a rule fires when all its tokens are met, and the
-surest wins. A url that no rule fits is allowed.
-
-A url has at most one token of each kind in `tokens`, so a support of s leaves at most
-2^kinds / s frequent combinations: that bounds the rules. Urls meet the index once for
-each distinct set of tokens.
+labelled ones, without the tokens that this rule itself tests: those would only repeat how
+the label was made. FP-growth mines which combinations of the other tokens go with block and
+with allow. Rules are pruned: by support, by confidence, if a part of their tokens says the
+same at least as surely, and unless urls of at least two fixed rules bear them out. What is
+left judges the urls that no fixed rule fits, by an inverted index: a rule stands under its
+rarest token alone, and fires when all its tokens are met; the surest wins. A url that no
+rule fits is allowed.
+
+All tokens of a url count: host labels and path steps by place, every query name, scheme,
+fragment. Tokens of less than the support can be in no rule and go first; tokens that stand
+in the very same urls stand for one another, so that they don't multiply combinations. What
+reaches the driver are the tokens that are left: at most the tokens of a url over the support.
+Urls meet the index once for each distinct set of these.
 
 Defined results: a null url, or one without ://, has empty host and path, no tokens, and is
 allowed; repeated rows are judged each; of rules equally sure the one of more support, then
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, table
+from .common import materialize, release, spread_join, table
 
 #: Verdict, host, path.
 FIXED = [
@@ -55,30 +59,50 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = F
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """One token of each kind at most; numbers are all alike, so ids don't count as words."""
+    """All tokens of a url; numbers are all alike, so ids don't count as words."""
     text = F.coalesce(url, F.lit(""))
-    labels = F.split(host, r"\.")
+    labels = F.reverse(F.split(host, r"\."))
     steps = F.array_remove(F.split(path, "/"), "")
+    names = F.split(F.regexp_extract(text, r"(?s)^[^?#]*\?([^#]*)", 1), "&")
+    plain = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    told = lambda kind, c: F.when(c != "", F.concat(F.lit(f"{kind}="), plain(c)))
+    placed = lambda kind, cs: F.transform(cs, lambda c, i: F.when(c != "", F.concat(F.lit(kind), i + 1, F.lit("="), plain(c))))
+    single = F.array(told("scheme", F.regexp_extract(text, r"(?s)^(.*?)://", 1)), told("part", F.regexp_extract(text, r"(?s)#(.*)$", 1)), told("last", F.when(F.size(steps) > 1, F.element_at(steps, -1))))
+    queries = F.transform(names, lambda q: told("query", F.regexp_extract(q, "(?s)^([^=]*)", 1)))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(single, placed("host", labels), placed("step", steps), queries))))
+
+
+def untested(tokens_: Column, rule: Column, rules: list[tuple[str, str, str]] = FIXED) -> Column:
+    """The tokens that the fixed rule (host and path as one text) doesn't look at."""
+    out = tokens_
+    for _, h, p in rules:
+        steps = len([x for x in p.split("/") if x])
+        tested = [f"host{i + 1}" for i in range(len(h.split(".")))] + [f"step{i + 1}" for i in range(steps)]
+        left = F.filter(tokens_, lambda t: ~F.substring_index(t, "=", 1).isin(*tested))  # noqa: B023
+        # the last step is a tested one, too, if the rule reaches it
+        out = F.when(rule == h + p, F.filter(left, lambda t: ~(t.startswith("last=") & (F.size(F.filter(tokens_, lambda x: x.startswith("step"))) <= steps)))).otherwise(out)  # noqa: B023
+    return out
 
-    def kind(name: str, value: Column) -> Column:
-        plain = F.regexp_replace(value, "[0-9]+", "0")
-        return F.when(value != "", F.concat(F.lit(name + "="), plain))
-
-    return F.array_compact(
-        F.array(
-            kind("scheme", F.regexp_extract(text, r"(?s)^(.*?)://", 1)),
-            kind("top", F.element_at(labels, -1)),
-            kind("site", F.try_element_at(labels, F.lit(-2))),
-            kind("name", F.try_element_at(labels, F.lit(-3))),
-            kind("first", F.when(F.size(labels) > 3, F.get(labels, F.lit(0)))),
-            kind("step", F.get(steps, F.lit(0))),
-            kind("second", F.when(F.size(steps) > 2, F.get(steps, F.lit(1)))),
-            kind("last", F.when(F.size(steps) > 1, F.element_at(steps, -1))),
-            kind("query", F.regexp_extract(text, r"(?s)^[^?#]*\?([^=&#]*)", 1)),
-            kind("other", F.regexp_extract(text, r"(?s)^[^?#]*\?[^&#]*&([^=&#]*)", 1)),
-            kind("part", F.regexp_extract(text, r"(?s)#(.*)$", 1)),
-        )
-    )
+
+def stand_ins(labelled: DataFrame, support: float = SUPPORT) -> dict[str, str]:
+    """Each token of at least `support` of the labelled urls, with the first of the tokens that stand in the very same urls."""
+    rows = materialize(labelled.select("tokens", F.monotonically_increasing_id().alias("id")))
+    least = support * rows.count()
+    per = rows.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    frequent = per.where(F.col("n") >= least).collect()  # at most the tokens of a url over the support
+    release(rows)
+    first: dict = {}
+    for r in sorted(frequent, key=lambda r: r["token"]):
+        first.setdefault((r["n"], r["mark"]), r["token"])
+    return {r["token"]: first[r["n"], r["mark"]] for r in frequent}
+
+
+def reduced(tokens_: Column, stand_in: dict[str, str]) -> Column:
+    """The stand-ins of the tokens that have one."""
+    if not stand_in:
+        return F.array().cast("array<string>")
+    known = F.create_map(*[F.lit(x) for kv in sorted(stand_in.items()) for x in kv])
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens_, lambda t: F.try_element_at(known, t)))))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -106,15 +130,36 @@ def prune(rules: DataFrame) -> DataFrame:
     return rules.join(worse.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
 
 
+def fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """sets (tokens, n and more) joined to the rules whose tokens they hold: rule, verdict, confidence, support.
+
+    A rule stands under its rarest token alone; a set looks under each of its tokens and
+    compares the rest. Many sets share a token, so tokens are joined as `spread_join` does.
+    """
+    some = sets.withColumn("token", F.explode("tokens"))
+    seen = some.groupBy("token").agg(F.count(F.lit(1)).alias("__n"))
+    named = rules.select(F.col("tokens").alias("rule"), "verdict", "confidence", "support")
+    at = named.withColumn("token", F.explode("rule")).join(seen, "token", "left")
+    rarest = F.min_by("token", F.struct(F.coalesce("__n", F.lit(0)), "token")).alias("token")
+    keyed = at.groupBy("rule", "verdict", "confidence", "support").agg(rarest)
+    index = keyed.groupBy("token").agg(F.collect_list(F.struct("rule", "verdict", "confidence", "support")).alias("under")).join(seen, "token")  # of the rules, which support bounds
+    met = spread_join(some, materialize(index), "token", "__n").withColumn("r", F.explode("under"))
+    return met.where(F.size(F.array_except("r.rule", "tokens")) == 0).select(*sets.columns, "r.*")
+
+
+def borne_out(rules: DataFrame, labelled: DataFrame, least: int = 2) -> DataFrame:
+    """The rules that urls of at least `least` fixed rules bear out."""
+    sets = labelled.select("tokens", "by", F.col("verdict").alias("told")).distinct()
+    found = fired(sets, rules).where(F.col("told") == F.col("verdict")).groupBy(F.col("rule").alias("tokens"), "verdict")
+    enough = found.agg(F.countDistinct("by").alias("k")).where(F.col("k") >= least)
+    return rules.join(enough.select("tokens", "verdict"), ["tokens", "verdict"], "left_semi")
+
+
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, mined_rule, mined_verdict): the surest rule that fires on each distinct token set of `sets`."""
-    named = rules.select(F.col("tokens").alias("rule"), "verdict", "confidence", "support", F.size("tokens").alias("n"))
-    index = named.withColumn("token", F.explode("rule"))
-    met = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fired = met.groupBy("tokens", "rule", "verdict", "confidence", "support", "n").count().where("count = n")
     best = F.min(F.struct(-F.col("confidence"), -F.col("support"), F.col("rule"), F.col("verdict"))).alias("b")
     text = F.array_join("b.rule", " & ").alias("mined_rule")
-    return fired.groupBy("tokens").agg(best).select("tokens", text, F.col("b.verdict").alias("mined_verdict"))
+    return fired(sets.select("tokens"), rules).groupBy("tokens").agg(best).select("tokens", text, F.col("b.verdict").alias("mined_verdict"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
@@ -126,15 +171,20 @@ def judge(pages: DataFrame) -> DataFrame:
     seen = materialize(
         seen.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.col("fixed.verdict").alias("fixed_verdict"), "tokens")
     )
-    labelled = seen.where(F.col("rule").isNotNull()).select("tokens", F.col("fixed_verdict").alias("verdict"))
-    sets = seen.where(F.col("rule").isNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
-    sets = materialize(sets)
-    found = materialize(match(sets, materialize(prune(mine(labelled)))).join(sets, "tokens"))
-    open_ = seen.where(F.col("rule").isNull())
-    unmet = open_.join(found.select("tokens"), "tokens", "left_anti").withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string")})
-    met = spread_join(open_, found, "tokens", "n").drop("n")
-    decided = seen.where(F.col("rule").isNotNull()).withColumns({"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string")})
-    out = decided.unionByName(met).unionByName(unmet)
+    told = seen.where(F.col("rule").isNotNull()).select(untested(F.col("tokens"), F.col("rule")).alias("tokens"), F.col("rule").alias("by"), F.col("fixed_verdict").alias("verdict"))
+    stand_in = stand_ins(told)
+    labelled = told.withColumn("tokens", reduced(F.col("tokens"), stand_in))
+    open_ = seen.where(F.col("rule").isNull()).withColumn("tokens", reduced(F.col("tokens"), stand_in))
+    sets = materialize(open_.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")))
+    rules = materialize(borne_out(prune(mine(labelled)), labelled)) if stand_in else None
+    none = {"mined_rule": F.lit(None).cast("string"), "mined_verdict": F.lit(None).cast("string")}
+    if rules is None or rules.isEmpty():
+        judged = open_.withColumns(none)
+    else:
+        found = materialize(sets.join(match(sets, rules), "tokens", "left"))
+        judged = spread_join(open_, found, "tokens", "n").drop("n")
+    decided = seen.where(F.col("rule").isNotNull()).withColumns(none)
+    out = decided.unionByName(judged)
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed_verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "mined_rule")
 
 

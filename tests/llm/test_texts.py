@@ -1,4 +1,7 @@
+import collections
 import hashlib
+import itertools
+import random
 import re
 import zlib
 
@@ -157,42 +160,91 @@ def test_mined_rules_against_counting(spark):
     rules = url_rules.prune(url_rules.mine(df, 0.05, 0.9))
     got = {(tuple(r.tokens), r.verdict): round(r.confidence, 6) for r in rules.collect()}
     assert got[("a=1", "b=1"), "block"] == 1 and got[("a=3",), "block"] == 1 and (("a=1",), "block") not in got
-    sets = spark.createDataFrame([(["a=1", "b=1"],), (["a=1"],), (["b=1 & a=1"],), ([],)], "tokens array<string>")
+    sets = spark.createDataFrame([(["a=1", "b=1"], 1), (["a=1"], 1), (["b=1 & a=1"], 1), ([], 1)], "tokens array<string>, n long")
     found = {tuple(r.tokens): r.mined_verdict for r in url_rules.match(sets, rules).collect()}
     assert found == {("a=1", "b=1"): "block"}
 
 
-def test_mined_verdicts_on_given_pages(spark):
-    """Rules counted plainly from the urls that fixed rules decide; both verdicts come up among the others."""
-    import itertools
-
-    sf = "/root/testdata/sf0.1"
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
-    host, path = url_rules.host_of(pages.url), url_rules.path_of(pages.url)
-    rows = pages.select("page_id", url_rules.fixed_rule(host, path).verdict.alias("fixed"), url_rules.tokens(pages.url, host, path).alias("tokens")).collect()
-    told = [(frozenset(r.tokens), r.fixed) for r in rows if r.fixed]
-    seen, good = {}, {}
-    for tokens, verdict in told:
-        for n in range(1, len(tokens) + 1):
-            for part in itertools.combinations(sorted(tokens), n):
-                seen[part] = seen.get(part, 0) + 1
-                good[part, verdict] = good.get((part, verdict), 0) + 1
-    rules = {k: n / seen[k[0]] for k, n in good.items() if n >= url_rules.SUPPORT * len(told) and n / seen[k[0]] >= url_rules.CONFIDENCE}
-    got = {r.page_id: r for r in url_rules.op7_url_rules(spark, sf).collect()}
-    verdicts = set()
-    for r in rows:
-        if r.fixed:
-            assert got[r.page_id].verdict == r.fixed and got[r.page_id].mined_rule is None
-            continue
-        parts = [p for n in range(1, len(r.tokens) + 1) for p in itertools.combinations(sorted(set(r.tokens)), n)]
-        fired = {(rules[p, v], v) for p in parts for v in ("allow", "block") if (p, v) in rules}
-        if not fired:
-            assert got[r.page_id].verdict == "allow" and got[r.page_id].mined_rule is None
-            continue
-        top = max(c for c, _ in fired)
-        assert got[r.page_id].verdict in {v for c, v in fired if c == top} and got[r.page_id].mined_rule
-        verdicts.add(got[r.page_id].verdict)
-    assert verdicts == {"allow", "block"}
+def words_of(url):
+    """A url's tokens, said plainly."""
+    host, path, *_ = rule(url)
+    if not host:
+        return set()
+    plain = lambda k, v: {f"{k}={re.sub('[0-9]+', '0', v)}"} if v else set()
+    steps = [x for x in path.split("/") if x]
+    out = plain("scheme", url.split("://", 1)[0]) | (plain("last", steps[-1]) if len(steps) > 1 else set())
+    for i, x in enumerate(reversed(host.split("."))):
+        out |= plain(f"host{i + 1}", x)
+    for i, x in enumerate(steps):
+        out |= plain(f"step{i + 1}", x)
+    front, _, part = url.partition("#")
+    for q in front.partition("?")[2].split("&"):
+        out |= plain("query", q.split("=")[0])
+    return out | plain("part", part)
+
+
+def mined_plainly(urls):
+    """url -> (verdict, whether a mined rule decides), by counting all combinations."""
+    told = []
+    for u in urls:
+        _, path, name, verdict = rule(u)
+        if name:
+            h, _, p = name.partition("/")
+            steps = [x for x in p.split("/") if x]
+            barred = {f"host{i + 1}" for i in range(len(h.split(".")))} | {f"step{i + 1}" for i in range(len(steps))}
+            barred |= {"last"} if len([x for x in path.split("/") if x]) <= len(steps) else set()
+            told.append((frozenset(t for t in words_of(u) if t.split("=")[0] not in barred), name, verdict))
+    single = collections.Counter(t for ts, *_ in told for t in ts)
+    often = {t for t, n in single.items() if n >= url_rules.SUPPORT * len(told)}
+    seen, good, by = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for ts, name, verdict in told:
+        for n in range(1, len(ts & often) + 1):
+            for part in itertools.combinations(sorted(ts & often), n):
+                seen[part] += 1
+                good[part, verdict] += 1
+                by[part, verdict].add(name)
+    sure = {k: n / seen[k[0]] for k, n in good.items() if n >= url_rules.SUPPORT * len(told) and n / seen[k[0]] >= url_rules.CONFIDENCE}
+    # a part that says the same as surely stands for the whole, and must itself be borne out
+    least = {k: c for k, c in sure.items() if not any((p, k[1]) in sure and sure[p, k[1]] >= c for n in range(1, len(k[0])) for p in itertools.combinations(k[0], n))}
+    rules = {k: c for k, c in least.items() if len(by[k]) >= 2}
+    out = {}
+    for u in urls:
+        _, _, name, verdict = rule(u)
+        hits = {(c, v) for (p, v), c in rules.items() if set(p) <= words_of(u)} if not name else set()
+        top = max((c for c, _ in hits), default=None)
+        out[u] = ({verdict} if name else {v for c, v in hits if c == top} or {"allow"}, bool(hits))
+    return out
+
+
+def planted_urls():
+    """Fixed rules of both verdicts, and tokens that go with them under two fixed rules, under one, or by the rule's own test."""
+    rnd = random.Random(4)
+    out = []
+    for i in range(400):
+        host, path = rnd.choice([("a.net", "/x/"), ("b.example.com", "/de/"), ("c.org", "/fr/"), ("d.example.net", "/en/"), ("e.example.com", "/en/"), ("f.org", "/es/"), ("g.info", "/")])
+        blocked = rule(f"http://{host}{path}")[3] == "block"
+        query = "?aff=1&sub=2&third=3" if blocked and rnd.random() < 0.7 or (rnd.random() < 0.3 and not rule(f"http://{host}{path}")[2]) else "?id=4" if rnd.random() < 0.5 else ""
+        deep = "a/b/c/d/trusted/" if not blocked and rnd.random() < 0.5 else "a/b/"
+        out.append(f"http{rnd.choice(['', 's'])}://{rnd.choice(['www.', ''])}{host}{path}{deep}{i}{query}")
+    return out + ["no url", "http://x.com/", None]
+
+
+def test_mined_verdicts_against_counting(spark, folder):
+    urls = planted_urls()
+    want = mined_plainly(urls)
+    for sf in (folder(pages=[(i, u, "") for i, u in enumerate(urls)]), None):
+        if sf is None:
+            sf = "/root/testdata/sf0.1"
+            urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect()]
+            want = mined_plainly(urls)
+        seen = set()
+        for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").join(url_rules.op7_url_rules(spark, sf), "page_id").collect():
+            verdicts, mined = want[r.url]
+            assert r.verdict in verdicts and (r.mined_rule is not None) == mined, r
+            assert r.mined_rule is None or not {"host1=com", "host1=net", "host1=org"} & {r.mined_rule}
+            seen.add((r.verdict, mined))
+        if "testdata" not in sf:
+            assert {("allow", True), ("block", True), ("allow", False), ("block", False)} <= seen
 
 
 def test_empty_tables(spark, folder):
