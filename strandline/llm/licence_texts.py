@@ -2,12 +2,15 @@
 
 Fixed values, in the licences' own words. `needs` are phrases of which one must stand inside
 a span that is to get the label: they tell a licence from its siblings, whose wording is
-otherwise the same; `gpl` and `bsd` are for passages that leave the sibling open. Short licences are whole; of long ones the notice that names them and
-the beginning of the body are here.
+otherwise the same; `gpl` and `bsd` are for passages that leave the sibling open. Long
+licences (the files of the folder `licences`) are whole, too, as templates of some paragraphs
+each, so that any part of them is found by itself.
 """
 
 from __future__ import annotations
 
+import pkgutil
+import re
 from typing import NamedTuple
 
 
@@ -83,6 +86,32 @@ def _creative_commons() -> list[Template]:
     return out
 
 
+#: The long licences' files, and the label of licences whose passages may be each other's.
+BODIES = {"apache-2": "Apache-2.0", "gpl-2": "GPL-2", "gpl-3": "GPL-3", "lgpl-2.1": "LGPL-2.1", "lgpl-3": "LGPL-3", "mpl-2": "MPL-2.0", "cc0": "CC0-1.0"}
+FAMILIES = {"gpl-2": "gpl", "gpl-3": "gpl", "lgpl-2.1": "gpl", "lgpl-3": "gpl", "agpl-3": "gpl"}
+#: Words that a template of a long licence has at least, but for its last.
+CHUNK = 80
+
+
+def body(label: str) -> str:
+    """A long licence as it is published."""
+    return pkgutil.get_data(__package__, f"licences/{BODIES[label]}.txt").decode()
+
+
+def _whole(label: str) -> list[Template]:
+    """The paragraphs of a long licence, gathered to CHUNK words or more."""
+    out, held, n = [], [], 0
+    for paragraph in re.split(r"\n\s*\n", body(label)):
+        held.append(paragraph)
+        n += len(paragraph.split())
+        if n >= CHUNK:
+            out.append(" ".join(held))
+            held, n = [], 0
+    if held:
+        out[-1] += " " + " ".join(held)  # a short rest belongs to what stands before it
+    return [Template(label, text) for text in out]
+
+
 TEMPLATES = [
     Template(
         "mit",
@@ -180,5 +209,6 @@ TEMPLATES = [
         "Dedication",
     ),
     *_creative_commons(),
+    *[t for label in BODIES for t in _whole(label)],
     Template("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"),
 ]

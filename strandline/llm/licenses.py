@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_ALNUM, binary, map_batches, process_cache, table
-from .licence_texts import TEMPLATES, Template
+from .licence_texts import FAMILIES, TEMPLATES, Template
 
 #: Phrases that label a file by themselves.
 PHRASES = {
@@ -63,6 +63,11 @@ class Span(NamedTuple):
     worth: int = 0
 
 
+def labels(s: Span) -> bool:
+    """Whether a span covers enough to label the text."""
+    return s.share >= COVER or s.covered >= COVER_WORDS
+
+
 class Link(NamedTuple):
     """A chain of anchors: it ends at `end`, begins at `first`, covers so many words and leaves so many between."""
 
@@ -233,13 +238,13 @@ class Scanner:
         reach = -1
 
         def settle() -> None:
-            """Of chains that overlap in a row, the worthiest first."""
+            """Of chains that overlap in a row, the worthiest first, and those that label before all others."""
             taken: list[Span] = []
-            for s in sorted(run, key=lambda s: (-s.worth, s.first, s.template)):
+            for s in sorted(run, key=lambda s: (not labels(s), -s.worth, s.first, s.template)):
                 k = bisect.bisect(taken, s.first, key=lambda o: o.first)
                 free = (not k or taken[k - 1].last < s.first) and (k == len(taken) or s.last < taken[k].first)
                 if free and self.told(s, parts):
-                    taken.insert(k, s)
+                    taken.insert(k, self.settled(s, run))
             out.extend(taken)
 
         for s in sorted(self.chains(found), key=lambda s: (s.first, s.last, s.template)):
@@ -251,6 +256,18 @@ class Scanner:
         settle()
         return out
 
+    def settled(self, s: Span, run: list[Span]) -> Span:
+        """The span under its family's label, if a sibling's words fit there as well; a template that needs a phrase has told itself."""
+        family = FAMILIES.get(s.label)
+        if not family or self.needs[s.template]:
+            return s
+        fit: dict[str, float] = {}  # what each sibling covers of the span, over all its templates
+        for o in run:
+            both = min(o.last, s.last) - max(o.first, s.first) + 1
+            if both > 0 and o.label != s.label and FAMILIES.get(o.label) == family and not self.needs[o.template]:
+                fit[o.label] = fit.get(o.label, 0.0) + o.covered * both / (o.last - o.first + 1)
+        return s._replace(label=family) if any(x > s.covered - 1 for x in fit.values()) else s
+
     def told(self, s: Span, parts: list[bytes]) -> bool:
         """Whether one of the phrases that tell the template from its siblings stands in the span."""
         needs = self.needs[s.template]
@@ -264,7 +281,7 @@ class Scanner:
         parts = words(text)
         base = self.base(parts)
         every = self.spans(parts)
-        spans = [s for s in every if s.share >= COVER or s.covered >= COVER_WORDS]
+        spans = [s for s in every if labels(s)]
         return len(parts), base, spans, 1.0 if base else max((min(1.0, s.share) for s in every), default=0.0)
 
 

@@ -294,3 +294,27 @@ def test_time_grows_with_the_text():
         took.append(time.perf_counter() - began)
         assert len(base) == 2 * (n // 10)
     assert took[1] < 20 * took[0] + 0.5  # 8 times the text
+
+
+def test_any_part_of_a_long_licence_is_found():
+    """60 words from anywhere in a body get a label of its family, nearly always its own or the common one, and no stranger's."""
+    from strandline.llm import licence_texts
+
+    scanner, rnd = licenses.Scanner(), random.Random(6)
+    for label in licence_texts.BODIES:
+        words = licence_texts.body(label).split()
+        whole = {s.label for s in scanner.scan(licence_texts.body(label).encode())[2]}
+        family = {label, licence_texts.FAMILIES.get(label, label)}
+        assert label in whole and whole <= family
+        kin = family | {k for k, f in licence_texts.FAMILIES.items() if f in family}
+        own = 0
+        for _ in range(100):
+            at = rnd.randrange(len(words) - 60)
+            got = {s.label for s in scanner.scan(" ".join(words[at : at + 60]).encode())[2]}
+            assert got and got <= kin, (label, at)
+            own += bool(got & family)
+        assert own >= 95  # now and then a sibling words a whole passage alike
+    section = "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display"
+    assert {s.label for s in scanner.scan(section.encode())[2]} == {"apache-2"}
+    left_out = "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you and appropriately publish on each copy an appropriate copyright notice"
+    assert {s.label for s in scanner.scan(left_out.encode())[2]} <= {"gpl", "gpl-3"} != set()
