@@ -24,15 +24,32 @@ def bucket(value: Column, per_octave: int = BUCKETS) -> Column:
     return F.when(F.isnan(v), F.lit((1 << 62) - 1)).otherwise(F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * per_octave))
 
 
+def counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value, __n (how often) and __b (the value's bucket) of the values that are there: all figures of numbers come from here, by one shuffle."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", bucket(F.col(value)))
+
+
+def figures(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """n, min_value, max_value and mean_value of each group of counted values."""
+    return counts.groupBy(*by).agg(
+        F.sum("__n").alias("n"), (F.min(value) + 0.0).alias("min_value"), (F.max(value) + 0.0).alias("max_value"),
+        (F.sum(F.col(value).cast("double") * F.col("__n")) / F.sum("__n")).alias("mean_value"),
+    )
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles, linear between ranks, as columns named by `probs`.
+    """Exact quantiles, linear between ranks, as columns named by `probs`."""
+    return ranked_quantiles(counted(df, by, value), by, value, probs)
+
+
+def ranked_quantiles(counts: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of counted values.
 
     Equal values are counted first, map-side too, and summed by buckets of the value: a few
     thousand rows a group at any size. Running sums over those tell in which buckets the
     wanted ranks lie; only their values are ranked, a bucket at a time, in sorts that spill.
     So no group passes through one task, however many of its values differ.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", bucket(F.col(value)))
     group = W.partitionBy(*by)
     sums = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__in"))
     sums = sums.withColumn("__before", F.sum("__in").over(group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__in"))
@@ -63,15 +80,10 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
 def coverage(obs: DataFrame, properties: DataFrame) -> DataFrame:
     """One row a property, also for those never observed: materials, observations and figures of the numbers."""
-    made = obs.groupBy("property_key").agg(
-        F.countDistinct("material_id").alias("materials"),
-        F.count(F.lit(1)).alias("observations"),
-        F.count("value").alias("numeric_observations"),
-        (F.min("value") + 0.0).alias("min_value"),
-        (F.max("value") + 0.0).alias("max_value"),
-        F.avg("value").alias("mean_value"),
-    )
-    middle = quantiles(obs, ["property_key"], "value", {"median_value": 0.5})
+    made = obs.groupBy("property_key").agg(F.countDistinct("material_id").alias("materials"), F.count(F.lit(1)).alias("observations"))
+    counts = counted(obs, ["property_key"], "value")
+    numbers = figures(counts, ["property_key"], "value").withColumnRenamed("n", "numeric_observations")
+    middle = numbers.join(ranked_quantiles(counts, ["property_key"], "value", {"median_value": 0.5}), "property_key")
     zero = ["materials", "observations", "numeric_observations"]
     return properties.join(made.join(middle, "property_key", "left"), "property_key", "left").na.fill(0, zero)
 
@@ -115,11 +127,9 @@ def material_stat(obs: DataFrame, keys: Sequence[str] | None = None) -> DataFram
 
 def box(obs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, quartiles (linear between ranks), extremes, mean, and where quartiles stand in the range."""
-    some = obs.where("value IS NOT NULL")
-    made = some.groupBy(*by).agg(
-        F.count("value").alias("n"), (F.min("value") + 0.0).alias("min_value"), (F.max("value") + 0.0).alias("max_value"), F.avg("value").alias("mean_value")
-    )
-    out = made.join(quantiles(some, by, "value", {"q1": 0.25, "median_value": 0.5, "q3": 0.75}), list(by))
+    counts = counted(obs, by, "value")
+    made = figures(counts, by, "value")
+    out = made.join(ranked_quantiles(counts, by, "value", {"q1": 0.25, "median_value": 0.5, "q3": 0.75}), list(by))
     at = {f"{c}_at": position(F.col(c), F.col("min_value"), F.col("max_value")) for c in ("q1", "median_value", "q3")}
     return out.select(*by, "n", "q1", "median_value", "q3", "min_value", "max_value", "mean_value").withColumns(at)
 
