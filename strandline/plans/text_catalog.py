@@ -54,10 +54,12 @@ def number_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("numbers"), F.array_join(F.slice(found, 1, 5), ";").alias("first_numbers"))
 
 
-RAWS = "['12.5', '<3', '10-14', '7 +/- 0.5', '5 to 9', 'about', '1,2', '>100 - 120']"
+#: Forms of a raw value, filled with each part's size (1 to 50) and its key's last digits.
+RAWS = ["{a}.5", "<{a}", "{a}-{b}", "{a} +/- 0.{b}", "{b} to {a}", "about", "{a},{b}", ">{a} - {b}"]
+_RAWS = "[" + ", ".join("replace(replace('" + r + "', '{a}', p_size::VARCHAR), '{b}', (p_partkey % 97)::VARCHAR)" for r in RAWS) + "]"
 
 
-@query(f"""WITH r AS (SELECT p_partkey, {RAWS}[p_partkey % 8 + 1] AS raw FROM part),
+@query(f"""WITH r AS (SELECT p_partkey, {_RAWS}[p_partkey % 8 + 1] AS raw FROM part),
 x AS (SELECT *, replace(raw, ',', '.') AS t FROM r),
 g AS (SELECT *, regexp_extract(t, '([<>~])?\\s*([-+]?\\d+(?:[.,]\\d+)?)(?:\\s*(?:±|\\+/-)\\s*([-+]?\\d+(?:[.,]\\d+)?))?(?:\\s*(?:-|to|–)\\s*([-+]?\\d+(?:[.,]\\d+)?))?', ['s', 'a', 'pm', 'b']) AS m FROM x),
 n AS (SELECT *, try_cast(nullif(m.a, '') AS DOUBLE) AS a, try_cast(nullif(m.pm, '') AS DOUBLE) AS pm, try_cast(nullif(m.b, '') AS DOUBLE) AS b FROM g),
@@ -66,8 +68,8 @@ l AS (SELECT *, CASE WHEN pm IS NOT NULL THEN a - pm WHEN b IS NOT NULL THEN lea
 SELECT p_partkey, raw, round(lo * 1000, 6) AS lo, round(hi * 1000, 6) AS hi, round(CASE WHEN pm IS NULL AND b IS NOT NULL THEN (lo + hi) / 2 ELSE a END * 1000, 6) AS nominal,
  CASE WHEN a IS NULL THEN 'non_numeric' ELSE concat_ws(';', CASE WHEN m.s <> '' THEN 'inequality:' || m.s END, 'unit_converted:GPa->MPa') END AS flags FROM l""")
 def parse_numeric(spark, sf):
-    raws = ["12.5", "<3", "10-14", "7 +/- 0.5", "5 to 9", "about", "1,2", ">100 - 120"]
-    raw = F.element_at(F.array(*[F.lit(r) for r in raws]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    form = F.element_at(F.array(*[F.lit(r) for r in RAWS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    raw = F.replace(F.replace(form, F.lit("{a}"), F.col("p_size").cast("string")), F.lit("{b}"), (F.col("p_partkey") % 97).cast("string"))
     rows = table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
     v = U.parse_numeric(F.col("raw"), F.lit("GPa"), F.lit("MPa"))
     made = rows.withColumn("v", v)
@@ -208,15 +210,19 @@ def price_heuristics(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", price.alias("price"), number.alias("number"))
 
 
-MASSES = [("PLA 1.75mm 1kg spool", 1.0), ("2 x 500 g pack", 1.0), ("2.2 lb roll", 2.2 * 0.45359237), ("MOQ 5kg only", None), ("750g", 0.75), ("no mass", None)]
-
-
-@query(
-    "WITH c(i, t, kg) AS (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if m is None else repr(m)}::DOUBLE)" for i, (t, m) in enumerate(MASSES))
-    + ") SELECT o_orderkey, t, round(kg, 6) AS kg FROM orders JOIN c ON i = o_orderkey % 6"
-)
+@query("""WITH n AS (SELECT o_orderkey, o_custkey % 900 + 1 AS g, o_orderkey % 40 AS r FROM orders), m AS (SELECT *,
+  CASE o_orderkey % 6 WHEN 0 THEN 'PLA 1.75mm ' || g || 'g spool' WHEN 1 THEN r || ' x ' || g || ' g pack' WHEN 2 THEN r || '.5 lb roll' WHEN 3 THEN 'MOQ ' || r || 'kg only' WHEN 4 THEN 'spool of ' || r || ',25 kg, box of ' || g || ' grams' ELSE 'no mass ' || g END AS t,
+  CASE o_orderkey % 6 WHEN 0 THEN [g / 1000.0::DOUBLE] WHEN 1 THEN [r * g / 1000.0::DOUBLE, g / 1000.0::DOUBLE] WHEN 2 THEN [(r + 0.5::DOUBLE) * 0.45359237] WHEN 4 THEN [r + 0.25::DOUBLE, g / 1000.0::DOUBLE] ELSE [] END AS kgs FROM n)
+SELECT o_orderkey, t, round(list_max(list_filter(kgs, lambda x: x BETWEEN 0.05 AND 25)), 6) AS kg FROM m""")
 def mass_candidates(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(t) for t, _ in MASSES]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
+    """The largest plausible mass of texts made of every order's numbers: single masses, packs, pounds, minimum orders, several masses."""
+    k, g, r = F.col("o_orderkey"), F.col("o_custkey") % 900 + 1, F.col("o_orderkey") % 40
+    text = (
+        F.when(k % 6 == 0, F.concat(F.lit("PLA 1.75mm "), g, F.lit("g spool"))).when(k % 6 == 1, F.concat(r, F.lit(" x "), g, F.lit(" g pack")))
+        .when(k % 6 == 2, F.concat(r, F.lit(".5 lb roll"))).when(k % 6 == 3, F.concat(F.lit("MOQ "), r, F.lit("kg only")))
+        .when(k % 6 == 4, F.concat(F.lit("spool of "), r, F.lit(",25 kg, box of "), g, F.lit(" grams"))).otherwise(F.concat(F.lit("no mass "), g))
+    )
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
     return rows.withColumn("kg", F.round(U.largest_mass(F.col("t"))["kg"], 6))
 
 
