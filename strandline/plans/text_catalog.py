@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -156,34 +157,59 @@ def canonical_label(spark, sf):
     return rows.withColumn("canonical", C.canonical_label(F.col("label")))
 
 
-NAMES = ["PLA Basic", "PolyMide PA6-CF", "PETG Matte Black", "ULTEM 9085", "colorFabb_XT clear", "TPU 95A Flex", "PC-ABS", "ABS FR", "mystery"]
-CLASSES = [
-    ("PLA", "PLA Basic", "Basic"), ("PA6", "PA6-CF", "Carbon fiber"), ("PETG", "PETG Matte", "Matte"), ("PEI", "ULTEM", ""), ("CPE", "colorFabb_XT", ""),
-    ("TPU", "TPU Flexible", "Flexible"), ("PC", "PC-ABS", ""), ("ABS", "ABS Flame retardant", "Flame retardant"), ("Unknown", "Unknown", ""),
-]
+#: Pieces that product names and test texts are put together from, by each part's key and size.
+LEADS = ["PolyMax ", "", "colorFabb_", "Easy™ ", "Ultra "]
+BASES = ["PLA", "PA6-CF", "PETG", "ULTEM 9085", "XT", "TPU 95A", "PC-ABS", "ABS", "mystery", "Nylon", "PPS-CF", "HT", "PC ABS", "XT-CF20", "ASA", "PCTG", "PP"]
+TAILS = ["", " Basic", " Matte Black", " Flex", " FR", " Carbon Fiber", " GF20", " Silk Glow", " Stonefill", " Pro High Speed", " Max", " Wood Recycled", " Glass"]
+#: Fixed values, as the check states them: tokens in their order, and words with what they stand for.
+_TOKENS = """['PLA-CF', 'PETG-CF', 'PA6-CF', 'PA12-CF', 'PA612-CF', 'PC-ABS', 'PC ABS', 'PCASA', 'PC-ASA', 'ABS-GF', 'ASA-CF', 'PET-CF', 'PPA-CF', 'PPS-CF', 'TPU', 'PETG', 'PCTG', 'PLA', 'ABS', 'ASA', 'HIPS', 'PAHT',
+ 'PA6', 'PA12', 'PA11', 'NYLON', 'PA', 'PC', 'PEEK', 'PEKK', 'PEI', 'ULTEM', 'PPSU', 'PPS', 'PSU', 'PVDF', 'PVA', 'PVB', 'PHA', 'PP', 'CPE']"""
+_WORDS = """['MATTE:Matte', 'BASIC:Basic', 'SILK:Silk', 'WOOD:Wood', 'STONEFILL:Stone', 'BRONZEFILL:Metal', 'COPPERFILL:Metal', 'STEELFILL:Metal', 'LIGHT WEIGHT:Lightweight', 'CF:Carbon fiber', 'CARBON:Carbon fiber',
+ 'GF:Glass fiber', 'GLASS:Glass fiber', 'ESD:ESD', 'AERO:Aero', 'GLOW:Glow', 'MARBLE:Marble', 'METAL:Metal', 'RECYCLED:Recycled', 'TOUGH:Tough', 'HIGH SPEED:High speed', 'HS:High speed', 'PRO:Pro', 'MAX:Max',
+ 'FLEX:Flexible', 'SUPPORT:Support', 'TRANSLUCENT:Translucent', 'TRANSPARENT:Transparent', 'FIRE:Flame retardant', 'FR:Flame retardant']"""
 
 
-@query(
-    "WITH c(i, product, base, family, modifiers) AS (VALUES "
-    + ", ".join(f"({i}, '{n}', '{b}', '{f}', '{m}')" for i, (n, (b, f, m)) in enumerate(zip(NAMES, CLASSES)))
-    + ") SELECT p_partkey, product, base, family, modifiers FROM part JOIN c ON i = p_partkey % 9"
-)
+def _picked(values: list[str], of: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][{of} % {len(values)} + 1]"
+
+
+def picked(values: list[str], of: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (of % len(values) + 1).cast("int"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_picked(LEADS, 'p_partkey')} || {_picked(BASES, 'p_size')} || {_picked(TAILS, '(p_partkey // 7)')} || ' ' || p_size AS product FROM part),
+u AS (SELECT *, upper(replace(replace(product, '™', ''), '®', '')) AS up FROM n),
+h AS (SELECT *, list_filter({_TOKENS}, lambda t: contains(up, t))[1] AS hit,
+  list_transform(list_filter({_WORDS}, lambda w: contains(up, split_part(w, ':', 1))), lambda w: split_part(w, ':', 2)) AS every FROM u),
+g AS (SELECT *, CASE WHEN hit = 'NYLON' THEN 'PA' ELSE coalesce(hit, 'Unknown') END AS fam, list_filter(every, lambda t, i: list_position(every, t) = i) AS tags FROM h),
+m AS (SELECT *, list_reduce(list_filter(tags, lambda t: t NOT IN ('Stone', 'Lightweight', 'Max')), lambda f, t: CASE WHEN contains(upper(f), upper(t)) OR (t = 'Carbon fiber' AND regexp_matches(f, 'CF|CARBON'))
+  OR (t = 'Glass fiber' AND regexp_matches(f, 'GF|GLASS')) THEN f ELSE f || ' ' || t END, fam) AS told FROM g)
+SELECT p_partkey, product,
+  CASE WHEN regexp_matches(up, 'COLORFABB[_ ](XT|HT)|XT[- ]CF20') THEN 'CPE' WHEN fam IN ('PCASA', 'PC ABS') THEN 'PC' WHEN fam = 'ULTEM' THEN 'PEI' ELSE split_part(fam, '-', 1) END AS base,
+  CASE WHEN regexp_matches(up, 'COLORFABB[_ ]XT') THEN 'colorFabb_XT' WHEN regexp_matches(up, 'COLORFABB[_ ]HT') THEN 'colorFabb_HT' WHEN regexp_matches(up, 'XT[- ]CF20') THEN 'XT-CF20' ELSE told END AS family,
+  CASE WHEN regexp_matches(up, 'COLORFABB[_ ](XT|HT)') THEN '' WHEN regexp_matches(up, 'XT[- ]CF20') THEN 'Carbon fiber' ELSE array_to_string(tags, ',') END AS modifiers FROM m""")
 def classify_material(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("p_partkey") % 9 + 1).cast("int")).alias("product"))
-    made = rows.withColumn("c", C.classify_material(F.col("product")))
+    """Classes of names put together from leads, bases and tails."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(picked(LEADS, k), picked(BASES, size), picked(TAILS, F.floor(k / 7)), F.lit(" "), size)
+    made = table(spark, sf, "part").select("p_partkey", name.alias("product")).withColumn("c", C.classify_material(F.col("product")))
     return made.select("p_partkey", "product", F.col("c.base").alias("base"), F.col("c.family").alias("family"), F.array_join("c.modifiers", ",").alias("modifiers"))
 
 
-TEXTS = ["dry, notched", "Unnotched X-Y 0.45 MPa", "annealed flat at break", "ISO 527 vertical", "HDT 1.8 Z", "nothing"]
+WORDS = ["dry", "notched", "Unnotched", "Annealed", "dried at 60", "conditioned", "yield", "break", "wet", "X-Y", "xy plane", "Z", "YZ", "flat", "on its side", "vertical", "Horizontal", "standing up", "upper", "0.45 MPa", "1,8 MPa", "nothing"]
 
 
-@query(
-    "WITH c(i, t, orientation, cond) AS (VALUES (0, 'dry, notched', NULL, 'dry, notched'), (1, 'Unnotched X-Y 0.45 MPa', 'X-Y', 'unnotched, 0.45 MPa load'), "
-    "(2, 'annealed flat at break', 'flat', 'annealed, break'), (3, 'ISO 527 vertical', 'VERTICAL', NULL), (4, 'HDT 1.8 Z', 'Z', '1.8 MPa load'), (5, 'nothing', NULL, NULL)) "
-    "SELECT p_partkey, t, orientation, cond AS condition FROM part JOIN c ON i = p_partkey % 6"
-)
+@query(f"""WITH t AS (SELECT p_partkey, {_picked(WORDS, 'p_partkey')} || ', ' || {_picked(WORDS, '(p_partkey // 22 + 3)')} || ' / ' || {_picked(WORDS, '(p_size * 5)')} AS t FROM part),
+l AS (SELECT *, lower(t) AS low, upper(t) AS up FROM t)
+SELECT p_partkey, t, coalesce(list_filter(['X-Y', 'XY', 'YZ', 'Z', 'HORIZONTAL', 'VERTICAL'], lambda w: regexp_matches(up, '\\b' || w || '\\b'))[1],
+  CASE WHEN contains(up, 'FLAT') THEN 'flat' WHEN contains(up, 'SIDE') THEN 'side' WHEN regexp_matches(up, '\\bUP\\b') THEN 'up' END) AS orientation,
+  nullif(array_to_string(list_concat(list_filter(['dry', 'wet', 'annealed', 'dried', 'conditioned', 'unnotched', 'notched', 'yield', 'break'], lambda w: regexp_matches(low, '\\b' || w || '\\b')),
+    list_filter([CASE WHEN regexp_matches(low, '0[.,]45') THEN '0.45 MPa load' END, CASE WHEN regexp_matches(low, '1[.,]8') THEN '1.8 MPa load' END], lambda x: x IS NOT NULL)), ', '), '') AS condition FROM l""")
 def condition_tags(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in TEXTS]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("t"))
+    """Orientation and condition of texts put together from three pieces."""
+    k = F.col("p_partkey")
+    text = F.concat(picked(WORDS, k), F.lit(", "), picked(WORDS, F.floor(k / 22) + 3), F.lit(" / "), picked(WORDS, F.col("p_size") * 5))
+    rows = table(spark, sf, "part").select("p_partkey", text.alias("t"))
     return rows.select("p_partkey", "t", C.orientation(F.col("t")).alias("orientation"), C.condition(F.col("t")).alias("condition"))
 
 
