@@ -30,8 +30,8 @@ from .common import map_batches, materialize, process_cache, quiet_threads, tabl
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; beyond, it starts to remember anew.
-CACHED_WORDS = 700_000
+#: Words, and characters of words, whose ids a Python worker remembers; beyond, it starts to remember anew.
+CACHED_WORDS, CACHED_CHARS = 700_000, 16_000_000
 #: New words that are encoded as one text.
 WORDS_A_TEXT = 1000
 #: Fixed value: white space other than the blank and the line feed.
@@ -69,6 +69,7 @@ class Encoder:
         self.leading: dict[str, bytes] = {"": b""}  # a line's first word
         self.spaced: dict[str, bytes] = {}  # a word with the blank before it
         self.marks: dict[str, bytes] = {}  # marks after letters
+        self.held = 0  # characters of all these
 
     def ids(self, texts: list[str]) -> list[array]:
         return [array("H", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,14 +132,15 @@ class Encoder:
         if "" in rest:  # a trailing blank leaves an empty word, which can't have a line of its own
             rest.discard("")
             later[""] = self.ids([" "])[0].tobytes()
+        self.held += sum(map(len, lead)) + sum(map(len, rest))
         self.learn(first, list(lead), "")
         self.learn(later, list(rest), " ")
         for row, i, word in gaps:
             row[i] = later[word] if i else first[word]
         join, line = b"".join, self.line
         out = [(next(whole).tobytes() if rows is None else line.join(map(join, rows))) + self.end for rows in plan]
-        if len(first) + len(later) + len(self.marks) > CACHED_WORDS:
-            self.leading, self.spaced, self.marks = {"": b""}, {}, {}
+        if self.held > CACHED_CHARS or len(first) + len(later) + len(self.marks) > CACHED_WORDS:
+            self.leading, self.spaced, self.marks, self.held = {"": b""}, {}, {}, 0
         return out
 
 

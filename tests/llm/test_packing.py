@@ -70,3 +70,18 @@ def test_added_tokens_get_the_tokenizers_own_ids():
     assert plain == [64, 220, 50256, 275]
     (made,) = packing.Encoder(tokenizer_path()).encode(["a <|endoftext|> b"])
     assert np.frombuffer(made, "<u2").tolist() == [*plain, 1]
+
+
+def test_long_words_are_forgotten(monkeypatch):
+    """What is remembered is bounded by characters, and forgetting changes no id."""
+    from tokenizers import Tokenizer
+
+    from strandline.llm.common import tokenizer_path
+
+    monkeypatch.setattr(packing, "CACHED_CHARS", 2000)
+    encoder, plain = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for i in range(6):
+        text = " ".join(f"{chr(97 + i + k)}" * 700 for k in range(3)) + " short words and more"
+        ids = np.frombuffer(encoder.encode([text])[0], "<u2").tolist()
+        assert ids == plain.encode(text, add_special_tokens=False).ids + [packing.END_ID]
+        assert encoder.held <= 2000
