@@ -109,8 +109,9 @@ def status_histogram(spark, sf):
 
 @query("""SELECT event_type || ':' || CASE WHEN value > 0 THEN 'ok' ELSE 'failed' END AS action_status, count(*) AS n FROM events GROUP BY 1""")
 def run_status_histogram(spark, sf):
-    status = F.concat_ws(":", "event_type", F.when(F.col("value") > 0, "ok").otherwise("failed"))
-    return table(spark, sf, "events").groupBy(status.alias("action_status")).agg(F.count(F.lit(1)).alias("n"))
+    from ..sources.harvest import statuses
+
+    return statuses(table(spark, sf, "events").select(F.col("event_type").alias("action"), F.when(F.col("value") > 0, "ok").otherwise("failed").alias("status")))
 
 
 @query(f"""WITH {OBS}, {STAT} SELECT material_id, property_key, round(mean_value + 0.000000013, 6) AS mean_value, min_value, max_value, n FROM stat""")
@@ -273,10 +274,13 @@ def required_property_semi(spark, sf):
     return materials(spark, sf).select("material_id").join(some, "material_id", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def captured_anti(spark, sf):
-    seen = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
+    """Customers, as candidates, without those that a large order has captured."""
+    from ..sources.collect import not_captured
+
+    seen = table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("url"))
+    return not_captured(table(spark, sf, "customer").select(F.col("c_custkey").alias("url")), seen).withColumnRenamed("url", "c_custkey")
 
 
 RANGES = [("quantity", 2.0, 45.0), ("discount", 0.0, 0.09), ("extendedprice", 1000.0, 50000.0)]

@@ -232,7 +232,7 @@ def json_profile(spark, sf):
  CASE WHEN o_totalprice > 0 AND o_totalprice < 10000 THEN o_totalprice END AS number FROM orders""")
 def price_heuristics(spark, sf):
     price = U.shop_price(F.col("o_totalprice"), F.col("o_orderkey") % 10 == 0)
-    number = F.when((F.col("o_totalprice") > 0) & (F.col("o_totalprice") < 10000), F.col("o_totalprice"))
+    number = U.number_or_none(F.col("o_totalprice"))
     return table(spark, sf, "orders").select("o_orderkey", price.alias("price"), number.alias("number"))
 
 
