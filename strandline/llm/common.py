@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -44,6 +45,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df written in buckets of `key`: joins on it shuffle the other side alone. To be released like a materialized frame.
+
+    The table's name is dropped at once: its files and their buckets are all that is read.
+    """
+    spark = df.sparkSession
+    path, name = scratch.folder(spark), f"strandline_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, col(key)).write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    out._strandline_folder = path
+    return out
+
+
 def release(df: DataFrame | None) -> None:
     """Drop the folder of a materialized frame that nothing will read again."""
     path = getattr(df, "_strandline_folder", None)
