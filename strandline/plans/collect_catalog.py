@@ -124,13 +124,7 @@ UNION ALL SELECT 'candidate', vendor, 'links', count(*), 0 FROM shop WHERE k % 3
 UNION ALL SELECT 'offer', vendor, 'shopify_variant_json', count(*), sum(CAST(price AS DECIMAL(18, 4))) FROM offer GROUP BY ALL""")
 def page_harvest(spark, sf):
     """Candidates, offers and log of every order's page, from one scan of the pages: counts and sums of each."""
-    line = F.transform("lines", lambda x: F.struct(
-        F.concat(F.lit("Variant "), x["no"]).alias("title"), F.concat(F.lit("S-"), x["part"]).alias("sku"), F.when(x["tax"] != 0.08, x["raw"]).alias("price"), (x["flag"] != "R").alias("available"),
-    ))
-    link = F.when(F.col("k") % 3 == 0, F.concat(F.lit('<a href="/products/petg-'), "k", F.lit('">PETG</a>'))).otherwise('<a href="/cart">Cart</a>')
-    page = F.concat(F.lit("<title>PLA "), "k", F.lit("</title>"), link, F.lit('<script>var p = {"variants": '), F.to_json(line), F.lit("};</script>"))
-    pages = shop(spark, sf).select("url", page.alias("html"))
-    found = H.harvest(pages, F.regexp_extract("url", r"//([^.]*)\.", 1), F.lit(False))
+    found = harvested(spark, sf)
     zero = F.lit(0).cast("decimal(18,4)")
     parts = [
         found.log.groupBy("vendor", F.concat_ws(":", "action", "status").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.max(zero).alias("amount")).withColumn("tag", F.lit("log")),
@@ -140,6 +134,32 @@ def page_harvest(spark, sf):
     return K.union([p.select("tag", "vendor", "what", "n", F.col("amount").cast("decimal(18,4)").alias("amount")) for p in parts])
 
 
+def harvested(spark, sf) -> H.Harvest:
+    """The harvest of the shops' pages; every other page's title names a mass."""
+    line = F.transform("lines", lambda x: F.struct(
+        F.concat(F.lit("Variant "), x["no"]).alias("title"), F.concat(F.lit("S-"), x["part"]).alias("sku"), F.when(x["tax"] != 0.08, x["raw"]).alias("price"), (x["flag"] != "R").alias("available"),
+    ))
+    link = F.when(F.col("k") % 3 == 0, F.concat(F.lit('<a href="/products/petg-'), "k", F.lit('">PETG</a>'))).otherwise('<a href="/cart">Cart</a>')
+    page = F.concat(F.lit("<title>PLA "), "k", F.when(F.col("k") % 2 == 0, " 500 g").otherwise(""), F.lit("</title>"), link, F.lit('<script>var p = {"variants": '), F.to_json(line), F.lit("};</script>"))
+    pages = shop(spark, sf).select("url", page.alias("html"))
+    return H.harvest(pages, F.regexp_extract("url", r"//([^.]*)\.", 1), F.lit(False))
+
+
+@query(f"""WITH {SHOP}, offer AS (SELECT s.vendor, s.url, s.k, CAST(p.ord AS INT) AS ord, 'Variant ' || p.no AS variant, 'S-' || p.part AS sku, round(p.price, 4) AS price, CASE WHEN flag <> 'R' THEN 'InStock' ELSE 'OutOfStock' END AS availability
+  FROM shop s JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) - 1 AS place FROM priced WHERE tax <> 0.08 AND price < 10000) p USING (k)),
+once AS (SELECT * FROM offer QUALIFY row_number() OVER (PARTITION BY url, price, variant, sku ORDER BY ord) = 1),
+best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY url, price, sku ORDER BY length(variant) DESC, ord) = 1),
+mass AS (SELECT *, CAST(CASE WHEN k % 2 = 0 THEN 0.5 END AS DOUBLE) AS mass_kg, CASE vendor WHEN 'shop-1' THEN 'EUR' WHEN 'shop-2' THEN 'USD' ELSE '' END AS currency FROM best)
+SELECT vendor, url, variant, sku, price, currency, mass_kg, CASE WHEN mass_kg IS NULL THEN '' ELSE 'product:500 g' END AS mass_source, round(price / mass_kg, 4) AS price_per_kg,
+  round(price * CASE currency WHEN 'EUR' THEN 2.0::DOUBLE WHEN 'USD' THEN 1.0::DOUBLE END, 4) AS price_usd, availability FROM mass""")
+def price_run(spark, sf):
+    """From pages to price rows: offers deduplicated a page, masses from titles, prices a kilogram and in dollars."""
+    rates = spark.createDataFrame([("EUR", 2.0), ("USD", 1.0)], "currency string, rate double")
+    own = F.when(F.col("vendor") == "shop-1", "EUR").when(F.col("vendor") == "shop-2", "USD").otherwise("")
+    made = H.price_rows(harvested(spark, sf), rates, own)
+    return made.select("vendor", "url", "variant", "sku", "price", "currency", "mass_kg", "mass_source", "price_per_kg", "price_usd", "availability")
+
+
 @query(f"""WITH {SHOP}, told AS (
   SELECT s.vendor, s.url, s.k, p.ord, p.part, p.flag, p.price,
     CASE p.no % 3 WHEN 1 THEN 'Spool 1kg' WHEN 0 THEN 'PLA 750 g' ELSE 'Default' END AS variant,

@@ -113,3 +113,12 @@ def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the version that is pointed to."""
     root = f"{path.rstrip('/')}/{sinks.pointed(spark, path)}"
     return {n: spark.read.parquet(f"{root}/{n}") for n in ("materials", "observations", "rejections", "property_definitions", "coverage")}
+
+
+def export(read: dict[str, DataFrame], path: str) -> None:
+    """The flat files of a published set: long CSV, nested JSON, coverage and rejection reports."""
+    spark = read["materials"].sparkSession
+    sinks.write_csv(sinks.long_rows(read["materials"], read["observations"]), f"{path}/long")
+    sinks.write_json(sinks.nested(read["materials"], read["observations"]), f"{path}/nested")
+    sinks.write_text(spark, sinks.coverage_report(read["coverage"]), f"{path}/coverage")
+    sinks.write_text(spark, sinks.rejection_report(read["rejections"]), f"{path}/rejections")

@@ -136,7 +136,7 @@ def summary(run: Run) -> DataFrame:
 def write_run(run: Run, path: str, generated_at: str) -> None:
     """The sidecar (one JSON object an entry), the run log as CSV, page snapshots, datasheet links and the histogram."""
     write_json(run.entries.withColumn("generated_at", F.lit(generated_at)), f"{path}/entries")
-    write_csv(run.log, f"{path}/run_log")
+    write_csv(run.log.select(F.lit(generated_at).alias("timestamp"), "*"), f"{path}/run_log")
     run.snapshots.write.mode("overwrite").parquet(f"{path}/snapshots")
     write_json(run.datasheets, f"{path}/datasheets")
     by = summary(run).groupBy("vendor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "action", "status").alias("k"), "n")))).alias("statuses"))  # a few kinds of step

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import units as U
 from ..functions.classify import page_space
-from ..operators.prices import is_filament_url
+from ..operators import prices as P
 from ..scratch import folder
 from . import html
 
@@ -45,9 +45,10 @@ def tagged(pages: DataFrame, vendor: Column, visible_for: Column) -> DataFrame:
     parsed = parsed.withColumns({"found": html.offers_of(visible_for), "product": html.best_title(F.col("url"))})
     followed = F.filter("links", lambda a: X.is_followed(a["href"]))
     named = F.transform(followed, lambda a, i: F.struct(i.alias("ord"), X.normalize_price_url(a["url"]).alias("link"), page_space(a["text"]).alias("hint")))
-    parsed = parsed.withColumn("leads", F.filter(named, lambda a: is_filament_url(a["link"], a["hint"])))
+    parsed = parsed.withColumn("leads", F.filter(named, lambda a: P.is_filament_url(a["link"], a["hint"])))
     candidates = F.transform("leads", lambda a: row("candidate", ord=a["ord"], link=a["link"], hint=a["hint"]))
-    offers = F.transform("found", lambda o, i: row("offer", ord=i, **{c: o[c] for c in OFFER}))
+    named = lambda o: {"product_name": F.coalesce(F.nullif(o["product_name"], F.lit("")), F.col("product"))}  # noqa: E731  an offer without a name is the page's
+    offers = F.transform("found", lambda o, i: row("offer", ord=i, **{c: o[c] for c in OFFER} | named(o)))
     key = lambda o: F.struct(F.round(U.number_or_none(o["price"]), 4), *[page_space(o[c]) for c in ("currency", "variant", "sku")])
     n = F.size(F.array_distinct(F.transform("found", key)))
     links = row("log", action=F.lit("page_links"), status=F.lit("ok"), detail=F.concat(F.size("leads"), F.lit(" product links")))
@@ -68,3 +69,17 @@ def harvest(pages: DataFrame, vendor: Column, visible_for: Column, path: str | N
 def statuses(log: DataFrame) -> DataFrame:
     """(action_status, n): how often each step ended in each way."""
     return log.groupBy(F.concat_ws(":", "action", "status").alias("action_status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def price_rows(found: Harvest, rates: DataFrame, default_currency: Column) -> DataFrame:
+    """Price rows of a harvest's offers: deduplicated a page, with masses, prices a kilogram and in dollars; `default_currency` is an expression over vendor."""
+    kept = P.page_offers(found.offers, default_currency)
+    path = F.translate(F.coalesce(F.try_url_decode(X.url_part(F.col("url"), "path")), F.lit("")), "-", " ")
+    none = F.lit(None)
+    mass = P.infer_mass([("variant", F.col("variant")), ("product", F.col("product_name")), ("url", path)], none.cast("double"), none.cast("string"), none.cast("string"))
+    told = F.regexp_extract(F.coalesce("availability", F.lit("")), r"(\w+)$", 1)  # a name or the end of its address
+    rows = kept.withColumn("mass", mass).select(
+        "vendor", "url", "ord", F.col("product_name").alias("product"), "variant", "sku", "price", "currency", F.col("mass.kg").alias("mass_kg"), F.coalesce("mass.source", F.lit("")).alias("mass_source"),
+        F.when(told != "", told).otherwise("InStock").alias("availability"), F.col("method").alias("price_source"),
+    )
+    return P.add_usd(P.dedupe_price_rows(rows, "ord"), rates)

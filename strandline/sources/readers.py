@@ -150,6 +150,13 @@ def seeds(targets: DataFrame, extra: DataFrame) -> DataFrame:
     return own.unionByName(extra.select("vendor", "url", F.lit("").alias("hint_product"), F.lit("extra_seed").alias("source")))
 
 
+def sidecar_candidates(specs: DataFrame) -> DataFrame:
+    """(vendor, url, hint, source, place) of a sidecar's entries that name a supplier and an address, in its order."""
+    some = specs.withColumn("place", F.monotonically_increasing_id()).withColumns({"vendor": X.squeeze(F.coalesce("supplier", F.lit(""))), "hint": X.squeeze(F.coalesce("product", F.lit("")))})
+    some = some.where((F.col("vendor") != "") & (F.coalesce("source_url", F.lit("")) != ""))
+    return some.select("vendor", X.normalize_price_url(F.col("source_url")).alias("url"), "hint", F.lit("html_material_specs").alias("source"), "place")
+
+
 def sidecar_mass(specs: DataFrame) -> DataFrame:
     """(url, kg, mass_source): the largest mass of a page's net weight, diameter or length rows."""
     rows = specs.select(X.normalize_price_url(F.col("source_url")).alias("url"), F.explode("rows").alias("row")).where(F.col("row").rlike("^(Net Weight|Diameter|Filament Length)"))

@@ -84,3 +84,17 @@ def test_issue_report(spark):
     issues = spark.createDataFrame(rows, "issue_id string, confidence string, issue_type string, supplier string, product string, property_key string, raw_value string, source_context string").withColumn("material_id", F.lit("m"))
     text = K.issue_report(issues)
     assert "| high | t1 | 2 | 1 |" in text and "p/q" in text and text.index("## t1") < text.index("## t2")
+
+
+def test_running_ids_and_flat_files(spark, made, tmp_path):
+    path = str(tmp_path / "set")
+    B.publish(made, path)
+    read = B.published(spark, path)
+    ids = [r.observation_id for r in read["observations"].orderBy("observation_id").collect()]
+    files = {r.material_id: (r.source_type, r.source_file) for r in read["materials"].collect()}
+    order = [files[r.material_id] for r in read["observations"].orderBy("observation_id").collect()]
+    assert ids == list(range(1, 6)) and order == sorted(order, key=lambda f: (["pdf", "json_profile", "html_spec"].index(f[0]), f[1]))
+    B.export(read, str(tmp_path / "flat"))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/flat/long").count() == 5
+    assert spark.read.json(f"{tmp_path}/flat/nested").count() == 9
+    assert "density" in spark.read.text(f"{tmp_path}/flat/coverage", wholetext=True).first()[0]

@@ -189,3 +189,23 @@ spark.stop()
 assert own() == []
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_sidecar_candidates(spark):
+    from strandline.sources import readers
+
+    specs = spark.createDataFrame([(" V ", "PLA", "https://v.com/p/?x=1"), ("V", None, "https://v.com/q"), ("", "n", "https://v.com/r"), ("W", "n", None), (None, "n", "u")], "supplier string, product string, source_url string").coalesce(1)
+    got = [(r.vendor, r.url, r.hint, r.source) for r in readers.sidecar_candidates(specs).orderBy("place").collect()]
+    assert got == [("V", "https://v.com/p", "PLA", "html_material_specs"), ("V", "https://v.com/q", "", "html_material_specs")]
+
+
+def test_price_rows(spark, tmp_path):
+    """Equal offers once, the best of an article, no nameless one beside a named one of its price; other products go."""
+    offers = '[{"price": 20, "title": "Red 1kg", "sku": "a"}, {"price": 20, "title": "Red 1kg", "sku": "a"}, {"price": 20, "title": "Red large 2 kg", "sku": "a"}, {"price": 20, "title": ""}, {"price": 30, "title": "", "available": false}]'
+    pages = [("https://s.x/products/pla", f'<title>PLA Basic</title><script>x={{"variants": {offers}}}</script>'), ("https://s.x/products/pla-nozzle", f'<title>Nozzle</title><script>x={{"variants": {offers}}}</script>')]
+    found = H.harvest(spark.createDataFrame(pages, "url string, html string"), F.lit("S"), F.lit(False), str(tmp_path / "h"))
+    rates = spark.createDataFrame([("EUR", 2.0)], "currency string, rate double")
+    rows = sorted(H.price_rows(found, rates, F.lit("EUR")).collect(), key=lambda r: r.price)
+    assert [(r.product, r.variant, r.sku, r.price, r.currency, r.mass_kg, r.price_per_kg, r.price_usd, r.availability) for r in rows] == [
+        ("PLA Basic", "Red large 2 kg", "a", 20.0, "EUR", 2.0, 10.0, 40.0, "InStock"), ("PLA Basic", "", "", 30.0, "EUR", None, None, 60.0, "OutOfStock"),
+    ]
