@@ -182,18 +182,20 @@ def loaded(spark: SparkSession, root: str, wanted: Sequence[str] = (), pattern:
     """
     fs, at = files(spark, root)
     if fs.exists(at(root)):
-        raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(root, wholetext=True)
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
         above = re.escape(fs.makeQualified(at(root)).toUri().getRawPath().rstrip("/"))  # paths of files come with their odd characters escaped
-        file = F.regexp_replace(F.regexp_replace("_metadata.file_path", f"^.*?{above}/", ""), r"\+", "%2B")
-        raw = raw.select(F.try_url_decode(file).alias("file"), F.try_parse_json("value").alias("doc"))
+        name = lambda c: F.try_url_decode(F.regexp_replace(F.regexp_replace(c, f"^.*?{above}/", ""), r"\+", "%2B")).alias("file")
+        there = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(name("path"))  # Spark's own listing: scans pass over empty files
+        raw = raw.select(name("_metadata.file_path"), F.try_parse_json(F.make_valid_utf8(F.col("content").cast("string"))).alias("doc"))
     else:
         raw = spark.createDataFrame([], "file string, value string").select("file", F.try_parse_json("value").alias("doc"))
-    listed = raw.withColumn("list", F.try_variant_get(F.col("doc"), "$.materials", "array<variant>"))
+        there = raw.select("file")
+    listed = there.join(raw, "file", "left").withColumn("list", F.try_variant_get(F.col("doc"), "$.materials", "array<variant>"))
     state = F.when(F.col("doc").isNull(), "broken").when(F.col("list").isNull(), "no_materials").otherwise("ok")
     status = listed.select("file", state.alias("status"), F.coalesce(F.size("list"), F.lit(0)).alias("materials"))
     if wanted:
         asked = spark.createDataFrame([(f,) for f in wanted], "file string")
-        status = status.unionByName(asked.join(raw.select("file").distinct(), "file", "left_anti").select("file", F.lit("missing").alias("status"), F.lit(0).alias("materials")))
+        status = status.unionByName(asked.join(there, "file", "left_anti").select("file", F.lit("missing").alias("status"), F.lit(0).alias("materials")))
     get = lambda v, p, t="string": F.try_variant_get(F.col(v), f"$.{p}", t)
     each = listed.select("file", F.posexplode("list").alias("ordinal", "m"))
     named = each.select("file", "ordinal", *[get("m", c).alias(c) for c in ("material_id", "supplier", "product", "base_material", "status")], get("m", "observations", "array<variant>").alias("obs"))
