@@ -18,18 +18,29 @@ def folder(spark: SparkSession) -> str:
     Where the setting is missing and Spark runs inside this one process, a local folder is used;
     on a cluster that is an error, for executors would write to disks of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/strandline-checkpoints"
-    path = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-    fs, at = _files(spark, path)
-    fs.deleteOnExit(at)
-    folders(spark).add(path)
+    held = folders(spark)
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
+    held.add(path)
     return path
 
 
+def _root(spark: SparkSession) -> str:
+    """This session's own folder, made once; the file system removes it when the JVM ends."""
+    context = spark.sparkContext
+    if not hasattr(context, "_strandline_root"):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = f"{tempfile.gettempdir()}/strandline-checkpoints"
+        root = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+        fs, at = _files(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        context._strandline_root = root
+    return context._strandline_root
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder."""
     fs, at = _files(spark, path)
@@ -57,16 +68,18 @@ def _files(spark: SparkSession, path: str):
 
 
 def folders(spark: SparkSession) -> set[str]:
-    """The folders of this session's context; its stop() removes them first."""
+    """The folders of this session's context; its stop() removes them all first."""
     context = spark.sparkContext
     if not hasattr(context, "_strandline_folders"):
-        context._strandline_folders = held = set()
+        context._strandline_folders = set()
         stop = context.stop
 
         def clean_and_stop() -> None:
-            for path in sorted(held):
-                drop(spark, path)
-            stop()
+            try:
+                if hasattr(context, "_strandline_root"):
+                    drop(spark, context._strandline_root)
+            finally:
+                stop()
 
         context.stop = clean_and_stop
     return context._strandline_folders

@@ -1,8 +1,10 @@
 """Crawls, harvests, product documents, running ids and growing outputs, against small cases worked out by hand."""
 
 import json
+import os
 import subprocess
 import sys
+import time
 
 import pytest
 from conftest import ROOT
@@ -180,15 +182,23 @@ from pyspark.sql import SparkSession
 from strandline import scratch
 base = {str(tmp_path)!r}
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", base).getOrCreate()
-own = lambda: [x for x in os.listdir(base) if x.startswith('strandline-')]
+own = lambda: [x for d in os.listdir(base) if d.startswith('strandline-') for x in os.listdir(os.path.join(base, d))]
 one, two = scratch.written(spark.range(3)), scratch.written(spark.range(4))
 assert len(own()) == 2
 scratch.drop_table(one)
 assert len(own()) == 1 and two.count() == 4
 spark.stop()
-assert own() == []
+assert not [d for d in os.listdir(base) if d.startswith('strandline-')]
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+    killed = code[: code.index("scratch.drop_table")] + "sys.exit()"  # no stop: the folder goes with the JVM
+    subprocess.run([sys.executable, "-c", "import sys" + killed], cwd=ROOT, check=True, timeout=120)
+    for _ in range(50):
+        if not [d for d in os.listdir(tmp_path) if d.startswith("strandline-")]:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError(os.listdir(tmp_path))
 
 
 def test_sidecar_candidates(spark):
