@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..schemas import BY_KEY
+from ..scratch import spread
 from .catalog import query, table
 
 #: Rows of one datasheet a part; {n} is its size (1 to 50) and {d} its size in hundredths over 1.
@@ -30,7 +31,8 @@ def sheets(spark, sf):
     size = F.col("p_size").cast("string")
     value = F.format_string("%.2f", 1 + F.col("p_size") / 100)
     rows = [F.replace(F.replace(F.lit(r), F.lit("{n}"), size), F.lit("{d}"), value) for r in ROWS]
-    return table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("material_id"), F.lit("").alias("text"), F.array(*rows).alias("rows"))
+    parts = spread(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("material_id"), "p_size"), "material_id")
+    return parts.select("material_id", F.lit("").alias("text"), F.array(*rows).alias("rows"))
 
 
 def _fits(key: str, value: str) -> str:

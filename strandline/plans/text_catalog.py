@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import units as U
 from ..operators import beam as B
 from ..operators import query as Q
+from ..scratch import spread
 from .catalog import OBS, query, table
 
 LINES = r"""lines AS (
@@ -337,7 +338,8 @@ def extraction(spark, sf):
         row("Density", F.round(1 + size / 100.0, 2), "g/cm3", "ISO 1183"), row("Tensile strength", 20 + size, "MPa", "ISO 527"), row("Nozzle temperature", 190 + size, "°C", "recommended"),
         row("Notched Izod Impact", F.round(size / 10.0, 1), "ft-lb/in", "ASTM D256"),
     )
-    docs = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("material_id"), F.lit("").alias("text"), rows.alias("rows"))
+    parts = spread(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("material_id"), "p_size"), "material_id")
+    docs = parts.select("material_id", F.lit("").alias("text"), rows.alias("rows"))
     return extract(docs)[0].select("material_id", "property_key", "raw_value", "unit_raw", F.round("value_nominal", 6).alias("value_nominal"), "test_method", "quality_flag")
 
 

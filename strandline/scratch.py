@@ -55,6 +55,11 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, whatever its size, by columns if any are given: a small file is one task, however much work its rows make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the table that `written` made; df is that frame, or one that reads it alone."""
     held = folders(df.sparkSession)
