@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import classify as C
 from ..functions import text as X
+from .repeats import once_each
 from .stats import first_wins
 
 CONFIDENCES = ["high", "medium", "uncertain"]
@@ -107,7 +108,16 @@ def method_near(parts: Column, at: Column) -> Column:
     return F.when(at.isNotNull() & (F.size(found) > 0), F.upper(X.squeeze(F.element_at(found, -1))))
 
 
+#: The columns that text_features reads, and about how many bytes it adds to them.
+TEXTS, FEATURE_BYTES = ["raw_value", "source_context"], 4000
+
+
 def context_features(obs: DataFrame) -> DataFrame:
+    """obs, which is read twice, with its text_features."""
+    return once_each(obs, TEXTS, text_features, FEATURE_BYTES, "left")
+
+
+def text_features(obs: DataFrame) -> DataFrame:
     """Where the raw value stands among its context's cells, and the nearest label before it."""
     raw = X.squeeze(F.col("raw_value"))
     parts = X.cells(F.col("source_context"))
