@@ -193,7 +193,7 @@ def classify_material(spark, sf):
     """Classes of names put together from leads, bases and tails."""
     k, size = F.col("p_partkey"), F.col("p_size")
     name = F.concat(picked(LEADS, k), picked(BASES, size), picked(TAILS, F.floor(k / 7)), F.lit(" "), size)
-    made = table(spark, sf, "part").select("p_partkey", name.alias("product")).withColumn("c", C.classify_material(F.col("product")))
+    made = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", name.alias("product")).withColumn("c", C.classify_material(F.col("product")))
     return made.select("p_partkey", "product", F.col("c.base").alias("base"), F.col("c.family").alias("family"), F.array_join("c.modifiers", ",").alias("modifiers"))
 
 
