@@ -110,10 +110,10 @@ def url_parts(spark, sf):
     )
 
 
-def _unescaped(sql: str) -> str:
-    """SQL for the text of HTML: entities that these pages hold, and white space."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        sql = f"replace({sql}, '{entity}', '{sign}')"
+def _unescaped(sql: str, end: str = ";?") -> str:
+    """SQL for the text of HTML: entities that these pages hold, and white space. In text HTML reads these names without their semicolon, too."""
+    for entity, sign in ((f"&lt{end}", "<"), (f"&gt{end}", ">"), (f"&quot{end}", '"'), ("&#x27;", "''"), (f"&amp{end}", "&")):
+        sql = f"regexp_replace({sql}, '{entity}', '{sign}', 'g')"
     return f"trim(regexp_replace({sql}, '\\s+', ' ', 'g'))"
 
 
@@ -132,7 +132,7 @@ def page_structure(spark, sf):
 
 @query(f"""WITH a AS (SELECT url, html, regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1) AS texts FROM pages),
 l AS (SELECT url, unnest(range(len(hrefs))) AS ord, unnest(hrefs) AS href, unnest(texts) AS text FROM a)
-SELECT url, ord, regexp_extract(url, '^[^:]*://[^/?#]*') || {_unescaped("href")} AS link, {_unescaped("text")} AS text FROM l WHERE href LIKE '/%'""")
+SELECT url, ord, regexp_extract(url, '^[^:]*://[^/?#]*') || {_unescaped("href", ";")} AS link, {_unescaped("text")} AS text FROM l WHERE href LIKE '/%'""")
 def link_explode(spark, sf):
     from ..sources.html import page_links, parse_pages
 

@@ -92,3 +92,22 @@ def test_urls(spark):
     df = spark.createDataFrame([("https://A.com/x/?q=1#f",), ("http://a.com",), ("https://s.com/products/pla/extra?v=1",), ("",)], "u string")
     got = df.select(X.normalize_price_url(F.col("u")), X.normalize_page_url(F.col("u")), X.product_json_url(F.col("u"))).collect()
     assert [tuple(r) for r in got[:3]] == [("https://A.com/x", "https://A.com/x/?q=1", None), ("http://a.com/", "http://a.com", None), ("https://s.com/products/pla/extra", "https://s.com/products/pla/extra?v=1", "https://s.com/products/pla.js")]
+
+
+@pytest.mark.parametrize("name", ["page_structure", "title_extract"])
+def test_entities_without_a_semicolon(spark, tmp_path, name):
+    """Titles cut inside an entity: HTML reads &amp, &lt, &gt and &quot without their semicolon, and so does the SQL."""
+    import duckdb
+
+    from strandline.plans import detail_catalog, text_catalog  # noqa: F401
+    from strandline.plans.catalog import QUERIES, SQL
+
+    titles = ["Cut&&amp", "&lt b &gt c&quot", "&amp;lt; &amplt;", "plain &am"]
+    pages = [(i, f"https://a.example/x-{i}.html", f"<html><title>{t}</title><h1>{t}</h1></html>") for i, t in enumerate(titles)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(path)
+    got = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    rel = con.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})")
+    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
