@@ -119,7 +119,7 @@ def conversion_notes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(quality_notes(flags, size.cast("string"), F.lit("psi")), "|").alias("notes"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS title FROM pages""")
 def title_extract(spark, sf):
     from ..sources.html import parse_pages
 
