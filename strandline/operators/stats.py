@@ -125,6 +125,16 @@ def material_stat(obs: DataFrame, keys: Sequence[str] | None = None) -> DataFram
     )
 
 
+def wide_stat(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """material_stat of rows whose properties stand side by side in columns: a group a record, not one a record and property, then a row a property."""
+    made = rows.groupBy("material_id").agg(
+        *[f.alias(f"{k}__{i}") for k in keys for i, f in enumerate((F.avg(k), F.min(k) + 0.0, F.max(k) + 0.0, F.count(k)))]
+    )
+    names = ["mean_value", "min_value", "max_value", "n"]
+    each = F.array(*[F.struct(F.lit(k).alias("property_key"), *[F.col(f"{k}__{i}").alias(n) for i, n in enumerate(names)]) for k in keys])
+    return made.select("material_id", F.explode(each).alias("s")).select("material_id", "s.*").where("n > 0")
+
+
 def box(obs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, quartiles (linear between ranks), extremes, mean, and where quartiles stand in the range."""
     counts = counted(obs, by, "value")

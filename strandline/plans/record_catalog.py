@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import radar as R
 from ..operators import stats as S
-from ..scratch import folder
+from ..scratch import folder, spread
 from ..sources import build as B
 from ..sources import encoding as E
 from ..sources import readers
-from .catalog import MAT, OBS, STAT, materials, observations, query, rounded, table
+from .catalog import MAT, OBS, STAT, materials, measured, observations, query, rounded, table
 
 AXES = ["quantity", "hardness", "extendedprice", "discount", "tax"]
 SERIES = f"""{OBS}, {MAT}, span AS (SELECT property_key, min(value) + 0.0 AS lo, max(value) + 0.0 AS hi FROM obs WHERE value IS NOT NULL GROUP BY 1 HAVING max(value) > min(value)),
@@ -54,7 +54,7 @@ _LISTS = ", ".join(f"('{n}', {keys})" for n, keys in LISTS.items())
 SELECT material_id, subset, CAST(ord AS INT) AS ord, property_key, round(mean_value + 0.000000013, 6) AS mean_value FROM stat JOIN k USING (property_key)""")
 def property_subsets(spark, sf):
     """Hero, thermal, radar and basic figures of every record, in each subset's order."""
-    return rounded(R.subsets(S.material_stat(observations(spark, sf)), LISTS), "mean_value")
+    return rounded(R.subsets(measured(spark, sf), LISTS), "mean_value")
 
 
 @query(r"""WITH p AS (SELECT page_id, page_id % 5 AS k, CASE WHEN page_id % 5 > 2 THEN replace(html, '<meta charset="utf-8">', '') ELSE html END AS html FROM pages),
