@@ -151,7 +151,7 @@ CHECKED_COLUMNS = ["property_key", "raw_value", "value", "more", "unit_canonical
 def checked(spark, sf):
     """Each case for each part; large parts have other values, and every third part's file is missing."""
     cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(CHECKED_COLUMNS, c)]) for c in CHECKED])
-    rows = table(spark, sf, "part").select("*", F.explode(cases).alias("c"))
+    rows = spread(table(spark, sf, "part"), "p_partkey").select("*", F.explode(cases).alias("c"))
     return rows.select(
         F.col("p_brand").alias("supplier"), F.col("p_name").alias("product"), F.col("p_type").alias("base_material"), F.col("p_type").alias("material_family"),
         F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("source_file"), "c.property_key", F.col("c.property_key").alias("property_label"), F.lit("").alias("raw_label"),
@@ -191,5 +191,5 @@ def strict_checks(spark, sf):
 
     obs = checked(spark, sf)
     parts = table(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("source_file"), F.col("p_brand").alias("supplier"), F.col("p_name").alias("product"), "p_partkey")
-    found = audit(parts.drop("p_partkey"), obs, parts.where("p_partkey % 3 <> 0"))
+    found = spread(audit(parts.drop("p_partkey"), obs, parts.where("p_partkey % 3 <> 0")), "source_file")  # then a group is counted where its file is
     return found.groupBy("kind", "source_file", "property_key", "raw_value").agg(F.count(F.lit(1)).alias("n"))
