@@ -107,7 +107,7 @@ def built_set(spark, sf):
     """Datasheets made of part, built, published, verified and read back: records by status, their observations, and the running ids' order."""
     k = F.col("p_partkey")
     sheet = F.concat(F.lit("Density | "), F.format_string("%.2f", 1 + F.col("p_size") / 100), F.lit(" g/cm3"))
-    docs = table(spark, sf, "part").select(
+    docs = spread(table(spark, sf, "part"), "p_partkey").select(
         F.concat("p_brand", F.lit("/PLA "), k, F.lit(".pdf")).alias("source_file"), F.when(k % 4 == 3, F.repeat(F.lit("words without any "), 10)).otherwise("").alias("text"),
         F.when(k % 4 == 0, F.array(sheet)).otherwise(F.array().cast("array<string>")).alias("rows"), F.lit(1).alias("pages"), F.when(k % 4 == 1, "no file").alias("error"),
     )
