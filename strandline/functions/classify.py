@@ -133,6 +133,10 @@ LABELS = [
 NO_LABEL = r"price|sku|barcode|review|warranty|brand|color|proposition|warning|inner diameter|outer diameter"
 
 
+#: What page_space changes has at least one of these; other texts it leaves as they are.
+ODD = r"[^ -}]|  |\A | \z|m /|m/s\.|g /"
+
+
 def page_space(c: Column) -> Column:
     """White space and signs of web pages, made alike."""
     from .text import replaced
@@ -142,7 +146,8 @@ def page_space(c: Column) -> Column:
         ("°C", " C"), ("°F", " F"), ("mm / s", "mm/s"), ("mm /sec", "mm/s"), ("mm/s.", "mm/s"), ("g / cm3", "g/cm3"),
         ("g/cm³", "g/cm3"), ("g / 10 min", "g/10min"),
     ]
-    return squeeze(F.regexp_replace(replaced(F.coalesce(c, F.lit("")), pairs), r"(?<=\d)\s*~\s*(?=\d)", "-"))
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(ODD), squeeze(F.regexp_replace(replaced(text, pairs), r"(?<=\d)\s*~\s*(?=\d)", "-"))).otherwise(text)
 
 
 def canonical_label(label: Column) -> Column:

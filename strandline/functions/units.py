@@ -130,7 +130,7 @@ def mass_candidates(text: Column) -> Column:
     num = r"(?:\d+(?:[.,]\d+)?|[.,]\d+)"
     low = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
     orders = ("moq", "minimum order", "min order")  # a mass within 16 characters of these is none
-    clear = "".join(rf"(?<!\b{w}\b.{{0,{16 - len(w)}}})" for w in orders)
+    clear = r"(?=[\d.,])" + "".join(rf"(?<!\b{w}\b.{{0,{16 - len(w)}}})" for w in orders)  # looks back only where a number begins
     calm = "".join(rf"(?!.{{0,{16 - len(w)}}}\b{w}\b)" for w in orders)
     packs = F.regexp_extract_all(low, F.lit(rf"{clear}\b{num}\s*[x×]\s*{num}\s*(?:kg|g|lbs?|pounds?)\b{calm}"), F.lit(0))
     singles = F.regexp_extract_all(low, F.lit(rf"{clear}(?<![\w.]){num}\s*(?:kgs?|kilograms?|g|grams?|lbs?|pounds?)\b{calm}"), F.lit(0))
@@ -144,9 +144,17 @@ def mass_candidates(text: Column) -> Column:
     return F.filter(made, lambda m: (m["kg"] >= 0.05) & (m["kg"] <= 25))
 
 
-def largest_mass(text: Column) -> Column:
-    """The largest of a text's masses, the first of equal ones, as (kg, raw); null if none."""
-    found = mass_candidates(text)
+#: Fixed value: every mass has a digit before what may begin a unit or a factor; texts without hold none.
+MAYBE_MASS = r"(?Ui)\d\s*[kglpx×]"
+
+
+def largest_mass(text: Column, finish=lambda m: m) -> Column:
+    """The largest of a text's masses, the first of equal ones, as finish((kg, raw)); null if none."""
+    return F.when(text.rlike(MAYBE_MASS), largest(mass_candidates(text), finish))
+
+
+def largest(found: Column, finish=lambda m: m) -> Column:
+    """The largest mass of an array, the first of equal ones."""
     return F.aggregate(
-        found, F.lit(None).cast("struct<kg: double, raw: string>"), lambda best, m: F.when(best.isNull() | (m["kg"] > best["kg"]), m).otherwise(best)
+        found, F.lit(None).cast("struct<kg: double, raw: string>"), lambda best, m: F.when(best.isNull() | (m["kg"] > best["kg"]), m).otherwise(best), finish
     )

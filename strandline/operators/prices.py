@@ -121,25 +121,19 @@ def page_offers(offers: DataFrame, default_currency: Column) -> DataFrame:
 
 def infer_mass(probes: Sequence[tuple[str, Column]], sidecar_kg: Column, sidecar_source: Column, labelled: Column) -> Column:
     """(kg, source): the largest mass of the first probe that has one, then the sidecar's, then labelled lines."""
-    found = [
-        F.when(m.isNotNull(), F.struct(F.round(m["kg"], 6).alias("kg"), F.concat(F.lit(name + ":"), m["raw"]).alias("source")))
-        for name, text in probes
-        for m in [U.largest_mass(text)]
-    ]
+    told = lambda name: lambda m: F.when(m.isNotNull(), F.struct(F.round(m["kg"], 6).alias("kg"), F.concat(F.lit(name + ":"), m["raw"]).alias("source")))  # noqa: E731  of what one search has found
+    found = [U.largest_mass(text, told(name)) for name, text in probes]
     side = F.when(sidecar_kg.isNotNull(), F.struct(sidecar_kg.alias("kg"), sidecar_source.alias("source")))
-    m = labelled_mass(labelled)
-    page = F.when(m.isNotNull(), F.struct(F.round(m["kg"], 6).alias("kg"), F.concat(F.lit("labeled_page_text:"), m["raw"]).alias("source")))
-    return F.coalesce(*found, side, page)
+    return F.coalesce(*found, side, labelled_mass(labelled, told("labeled_page_text")))
 
 
-def labelled_mass(text: Column) -> Column:
+def labelled_mass(text: Column, finish=lambda m: m) -> Column:
     """The largest mass of lines about a weight that isn't the empty spool's or the parcel's."""
     lines = F.filter(
         F.split(F.lower(F.coalesce(text, F.lit(""))), r"\R"),
         lambda x: F.contains(x, F.lit("weight")) & ~x.rlike("empty spool|gross|package|shipping|carton"),
     )
-    found = F.flatten(F.transform(lines, U.mass_candidates))
-    return F.aggregate(found, F.lit(None).cast("struct<kg: double, raw: string>"), lambda b, m: F.when(b.isNull() | (m["kg"] > b["kg"]), m).otherwise(b))
+    return F.when(text.rlike("(?i)weight"), U.largest(F.flatten(F.transform(lines, U.mass_candidates)), finish))
 
 
 def availability(value: Column) -> Column:

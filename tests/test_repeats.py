@@ -37,3 +37,28 @@ def test_figures_have_one_group_a_record(spark, sf):
     assert sorted(S.wide_stat(rows, ["a", "b"]).collect()) == sorted(S.material_stat(long).collect())
     for name in ("material_stat", "material_map", "property_subsets", "radar_max", "printability"):  # no row a property below the groups
         assert "stack(" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_pages_are_spread_and_documents_parsed_once(spark, sf):
+    from strandline.plans import collect_catalog
+
+    assert collect_catalog.shop(spark, sf).rdd.getNumPartitions() == 4
+    plan = catalog.QUERIES["product_json_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("$.price") == 1
+
+
+def test_quick_looks_change_no_text(spark):
+    """Texts that are passed over have no mass, and no sign of web pages to make alike."""
+    from pyspark.sql import functions as F
+
+    from strandline.functions import classify, units
+    from strandline.functions.text import squeeze
+
+    some = ["", "red", "PLA 750 g", "1 Kg", "1 Kg", "2 X 500G", "2 × .5 kg", "3\n \tlbs", "k 5", "9", "moq 1 kg x", None, "5 Pounds", "1 2  3"]
+    odd = ["a  b", " a", "a ", "a/b", "5 mm / s", "5 mm /sec", "5 mm/s.", "1 g / cm3", "1 g / 10 min", "1 ~ 2", "a\tb", "20 °C", "a\n", "ab", "it's {ok} - 3/4"]
+    df = spark.createDataFrame([(t,) for t in some + odd], "t string")
+    t = F.col("t")
+    found = df.select("t", units.largest_mass(t).alias("a"), units.largest(units.mass_candidates(t)).alias("b"), classify.page_space(t).alias("tidy"), squeeze(t).alias("plain")).collect()
+    assert [r.t for r in found if r.a != r.b] == [] and sum(r.a is not None for r in found) >= 6
+    same = {r.t for r in found if r.tidy == (r.t or "")}
+    assert {"ab", "a/b", "it's {ok} - 3/4", "", None} <= same and not same & {"a  b", " a", "a ", "a\tb", "a\n", "1 ~ 2", "5 mm / s", "5 mm /sec", "5 mm/s.", "1 g / cm3", "1 g / 10 min", "20 °C"}
