@@ -141,10 +141,10 @@ def availability(value: Column) -> Column:
 
 
 def add_usd(rows: DataFrame, rates: DataFrame, places: int | None = 4) -> DataFrame:
-    """Adds price_per_kg, rate, price_usd and price_per_kg_usd; unknown currencies give nulls. rates has a row a currency."""
+    """Adds price_per_kg, rate, price_usd and price_per_kg_usd; unknown currencies give nulls. rates has a row a currency, and is broadcast."""
     to = (lambda c: c) if places is None else (lambda c: F.round(c, places))
     per_kg = to(F.col("price") / F.when(F.col("mass_kg") > 0, F.col("mass_kg")))
-    out = rows.join(rates.select("currency", "rate"), "currency", "left").withColumn("price_per_kg", per_kg)
+    out = rows.join(F.broadcast(rates.select("currency", "rate")), "currency", "left").withColumn("price_per_kg", per_kg)
     return out.withColumns({"price_usd": to(F.col("price") * F.col("rate")), "price_per_kg_usd": to(F.col("price_per_kg") * F.col("rate"))})
 
 

@@ -62,3 +62,9 @@ def test_quick_looks_change_no_text(spark):
     assert [r.t for r in found if r.a != r.b] == [] and sum(r.a is not None for r in found) >= 6
     same = {r.t for r in found if r.tidy == (r.t or "")}
     assert {"ab", "a/b", "it's {ok} - 3/4", "", None} <= same and not same & {"a  b", " a", "a ", "a\tb", "a\n", "1 ~ 2", "5 mm / s", "5 mm /sec", "5 mm/s.", "1 g / cm3", "1 g / 10 min", "20 °C"}
+
+
+def test_few_properties_are_no_shuffle_key(spark, sf):
+    for name in ("plausibility_split", "strict_range_violations", "fx_conversion"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan, name
