@@ -95,7 +95,19 @@ def parse_numeric(raw: Column, unit: Column, canonical: Column) -> Column:
 
 def number_or_none(c: Column) -> Column:
     """The first number of a text without its commas, if over 0 and under 10000."""
-    n = F.regexp_extract(F.replace(c.cast("string"), F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
+    return in_bounds(first_number(c))
+
+
+def number_once(c: Column) -> Column:
+    """number_or_none inside a lambda, where Spark works a repeated expression out each time."""
+    return bound(first_number(c), in_bounds)
+
+
+def first_number(c: Column) -> Column:
+    return F.regexp_extract(F.replace(c.cast("string"), F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
+
+
+def in_bounds(n: Column) -> Column:
     return F.when((n > 0) & (n < 10000), n)
 
 

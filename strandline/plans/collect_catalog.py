@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordinals import running_ids
 from ..operators.prices import add_usd
-from ..scratch import folder, spread
+from ..scratch import folder, spread, tasks
 from ..sources import crawl as K
 from ..sources import harvest as H
 from ..sources import product_json as J
@@ -104,15 +104,21 @@ line AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDE
 priced AS (SELECT *, CASE WHEN raw > 200 THEN raw / 100 ELSE raw END AS price FROM line)"""
 
 
+#: Pages a task makes and reads, about: what bounds the memory of its sorts.
+TASK_PAGES = 100_000
+
+
 def shop(spark, sf):
     """Orders as product pages: k, vendor, url and `lines` (ord, no, part, raw, tax, flag) of each; orders and lines are spread by order first, for each page is much work."""
-    order = spread(table(spark, sf, "orders"), "o_orderkey").select(
+    orders = table(spark, sf, "orders")
+    n = tasks(orders, TASK_PAGES)
+    order = spread(orders, "o_orderkey", n=n).select(
         F.col("o_orderkey").alias("k"), F.concat(F.lit("shop-"), F.col("o_custkey") % 7).alias("vendor"),
         F.concat(F.lit("https://shop-"), F.col("o_custkey") % 7, F.lit(".example.com/products/pla-"), "o_orderkey").alias("url"),
     )
     raw = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(F.col("l_extendedprice")).cast("double")
     line = F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), "l_suppkey", "l_extendedprice", raw.alias("raw"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"))
-    sold = spread(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("line")), "k")
+    sold = spread(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("line")), "k", n=n)
     lines = sold.groupBy("k").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # a few lines an order
     return order.join(lines, "k", "left").withColumn("lines", F.coalesce("lines", F.array()))
 

@@ -55,9 +55,14 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df over as many tasks as a shuffle has, whatever its size, by columns if any are given: a small file is one task, however much work its rows make."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+def tasks(df: DataFrame, most: int) -> int:
+    """As many tasks as a shuffle has, or more where each would get over `most` of df's rows; they are counted, which is cheap for a table (its footers tell)."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // most))
+
+
+def spread(df: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+    """df over n tasks, else as many as a shuffle has, whatever its size, by columns if any are given: a small file is one task, however much work its rows make."""
+    return df.repartition(n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def drop_table(df: DataFrame) -> None:

@@ -24,6 +24,8 @@ FIELDS = {
     "tag": "string", "vendor": "string", "url": "string", "ord": "int", "link": "string", "hint": "string", "price": "string", "currency": "string", "variant": "string",
     "sku": "string", "availability": "string", "product_name": "string", "method": "string", "action": "string", "status": "string", "detail": "string",
 }
+#: What of a page the rows are made of.
+READ = ("title", "heading", "metas", "links", "offers", "page_text")
 OFFER = ("price", "currency", "variant", "sku", "availability", "product_name", "method")
 
 
@@ -41,7 +43,7 @@ def row(tag: str, **values: Column) -> Column:
 
 def tagged(pages: DataFrame, vendor: Column, visible_for: Column) -> DataFrame:
     """The rows of all tags of pages (url, html); `vendor` and `visible_for` are expressions over url."""
-    parsed = html.parse_pages(pages).withColumn("vendor", vendor)
+    parsed = html.parse_pages(pages, columns=READ).withColumn("vendor", vendor)
     parsed = parsed.withColumns({"found": html.offers_of(visible_for), "product": html.best_title(F.col("url"))})
     followed = F.filter("links", lambda a: X.is_followed(a["href"]))
     named = F.transform(followed, lambda a, i: F.struct(i.alias("ord"), X.normalize_price_url(a["url"]).alias("link"), page_space(a["text"]).alias("hint")))
@@ -49,8 +51,9 @@ def tagged(pages: DataFrame, vendor: Column, visible_for: Column) -> DataFrame:
     candidates = F.transform("leads", lambda a: row("candidate", ord=a["ord"], link=a["link"], hint=a["hint"]))
     named = lambda o: {"product_name": F.coalesce(F.nullif(o["product_name"], F.lit("")), F.col("product"))}  # noqa: E731  an offer without a name is the page's
     offers = F.transform("found", lambda o, i: row("offer", ord=i, **{c: o[c] for c in OFFER} | named(o)))
-    key = lambda o: F.struct(F.round(U.number_or_none(o["price"]), 4), *[page_space(o[c]) for c in ("currency", "variant", "sku")])
-    n = F.size(F.array_distinct(F.transform("found", key)))
+    key = lambda o: F.struct(F.round(U.number_once(o["price"]), 4), *[page_space(o[c]) for c in ("currency", "variant", "sku")])
+    parsed = parsed.withColumn("n", F.size(F.array_distinct(F.transform("found", key))))  # a column, so that it is worked out once
+    n = F.col("n")
     links = row("log", action=F.lit("page_links"), status=F.lit("ok"), detail=F.concat(F.size("leads"), F.lit(" product links")))
     told = row("log", action=F.lit("fetch_product"), status=F.when(n > 0, "priced").otherwise("no_price"), detail=F.concat(n, F.lit(" offers; title="), F.substring("product", 1, 120)))
     return parsed.select(F.explode(F.concat(candidates, offers, F.array(links, told))).alias("r")).select("r.*")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -17,6 +18,20 @@ from ..functions import units as U
 
 BLOCKS = {"p", "div", "li", "tr", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "title", "br", "ul", "ol", "table", "section", "span", "a", "option", "button"}
 SILENT = {"script", "style", "noscript", "template"}
+#: Plain tags, read at once: nothing in them needs the standard parser's tolerance. All others go its way.
+PLAIN_START, PLAIN_END = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z:-]+="[^"&]*")*)>'), re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_ATTRIBUTE = re.compile(r' ([a-zA-Z:-]+)="([^"]*)"')
+#: Tags whose content newer versions of the parser read in modes of their own.
+OWN_MODE = {*getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()), "plaintext"}
+#: Addresses that are joined by putting one behind the other.
+PLAIN_BASE, PLAIN_PATH = re.compile(r"https?://[A-Za-z0-9.:-]+(?=[/?#]|\Z)"), re.compile(r"(?:/[A-Za-z0-9_-]+)+")
+
+
+def joined(base: str, href: str) -> str:
+    """urljoin, shorter for plain addresses."""
+    if PLAIN_PATH.fullmatch(href) and (origin := PLAIN_BASE.match(base)):
+        return origin[0] + href
+    return urljoin(base, href)
 
 
 class Page(HTMLParser):
@@ -35,6 +50,26 @@ class Page(HTMLParser):
         self.feed(html)
         self.close()
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
+    def parse_starttag(self, i):
+        plain = PLAIN_START.match(self.rawdata, i)
+        if not plain or (tag := plain[1].lower()) in OWN_MODE:
+            return super().parse_starttag(i)
+        self.lasttag = tag
+        self.handle_starttag(tag, [(a.lower(), v) for a, v in PLAIN_ATTRIBUTE.findall(plain[2])])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i)
+        if not plain or self.cdata_elem is not None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     def handle_starttag(self, tag, attrs):
         at = {k: v or "" for k, v in attrs}
         if tag in BLOCKS:
@@ -75,7 +110,7 @@ class Page(HTMLParser):
             self.terms.append((self.term, text))
             self.term = None
         elif tag == "a" and self.href is not None:
-            self.links.append((self.href.strip(), urljoin(self.base, self.href.strip()), text))
+            self.links.append((self.href.strip(), joined(self.base, self.href.strip()), text))
 
     def handle_data(self, data):
         if self.json:
@@ -167,28 +202,48 @@ OFFER = pa.struct([(n, pa.string()) for n in ("price", "currency", "variant", "s
 OFFER_SQL = "array<struct<price: string, currency: string, variant: string, sku: string, availability: string, product_name: string, method: string>>"
 
 
-def parse_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, html and what Page reads, with the offers of its scripts."""
+#: What parse_pages finds, in order, with each column's type in Arrow and in SQL.
+FOUND = {
+    "title": (pa.string(), "string"), "heading": (pa.string(), "string"), "metas": (pa.map_(pa.string(), pa.string()), "map<string, string>"),
+    "links": (pa.list_(pa.struct([(n, pa.string()) for n in ("href", "url", "text")])), "array<struct<href: string, url: string, text: string>>"),
+    "rows": (pa.list_(pa.list_(pa.string())), "array<array<string>>"), "terms": (pa.list_(pa.struct([("term", pa.string()), ("value", pa.string())])), "array<struct<term: string, value: string>>"),
+    "offers": (pa.list_(OFFER), OFFER_SQL), "page_text": (pa.string(), "string"),
+}
+
+
+def listed(groups: list[list[tuple | dict]], kind: pa.ListType) -> pa.Array:
+    """Lists of records, field by field."""
+    ends, flat = [0], [x for g in groups for x in g]
+    for g in groups:
+        ends.append(ends[-1] + len(g))
+    fields = list(kind.value_type)
+    columns = ([x[f.name] for x in flat] for f in fields) if flat and isinstance(flat[0], dict) else zip(*flat) if flat else ([] for _ in fields)
+    parts = [pa.array(c, f.type) for c, f in zip(columns, fields)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=fields))
+
+
+def parse_pages(df: DataFrame, url: str = "url", html: str = "html", columns: Sequence[str] = ("html", *FOUND)) -> DataFrame:
+    """url and `columns`: html and what Page reads, with the offers of its scripts; what isn't asked for isn't sent back."""
+    wanted = [n for n in FOUND if n in columns]
+    given = ["url", "html"] if "html" in columns else ["url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {
+            "title": lambda p, h: p.title, "heading": lambda p, h: p.heading, "metas": lambda p, h: list(p.metas.items()), "links": lambda p, h: p.links,
+            "rows": lambda p, h: [[c for c in r if c] for r in p.rows], "terms": lambda p, h: p.terms,
+            "offers": lambda p, h: [*product_offers(p.data), *variant_offers(h)], "page_text": lambda p, h: p.text(),
+        }
         for b in batches:
-            out: list[tuple] = []
+            out: dict[str, list] = {n: [] for n in wanted}
+            each = [(out[n].append, of[n]) for n in wanted]
             for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = Page(h or "", u or "")
-                offers = [*product_offers(p.data), *variant_offers(h or "")]
-                links = [{"href": a, "url": l, "text": t} for a, l, t in p.links]
-                out.append((p.title, p.heading, list(p.metas.items()), links, [[c for c in r if c] for r in p.rows], [{"term": a, "value": v} for a, v in p.terms], offers, p.text()))
-            link = pa.struct([("href", pa.string()), ("url", pa.string()), ("text", pa.string())])
-            term = pa.struct([("term", pa.string()), ("value", pa.string())])
-            kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(link), pa.list_(pa.list_(pa.string())), pa.list_(term), pa.list_(OFFER), pa.string()]
-            made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=names)
-
-    names = ["url", "html", "title", "heading", "metas", "links", "rows", "terms", "offers", "page_text"]
-    schema = (
-        "url string, html string, title string, heading string, metas map<string, string>, links array<struct<href: string, url: string, text: string>>, "
-        f"rows array<array<string>>, terms array<struct<term: string, value: string>>, offers {OFFER_SQL}, page_text string"
-    )
+                for add, read in each:
+                    add(read(p, h or ""))
+            made = [listed(v, FOUND[n][0]) if n in ("links", "terms", "offers") else pa.array(v, FOUND[n][0]) for n, v in out.items()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(given)], *made], names=[*given, *wanted])
+
+    schema = ", ".join([*[f"{n} string" for n in given], *[f"{n} {FOUND[n][1]}" for n in wanted]])
     return df.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema)
 
 
@@ -260,7 +315,7 @@ def offers_of(visible_for: Column) -> Column:
     seen = F.regexp_extract_all("page_text", F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:USD|EUR|GBP)\b|[$€£]\s*\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?\s*[€£$]"), F.lit(0))
     symbol = lambda x: F.when(F.contains(x, F.lit("$")), "USD").when(F.contains(x, F.lit("€")), "EUR").when(F.contains(x, F.lit("£")), "GBP").otherwise(F.upper(F.regexp_extract(x, r"[A-Za-z]{3}", 0)))
     visible = F.slice(F.transform(seen, lambda x: one(x, symbol(x), "visible_text_price")), 1, 3)
-    priced = F.filter("offers", lambda o: U.number_or_none(o["price"]).isNotNull())
+    priced = F.filter("offers", lambda o: U.number_once(o["price"]).isNotNull())
     told = F.concat(priced, F.coalesce(metas, F.array().cast(OFFER_SQL)))
     return F.when((F.size(told) == 0) & visible_for, visible).otherwise(told)
 

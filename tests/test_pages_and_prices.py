@@ -111,3 +111,37 @@ def test_entities_without_a_semicolon(spark, tmp_path, name):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
     rel = con.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})")
     assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
+
+
+def test_plain_tags_read_as_the_standard_parser_reads_them():
+    """Plain tags and addresses take short ways, with what the standard parser and urljoin make of them."""
+    import random
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Plain(H.Page):
+        parse_starttag, parse_endtag, updatepos = HTMLParser.parse_starttag, HTMLParser.parse_endtag, HTMLParser.updatepos
+
+    bits = '<a href="/x-1">|<A HREF="/Z/">|</a>|</A >|<title>|</title>|<script>|</script>|<script type="application/ld+json">|{"a": 1}|</|<b|>|&amp;|"|text |\n|<tr>|<td>|</td>|<th id="a>b">|<h1>|</h1>'
+    bits = [*bits.split("|"), '<meta name="d" content="x &amp; y">', '<meta property="og:title" content="T">', "<br/>", '<p a="">', "<dt>", "</dt>", "<dd>", "</dd>", "<!-- c -->", "<textarea>", '<a  href="?q">']
+    rng = random.Random(4)
+    told = lambda p: (p.title, p.heading, p.metas, p.links, p.rows, p.terms, p.data, p.text())
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert told(H.Page(page, "https://h.x/a/b?c#d")) == told(Plain(page, "https://h.x/a/b?c#d")), page
+    hrefs = ["/a", "/a/b-1", "/a/", "//h/q", "/a/../b", "", "?q", "/p;x", "/a//b", "b", "/a?x"]
+    for base in ("https://h.x/a/b?c#d", "http://H.x", "", "ftp://q/x", "https://h.x:80", "HTTPS://h/x", "https://u@h/x", " https://h/x", "https://h.x\n/y", "https://h"):
+        assert [H.joined(base, h) for h in hrefs] == [urljoin(base, h) for h in hrefs], base
+
+
+def test_unread_parts_of_a_page_are_not_sent_back(spark):
+    pages = spark.createDataFrame([("https://x.y/a", "<title>T</title><a href='/b'>B</a>"), ("u", None)], "url string, html string")
+    got = H.parse_pages(pages, columns=("title", "links", "offers"))
+    assert got.columns == ["url", "title", "links", "offers"]
+    assert [(r.title, [tuple(x) for x in r.links], r.offers) for r in got.collect()] == [("T", [("/b", "https://x.y/b", "B")], []), ("", [], [])]
+
+
+def test_tasks_grow_with_rows(spark):
+    from strandline.scratch import tasks
+
+    assert [tasks(spark.range(k), 10) for k in (0, 40, 41, 95)] == [4, 4, 5, 10]
