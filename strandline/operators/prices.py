@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import units as U
-from ..scratch import written
+from ..scratch import spread, tasks, written
 from .stats import first_wins, top_per_group
 
 #: Words of a material, words that rule a product out, and those that do unless it is a filament.
@@ -29,10 +31,12 @@ SIDECARS = ("html_material_specs", "html_sidecar")
 MAX_OFFERS = 60
 #: Slices in which a vendor's candidates are ranked first.
 SLICES = 64
+#: Offers a task sorts, about: what bounds its memory.
+TASK_OFFERS = 500_000
 
 
 def any_of(hay: Column, words: Sequence[str]) -> Column:
-    return F.greatest(F.lit(False), *[F.contains(hay, F.lit(w)) for w in words])
+    return F.coalesce(reduce(or_, [F.contains(hay, F.lit(w)) for w in words]), F.lit(False))  # ends at the first that is there
 
 
 def hay_of(*parts: Column) -> Column:
@@ -91,11 +95,15 @@ def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: C
     """Three stages: equal offers once; the best-scored of an identity; no nameless offer beside a named one of that price.
 
     `by` holds what separates pages; within them `exact` are the columns of equal offers, and a price with a
-    currency is shared by `identity`.
+    currency is shared by `identity`. Offers of a page are few, so windows tell which prices have a named offer;
+    where no pages separate them, a price may have very many, and the prices are joined.
     """
     pair = [*by, price, "currency"]
     once = first_wins(rows, [*by, *exact], [F.col(order)])
     best = first_wins(once.withColumn("__id", identity).withColumn("__score", score), [*pair, "__id"], [-F.col("__score"), F.col(order)]).drop("__id", "__score")
+    if by:
+        named = F.coalesce(F.max(F.col("variant") != "").over(W.partitionBy(*pair)), F.lit(False))
+        return best.withColumn("__named", named).where((F.col("variant") != "") | ((F.col("variant") == "") & ~F.col("__named"))).drop("__named")
     best = written(best)  # read three times
     # the prices that some named offer has are one row each: nameless offers are checked against them
     taken = best.where(F.col("variant") != "").select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(pair)]).distinct()
@@ -104,8 +112,11 @@ def dedupe_offers(rows: DataFrame, price: str, exact: Sequence[str], identity: C
 
 
 def page_offers(offers: DataFrame, default_currency: Column) -> DataFrame:
-    """Offers (url, ord, price, currency, variant, sku, method) of pages, deduplicated and capped to MAX_OFFERS a page."""
-    clean = offers.withColumns(
+    """Offers (url, ord, price, currency, variant, sku, method) of pages, deduplicated and capped to MAX_OFFERS a page.
+
+    One shuffle brings a page's offers together; all steps go on from there.
+    """
+    clean = spread(offers, "url", n=tasks(offers, TASK_OFFERS)).withColumns(
         {
             "price": F.round(U.number_or_none(F.col("price")), 4),
             "currency": F.coalesce(F.nullif(X.squeeze(F.col("currency")), F.lit("")), default_currency, F.lit("")),

@@ -141,6 +141,16 @@ def test_unread_parts_of_a_page_are_not_sent_back(spark):
     assert [(r.title, [tuple(x) for x in r.links], r.offers) for r in got.collect()] == [("T", [("/b", "https://x.y/b", "B")], []), ("", [], [])]
 
 
+def test_offers_of_a_page_are_gathered_once(spark):
+    """One shuffle, no table in between, and more tasks for more offers."""
+    rows = [("u", 1, "20", "", "Red", "a", "m"), ("u", 2, "20", "", "", "", "m"), ("v", 3, "20", "", "", "", "m"), ("v", 4, "1e9", "", "x", "", "m"), (None, 5, "20", "", "", "", "m"), (None, 6, "20", "", "Blue", "", "m")]
+    df = spark.createDataFrame(rows, "url string, ord int, price string, currency string, variant string, sku string, method string")
+    got = P.page_offers(df, F.lit("USD"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r.url or "", r.ord) for r in got.collect()) == [("", 6), ("u", 1), ("v", 3), ("v", 4)]
+
+
 def test_tasks_grow_with_rows(spark):
     from strandline.scratch import tasks
 
