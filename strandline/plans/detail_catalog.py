@@ -43,7 +43,7 @@ named AS (SELECT *, CASE property_key WHEN 'quantity' THEN 'Physical' WHEN 'tax'
 SELECT material_id, section, coalesce(list_position(['Filament specs', 'Print settings', 'Mechanical', 'Thermal', 'Physical', 'Electrical', 'Safety / chemical', 'Other'], section) - 1, 99) AS place, count(*) AS n, min(ordinal) AS first_ordinal
 FROM named GROUP BY 1, 2, 3""")
 def property_groups(spark, sf):
-    obs = observations(spark, sf).withColumn("category", F.when(F.col("property_key") == "tax", "Thermal").otherwise(""))
+    obs = observations(spark, sf, by_record=True).withColumn("category", F.when(F.col("property_key") == "tax", "Thermal").otherwise(""))
     known = spark.createDataFrame([("quantity", "Physical"), ("tax", "Print settings")], "property_key string, category string")
     scope = spark.createDataFrame([(k,) for k in KEYS if k != "discount"], "property_key string")
     made = D.property_groups(obs, known, ["material_id", "property_key", "value"], [F.col("ordinal"), F.col("orientation")], scope)

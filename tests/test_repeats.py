@@ -68,3 +68,20 @@ def test_few_properties_are_no_shuffle_key(spark, sf):
     for name in ("plausibility_split", "strict_range_violations", "fx_conversion"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan, name
+
+
+def test_records_are_gathered_once(spark, sf):
+    """All rows of a record come to one task by one shuffle, before properties become rows; groups and windows over records need no other."""
+    from strandline.plans import detail_catalog  # noqa: F401
+
+    for name in ("property_groups", "observation_dedupe", "material_stat"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(shuffles) == 1 and "hashpartitioning(material_id" in shuffles[0] and "REPARTITION_BY_NUM" in shuffles[0], name
+
+
+def test_more_tasks_for_more_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_LINES", 1000)
+    lines = catalog.table(spark, sf, "lineitem").count()
+    for df in (catalog.observations(spark, sf, by_record=True), catalog.measured(spark, sf)):
+        assert df.rdd.getNumPartitions() == -(-lines // 1000) > 4
