@@ -45,12 +45,12 @@ def legend(materials: DataFrame, obs: DataFrame, column: str = "base_material")
 def property_groups(obs: DataFrame, definitions: DataFrame, key: Sequence[str], order: Sequence[Column], scope: DataFrame | None = None, ranks: Sequence[str] = CATEGORIES) -> DataFrame:
     """A record's observations, equal ones once, in scope, with `section` and its `place` among the categories.
 
-    The category is the observation's own, else its definition's, else Other.
+    The category is the observation's own, else its definition's, else Other. Scope and definitions have a row a property, and are broadcast.
     """
     once = first_wins(obs, key, order)
     if scope is not None:
-        once = once.join(scope.select("property_key"), "property_key", "left_semi")
-    named = once.join(definitions.select("property_key", F.col("category").alias("__known")), "property_key", "left")
+        once = once.join(F.broadcast(scope.select("property_key")), "property_key", "left_semi")
+    named = once.join(F.broadcast(definitions.select("property_key", F.col("category").alias("__known"))), "property_key", "left")
     section = F.coalesce(F.nullif("category", F.lit("")), F.nullif("__known", F.lit("")), F.lit("Other"))
     named = named.withColumn("section", section).drop("__known")
     return named.withColumn("place", category_rank(F.col("section"), list(ranks)).cast("long"))

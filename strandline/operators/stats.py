@@ -171,8 +171,8 @@ def ranges(obs: DataFrame) -> DataFrame:
 
 
 def normalised(stat: DataFrame, span: DataFrame) -> DataFrame:
-    """Per-record means placed in the database range; span has a row a property, so it is small by nature of the key list."""
-    return stat.join(span, "property_key").withColumn("norm", position(F.col("mean_value"), F.col("lo"), F.col("hi")))
+    """Per-record means placed in the database range; span has a row a property, so it is small by nature of the key list, and is broadcast: rows aren't shuffled by a handful of keys."""
+    return stat.join(F.broadcast(span), "property_key").withColumn("norm", position(F.col("mean_value"), F.col("lo"), F.col("hi")))
 
 
 def pivoted(norm: DataFrame, keys: Sequence[str], value: str = "norm") -> DataFrame:

@@ -85,3 +85,9 @@ def test_more_tasks_for_more_lines(spark, sf, monkeypatch):
     lines = catalog.table(spark, sf, "lineitem").count()
     for df in (catalog.observations(spark, sf, by_record=True), catalog.measured(spark, sf)):
         assert df.rdd.getNumPartitions() == -(-lines // 1000) > 4
+
+
+def test_ranges_of_properties_cause_no_shuffle_of_records(spark, sf):
+    for name in ("db_range_normalised", "fingerprint"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(material_id") == 1, name
